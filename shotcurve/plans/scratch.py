@@ -1,0 +1,17 @@
+"""A folder all executors can reach, for checkpoints and intermediate tables."""
+
+import tempfile
+import uuid
+
+from pyspark.sql import SparkSession
+
+SETTING = "spark.checkpoint.dir"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """New path below the folder the cluster names in spark.checkpoint.dir.
+    Where that is unset, as in tests, a temporary folder takes its place."""
+    base = spark.conf.get(SETTING, None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="shotcurve-")
+    return f"{base.rstrip('/')}/shotcurve-{name}-{uuid.uuid4().hex}"
