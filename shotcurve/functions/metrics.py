@@ -14,6 +14,12 @@ def score_column(shot: int) -> str:
 SCORE_COLUMNS = [score_column(s) for s in fv.SHOTS]
 
 
+def stable_round(c, digits: int) -> Column:
+    """Round with ties going up even when the sum behind them came out a bit
+    low, so that results agree between runs and engines."""
+    return F.round(as_column(c) + 10.0 ** -(digits + 3), digits)
+
+
 def improvement_rate(first="score_0shot", last="score_8shot") -> Column:
     """Score gained per example between no example and eight."""
     return (as_column(last) - as_column(first)) / fv.SHOTS[-1]

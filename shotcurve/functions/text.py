@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from shotcurve import fixed_values as fv
 
-_WS_RUN = f"(?U){fv.WHITESPACE}+"
+WHITESPACE_RUN = f"(?U){fv.WHITESPACE}+"
 _WS_EDGES = f"(?U)^{fv.WHITESPACE}+|{fv.WHITESPACE}+$"
 
 
@@ -37,7 +37,7 @@ def strip(c) -> Column:
 
 def split_words(c) -> Column:
     """Whitespace-separated words; no empty strings, [] for blank text."""
-    return F.filter(F.split(as_column(c), _WS_RUN), lambda w: w != "")
+    return F.filter(F.split(as_column(c), WHITESPACE_RUN), lambda w: w != "")
 
 
 def remove_markdown(c) -> Column:
@@ -51,7 +51,7 @@ def remove_markdown(c) -> Column:
 def normalize_text(c) -> Column:
     """Markdown removed, NFKC, lower case, single spaces, trimmed."""
     c = F.lower(nfkc(remove_markdown(c)))
-    return F.trim(F.regexp_replace(c, _WS_RUN, " "))
+    return F.trim(F.regexp_replace(c, WHITESPACE_RUN, " "))
 
 
 def char_type_runs(c) -> Column:
@@ -117,12 +117,11 @@ def char_ngrams(c) -> Column:
 
 def word_ngrams(padded: Column) -> Column:
     """2- to 4-grams of one padded word."""
-    return F.concat(*[
-        F.when(F.length(padded) >= n, F.transform(
-            F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1))),
-            lambda i, n=n: F.substring(padded, i, F.lit(n))))
-        .otherwise(F.array().cast("array<string>"))
-        for n in fv.NGRAM_SIZES])
+    def of_size(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.length(padded) - (n - 1), F.lit(1)))
+        grams = F.transform(starts, lambda i: F.substring(padded, i, F.lit(n)))
+        return F.when(F.length(padded) >= n, grams).otherwise(F.array().cast("array<string>"))
+    return F.concat(*map(of_size, fv.NGRAM_SIZES))
 
 
 def clamp01(c) -> Column:

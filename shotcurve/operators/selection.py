@@ -103,9 +103,13 @@ def select_examples_tfidf(grid: DataFrame, examples: DataFrame, **options) -> Da
         .drop("ranked", "distractors", "case_key"))
 
 
-def select_examples(grid: DataFrame, examples: DataFrame, **options) -> DataFrame:
+def select_examples(grid: DataFrame, examples: DataFrame, selections=tuple(fv.SELECTIONS),
+                    **options) -> DataFrame:
     """Add selected by each row's example_selection. tfidf rows with an empty
-    input fall back to fixed."""
+    input fall back to fixed. selections, if known, names those that occur, so
+    that a fixed-only grid skips the similarity job."""
+    if "tfidf" not in selections:
+        return select_examples_fixed(grid, examples)
     by_similarity = (F.col("example_selection") == "tfidf") & (F.col("input") != "")
     ranked = ranked_examples(grid.filter(by_similarity), examples, **options)
     return (

@@ -13,34 +13,90 @@ both texts share. One join on shared grams therefore yields the dot product
 and the correction of the length, and no text is vectorized once per test case.
 """
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shotcurve.functions.text import split_words, word_ngrams
+from shotcurve import fixed_values as fv
+from shotcurve.scratch import cut_lineage
 
 # ties are exact up to this many digits, whatever order sums ran in
 SIMILARITY_DIGITS = 10
 
 
+def _count_grams():
+    # Nested, so that it travels to workers by value. Counting grams of a text
+    # in one go takes a fraction of the time of exploding them into rows and
+    # grouping the rows again.
+    sizes = fv.NGRAM_SIZES
+
+    def one_by_one(words):
+        tf = Counter(f" {w} "[i:i + n] for w in words for n in sizes for i in range(len(w) + 3 - n))
+        return pa.array(tf.keys(), pa.string(), size=len(tf)), np.array(list(tf.values()), np.int64)
+
+    def at_once(words):
+        # characters as numbers; a gram of up to four 16-bit ones is one number
+        chars = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+        word = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+        names, counts = [], []
+        for n in sizes:
+            whole = word[:len(word) - n + 1] == word[n - 1:]
+            code = np.zeros(len(whole), np.uint64)
+            for i in range(n):
+                code = code << np.uint64(16) | chars[i:len(chars) - n + 1 + i]
+            code, count = np.unique(code[whole], return_counts=True)
+            letters = [(code >> np.uint64(16 * (n - 1 - i))) & np.uint64(0xFFFF) for i in range(n)]
+            names.append(pa.array(np.stack(letters, 1).astype("<u4").view(f"<U{n}").ravel(), pa.string()))
+            counts.append(count)
+        return pa.concat_arrays(names), np.concatenate(counts)
+
+    def count(texts: pa.Array) -> pa.Array:
+        ends, grams, counts = [0], [pa.array([], pa.string())], [np.array([], np.int64)]
+        for text in texts.to_pylist():
+            words = (text or "").lower().split()
+            if words:
+                simple = all("\0" < c < "\uffff" for c in (min(map(min, words)), max(map(max, words))))
+                names, tf = at_once(words) if simple else one_by_one(words)
+                grams.append(names)
+                counts.append(tf)
+                ends.append(ends[-1] + len(tf))
+            else:
+                ends.append(ends[-1])
+        entries = pa.StructArray.from_arrays(
+            [pa.concat_arrays(grams), pa.array(np.concatenate(counts), pa.int64())], names=["gram", "tf"])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries)
+    return F.arrow_udf(count, "array<struct<gram:string,tf:bigint>>")
+
+
 def gram_counts(texts: DataFrame, keys: list[str], text: str = "input") -> DataFrame:
-    """(keys, gram, tf) of the char_wb 2- to 4-grams of each text.
-
-    Texts are placed by key once; counting words first, then the n-grams of
-    each distinct word, needs no further shuffle."""
-    words = (
-        texts.select(*keys, text).repartition(*keys)
-        .select(*keys, F.explode(split_words(F.lower(text))).alias("word"))
-        .groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("n")))
-    padded = F.concat(F.lit(" "), F.col("word"), F.lit(" "))
+    """(keys, gram, tf) of the char_wb 2- to 4-grams of each text; keys must be
+    unique.
+
+    Texts are placed by key, and whatever is grouped by key later needs no
+    further shuffle. The number of partitions is fixed because a small text
+    turns into many grams: sized by its bytes, the shuffle would be merged
+    into too few tasks."""
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = texts.select(*keys, text).repartition(partitions, *keys)
+    return placed.select(*keys, F.inline(_count_grams()(text)))
+
+
+def vocabulary(example_grams: DataFrame, examples: DataFrame) -> DataFrame:
+    """Per task and gram: df, the task's number of examples, and the squares of
+    the gram's weights inside (in_sq) and outside (out_sq) a test input."""
+    sizes = examples.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_examples"))
+    grams = example_grams.groupBy("task_id", "gram").agg(F.count(F.lit(1)).alias("df"))
     return (
-        words.withColumn("padded", padded)
-        .select(*keys, F.explode(word_ngrams(F.col("padded"))).alias("gram"), "n")
-        .groupBy(*keys, "gram").agg(F.sum("n").alias("tf")))
+        grams.join(sizes, "task_id")
+        .withColumns({"in_sq": F.pow(_idf(F.col("df") + 2), F.lit(2.0)),
+                      "out_sq": F.pow(_idf(F.col("df") + 1), F.lit(2.0))}))
 
 
-def _weights(n: str = "n_examples", df: str = "df"):
-    size = F.col(n) + 2
-    return (F.log(size / (F.col(df) + 2)) + 1, F.log(size / (F.col(df) + 1)) + 1)
+def _idf(seen) -> Column:
+    return F.log((F.col("n_examples") + 2) / seen) + 1
 
 
 def _best(df: DataFrame, group: list[str], k: int, *order) -> DataFrame:
@@ -49,59 +105,67 @@ def _best(df: DataFrame, group: list[str], k: int, *order) -> DataFrame:
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def similarities(cases: DataFrame, examples: DataFrame, broadcast_grams: int = 2_000_000,
-                 rows_per_salt: int = 100_000) -> DataFrame:
+def _join_on_gram(left: DataFrame, right: DataFrame, words: DataFrame, right_rows: int,
+                  broadcast_rows: int, hot_grams: int) -> DataFrame:
+    if right_rows <= broadcast_rows:
+        return left.join(F.broadcast(right), ["task_id", "gram"])
+    # Fewer than hot_grams grams can each hold more than 1/hot_grams of the
+    # rows, so the list of hot ones is short whatever the data.
+    share = max((words.agg(F.sum("df")).first()[0] or 0) // hot_grams, 1)
+    hot = F.broadcast(
+        words.filter(F.col("df") > share)
+        .select("task_id", "gram", F.ceil(F.col("df") / share).alias("parts")))
+    left = left.join(hot, ["task_id", "gram"], "left").withColumn("part", F.when(
+        F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("pos"), "parts")).cast("bigint"))
+    right = right.join(hot, ["task_id", "gram"], "left").withColumn("part", F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("parts") - 1, F.lit(0)))))
+    return left.drop("parts").join(right.drop("parts"), ["task_id", "gram", "part"])
+
+
+def similarities(cases: DataFrame, examples: DataFrame, broadcast_rows: int = 2_000_000,
+                 hot_grams: int = 10_000) -> DataFrame:
     """(task_id, case_key, pos, similarity) of all pairs of one task that share a gram.
 
     cases: task_id, case_key, input. examples: task_id, pos, input.
-    At most 3 n-grams start per input character, which bounds the test side.
-    Up to broadcast_grams it is broadcast and pairs are summed where the
-    example already lies; above, both sides are shuffled by gram and grams
-    held by many examples are split over rows_per_salt-sized parts."""
-    case_id = ["task_id", "case_key"]
-    example_id = ["task_id", "pos"]
+
+    The vocabulary is worked out first and checkpointed. Every gram then meets
+    its postings: one per test case that has it, plus one for no test case,
+    which adds up the example's own length. Up to broadcast_rows postings are
+    broadcast, and everything about an example is summed where its text
+    already lies; above, both sides are shuffled by gram, with the grams of
+    many examples split into parts."""
+    example_id, case_id = ["task_id", "pos"], ["task_id", "case_key"]
     example_grams = gram_counts(examples, example_id)
-    df = example_grams.groupBy("task_id", "gram").agg(F.count(F.lit(1)).alias("df"))
-    sizes = examples.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_examples"))
+    words = cut_lineage(vocabulary(example_grams, examples))
 
-    w_in, w_out = _weights()
+    sizes = examples.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_examples"))
     case_grams = (
-        gram_counts(cases, case_id)
-        .join(sizes, "task_id")
-        .join(df, ["task_id", "gram"], "left")
-        .withColumn("df", F.coalesce("df", F.lit(0)))
-        .withColumns({"w_in": w_in, "w_out": w_out}))
+        gram_counts(cases, case_id).join(sizes, "task_id")
+        .join(words.drop("n_examples"), ["task_id", "gram"], "left")
+        .withColumn("in_sq", F.coalesce("in_sq", F.pow(_idf(F.lit(2)), F.lit(2.0)))))
     case_length = case_grams.groupBy(*case_id).agg(
-        F.sum(F.pow(F.col("tf") * F.col("w_in"), F.lit(2))).alias("case_sq"))
-    postings = case_grams.filter(F.col("df") > 0).select(
-        "task_id", "gram", "case_key", "df",
-        (F.col("tf") * F.col("w_in") * F.col("w_in")).alias("dot_weight"),
-        (F.col("w_in") * F.col("w_in") - F.col("w_out") * F.col("w_out")).alias("sq_shift"))
-
-    weighted = example_grams.join(df, ["task_id", "gram"])
-    example_length = (
-        weighted.join(sizes, "task_id").withColumn("w", _weights()[1])
-        .groupBy(*example_id)
-        .agg(F.sum(F.pow(F.col("tf") * F.col("w"), F.lit(2))).alias("example_sq")))
-
-    bound = cases.agg(F.sum(3 * F.length("input"))).first()[0] or 0
-    if bound <= broadcast_grams:
-        shared = example_grams.join(F.broadcast(postings.drop("df")), ["task_id", "gram"])
-    else:
-        parts = F.ceil(F.col("df") / rows_per_salt)
-        left = weighted.withColumn(
-            "part", F.pmod(F.xxhash64("pos"), parts).cast("bigint")).drop("df")
-        right = postings.withColumn(
-            "part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1))).drop("df")
-        shared = left.join(right, ["task_id", "gram", "part"])
+        F.sum(F.col("tf") * F.col("tf") * F.col("in_sq")).alias("case_sq"))
+    postings = case_grams.filter(F.col("df").isNotNull()).select(
+        "task_id", "gram", "case_key",
+        (F.col("tf") * F.col("in_sq")).alias("dot_weight"),
+        (F.col("in_sq") - F.col("out_sq")).alias("sq_weight"))
+    own = words.select("task_id", "gram", F.lit(None).cast(dict(cases.dtypes)["case_key"]).alias("case_key"),
+                       F.lit(0.0).alias("dot_weight"), F.col("out_sq").alias("sq_weight"))
+    # no more than three n-grams start at a character
+    bound = words.count() + (cases.agg(F.sum(3 * F.length("input"))).first()[0] or 0)
+
     tf = F.col("tf")
-    pairs = shared.groupBy(*example_id, "case_key").agg(
-        F.sum(tf * F.col("dot_weight")).alias("dot"),
-        F.sum(tf * tf * F.col("sq_shift")).alias("shift"))
-    cosine = F.col("dot") / F.sqrt(F.col("case_sq") * (F.col("example_sq") + F.col("shift")))
-    return (
-        pairs.join(example_length, example_id).join(case_length, case_id)
-        .select("task_id", "case_key", "pos", F.round(cosine, SIMILARITY_DIGITS).alias("similarity")))
+    sums = (
+        _join_on_gram(example_grams, own.unionByName(postings), words, bound, broadcast_rows, hot_grams)
+        .groupBy(*example_id, "case_key").agg(
+            F.sum(tf * F.col("dot_weight")).alias("dot"),
+            F.sum(tf * tf * F.col("sq_weight")).alias("sq")))
+    own_sq = F.max(F.when(F.col("case_key").isNull(), F.col("sq")))
+    pairs = sums.withColumn("example_sq", own_sq.over(Window.partitionBy(*example_id))).filter(
+        F.col("case_key").isNotNull())
+    cosine = F.col("dot") / F.sqrt(F.col("case_sq") * (F.col("example_sq") + F.col("sq")))
+    return pairs.join(case_length, case_id).select(
+        "task_id", "case_key", "pos", F.round(cosine, SIMILARITY_DIGITS).alias("similarity"))
 
 
 def rank_by_similarity(cases: DataFrame, examples: DataFrame, k: int, **options) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from shotcurve import fixed_values as fv
 from shotcurve.functions.metrics import (
-    efficiency_metrics, pass_all_k, pass_at_k, score_column)
+    efficiency_metrics, pass_all_k, pass_at_k, score_column, stable_round)
 from shotcurve.schemas import SUMMARY_KEYS
 
 USAGE = ["input_tokens", "output_tokens", "latency_ms"]
@@ -141,10 +141,10 @@ def summarize(facts: DataFrame, aggregation: str = "mean",
     facts = with_fact_defaults(facts)
     trials = trial_means(facts, usage=True)
     if rounding is not None:
-        trials = trials.withColumn("trial_mean", F.round("trial_mean", rounding))
+        trials = trials.withColumn("trial_mean", stable_round("trial_mean", rounding))
     points = aggregate_trials(trials, method=aggregation, threshold=threshold, usage=True)
     if rounding is not None:
-        points = points.withColumn("score", F.round("score", rounding))
+        points = points.withColumn("score", stable_round("score", rounding))
 
     extra = [F.sum(f"total_{c}").cast("bigint").alias(f"total_{c}") for c in USAGE]
     scheduled = F.col("shot_count").isin(fv.SHOTS)

@@ -46,10 +46,10 @@ def summary_ctes(threshold=0.5, median=False, facts=FACTS, where="TRUE", multi=T
     variance = "avg(v)" if multi else "0.0"
     reached = " ".join(f"WHEN score_{s}shot >= CAST({threshold} AS DOUBLE) THEN {s}" for s in fv.SHOTS)
     return f"""{facts},
-trial AS (SELECT {KEYS}, shot_count, trial_id, round(avg(score), 9) AS m, sum(input_tokens) AS it,
+trial AS (SELECT {KEYS}, shot_count, trial_id, round(avg(score) + 1e-12, 9) AS m, sum(input_tokens) AS it,
                  sum(output_tokens) AS ot, sum(latency_ms) AS lt
           FROM fx_results WHERE {where} GROUP BY {KEYS}, shot_count, trial_id),
-point AS (SELECT {KEYS}, shot_count, round({centre}, 9) AS score, var_pop(m) AS v, count(*) AS n,
+point AS (SELECT {KEYS}, shot_count, round({centre} + 1e-12, 9) AS score, var_pop(m) AS v, count(*) AS n,
                  count(*) FILTER (m >= CAST({threshold} AS DOUBLE)) AS c, sum(it) AS it, sum(ot) AS ot, sum(lt) AS lt
           FROM trial GROUP BY {KEYS}, shot_count),
 chance AS (SELECT *{passes} FROM point),
@@ -69,8 +69,9 @@ def fall(n, k):
     return "(" + " * ".join(f"CAST({n} - {i} AS DOUBLE)" for i in range(k)) + ")"
 
 
-def rounds(names, digits=9):
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
+# like the queries: ties at the ninth digit go up whatever the noise of a sum
+def rounds(names):
+    return ", ".join(f"round({n} + 1e-12, 9) AS {n}" for n in names)
 
 
 SCORE_NAMES = [f"score_{s}shot" for s in fv.SHOTS]
@@ -116,18 +117,18 @@ def collapse_select(label="task_id", final="score_8shot", columns=None):
     drop = f"(score_0shot - {final}) / score_0shot * 100"
     columns = columns or f"""'few_shot_collapse' AS type,
 CASE WHEN {drop} >= 50 THEN 'collapse' ELSE 'degradation' END AS severity, model_name AS model, task_id,
-{label} AS task_label, example_selection, round(score_0shot, 9) AS score_0shot,
-round({final}, 9) AS score_final, round({drop}, 9) AS drop_pct"""
+{label} AS task_label, example_selection, round(score_0shot + 1e-12, 9) AS score_0shot,
+round({final} + 1e-12, 9) AS score_final, round({drop} + 1e-12, 9) AS drop_pct"""
     return f"SELECT {columns} FROM summary WHERE score_0shot > 0.05 AND {final} < score_0shot * 0.9e0"
 
 
 PEAK_SELECT = """SELECT 'peak_regression' AS type, model_name AS model, task_id, task_id AS task_label,
-example_selection, round(peak, 9) AS score_peak, peak_shot, round(final, 9) AS score_final,
-round((peak - final) / peak * 100, 9) AS drop_pct FROM judged WHERE regressed"""
+example_selection, round(peak + 1e-12, 9) AS score_peak, peak_shot, round(final + 1e-12, 9) AS score_final,
+round((peak - final) / peak * 100 + 1e-12, 9) AS drop_pct FROM judged WHERE regressed"""
 
 DIP_SELECT = f"""SELECT 'mid_curve_dip' AS type, model_name AS model, task_id, task_id AS task_label,
-example_selection, prev_shot AS from_shot, shot AS to_shot, round(prev, 9) AS score_from,
-round(score, 9) AS score_to, round((prev - score) / prev * 100, 9) AS drop_pct
+example_selection, prev_shot AS from_shot, shot AS to_shot, round(prev + 1e-12, 9) AS score_from,
+round(score + 1e-12, 9) AS score_to, round((prev - score) / prev * 100 + 1e-12, 9) AS drop_pct
 FROM ordered WHERE prev > 0.05 AND score < prev * 0.7e0
 QUALIFY row_number() OVER (PARTITION BY {KEYS} ORDER BY (prev - score) / prev * 100 DESC, shot) = 1"""
 
@@ -172,7 +173,7 @@ def runs(x):
 
 
 def words(x):
-    return f"list_filter(string_split_regex({x}, '\\s+'), w -> w <> '')"
+    return f"[x for x in string_split_regex({x}, '\\s+') if x <> '']"
 
 
 def tokens(x):
@@ -180,13 +181,13 @@ def tokens(x):
 
 
 NORMED = f"normed AS (SELECT id, {norm('expected_output')} AS e, {norm('actual_output')} AS a FROM pairs)"
-F1 = f"""toks AS (SELECT *, list_distinct({tokens('e')}) AS et, list_distinct({tokens('a')}) AS at FROM normed),
-overlap AS (SELECT *, len(list_intersect(et, at)) AS both_sides,
-       len(list_filter(at, t -> length(t) >= 2 AND contains(e, t))) AS a_hits,
-       len(list_filter(et, t -> length(t) >= 2 AND contains(a, t))) AS e_hits FROM toks),
-shares AS (SELECT *, CASE WHEN both_sides > 0 THEN both_sides ELSE a_hits END / CAST(len(at) AS DOUBLE) AS p,
+F1 = f"""toks AS (SELECT *, list_distinct({tokens('e')}) AS et, list_distinct({tokens('a')}) AS at_ FROM normed),
+overlap AS (SELECT *, len(list_intersect(et, at_)) AS both_sides,
+       len([t for t in at_ if length(t) >= 2 AND contains(e, t)]) AS a_hits,
+       len([t for t in et if length(t) >= 2 AND contains(a, t)]) AS e_hits FROM toks),
+shares AS (SELECT *, CASE WHEN both_sides > 0 THEN both_sides ELSE a_hits END / CAST(len(at_) AS DOUBLE) AS p,
        CASE WHEN both_sides > 0 THEN both_sides ELSE e_hits END / CAST(len(et) AS DOUBLE) AS r FROM overlap),
-f1 AS (SELECT *, CASE WHEN len(et) = 0 OR len(at) = 0 OR p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f1
+f1 AS (SELECT *, CASE WHEN len(et) = 0 OR len(at_) = 0 OR p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END AS f1
        FROM shares)"""
 
 JUDGE_CASES = """judge_cases AS (
@@ -276,11 +277,11 @@ chosen AS (SELECT b.task_id, b.pos, c.shot AS shot_count, n.output, n.input, n.i
 
 # n-grams per padded word, then one idf per test case from the plain definition
 GRAMS = """{name} AS (
-WITH w AS (SELECT {keys}, ' ' || unnest(list_filter(string_split_regex(lower(input), '\\s+'), w -> w <> '')) || ' ' AS w
+WITH w AS (SELECT {keys}, ' ' || unnest([x for x in string_split_regex(lower(input), '\\s+') if x <> '']) || ' ' AS w
            FROM {source}),
-g AS (SELECT {keys}, unnest(list_transform(range(1, length(w)), i -> substr(w, i, 2))
-        || list_transform(range(1, length(w) - 1), i -> substr(w, i, 3))
-        || CASE WHEN length(w) >= 4 THEN list_transform(range(1, length(w) - 2), i -> substr(w, i, 4))
+g AS (SELECT {keys}, unnest([substr(w, i, 2) for i in range(1, length(w))]
+        || [substr(w, i, 3) for i in range(1, length(w) - 1)]
+        || CASE WHEN length(w) >= 4 THEN [substr(w, i, 4) for i in range(1, length(w) - 2)]
                 ELSE CAST([] AS VARCHAR[]) END) AS gram FROM w)
 SELECT {keys}, gram, count(*) AS tf FROM g GROUP BY ALL)"""
 
@@ -376,16 +377,16 @@ ORACLES = {
     "tasks_needing_judge": with_(TURNS, "SELECT DISTINCT task_id FROM turns WHERE pos % 3 = 0"),
     "results_parquet_round_trip": with_(FACTS, """SELECT concat('run_', task_id) AS run_id, task_id, category, model_name,
         shot_count, input, concat('say "', task_id, '",', chr(10), 'then stop') AS expected_output, input AS actual_output,
-        round(score, 9) AS score, 'f1' AS scoring_method, latency_ms, '2024-01-01T00:00:00' AS timestamp, trial_id,
+        round(score + 1e-12, 9) AS score, 'f1' AS scoring_method, latency_ms, '2024-01-01T00:00:00' AS timestamp, trial_id,
         input_tokens, output_tokens, example_selection FROM fx_results"""),
     "results_csv_round_trip": with_(FACTS, """SELECT concat('run_', task_id) AS run_id, task_id, category, model_name,
         shot_count, input, concat('say "', task_id, '",', chr(10), 'then stop') AS expected_output, input AS actual_output,
-        round(score, 9) AS score, 'f1' AS scoring_method, latency_ms, '2024-01-01T00:00:00' AS timestamp, 1 AS trial_id,
+        round(score + 1e-12, 9) AS score, 'f1' AS scoring_method, latency_ms, '2024-01-01T00:00:00' AS timestamp, 1 AS trial_id,
         input_tokens, output_tokens, 'fixed' AS example_selection FROM fx_results"""),
     "summaries_combined": with_(summary_ctes(), f"""{summary_select()}
         UNION ALL SELECT run_id, task_id, category, model_name, NULL, {rounds(SCORE_NAMES + ['improvement_rate'])},
-        threshold_shots, round(learning_curve_auc, 9), num_trials, total_input_tokens, total_output_tokens,
-        total_latency_ms, round(score_variance, 9), NULL, NULL, NULL, NULL FROM summary WHERE example_selection = 'fixed'"""),
+        threshold_shots, round(learning_curve_auc + 1e-12, 9), num_trials, total_input_tokens, total_output_tokens,
+        total_latency_ms, round(score_variance + 1e-12, 9), NULL, NULL, NULL, NULL FROM summary WHERE example_selection = 'fixed'"""),
     "run_catalog": """SELECT event_type AS run_id,
         CASE event_type WHEN 'error' THEN 'demo/raw_results_error.csv' ELSE concat('raw_results_', event_type, '.csv') END AS raw_path,
         CASE event_type WHEN 'view' THEN 'summary_view.csv' END AS summary_path
@@ -463,16 +464,16 @@ ORACLES = {
     "score_contains": with_(f"{PAIRS}, {NORMED}", "SELECT id, CAST(contains(a, e) AS DOUBLE) AS score FROM normed"),
     "char_type_runs": with_(PAIRS, f"SELECT id, array_to_string({runs('actual_output')}, '|') AS runs FROM pairs"),
     "tokens": with_(f"{PAIRS}, {NORMED}", f"SELECT id, array_to_string({tokens('e')}, '|') AS tokens FROM normed"),
-    "score_f1": with_(f"{PAIRS}, {NORMED}, {F1}", "SELECT id, round(f1, 9) AS score FROM f1"),
+    "score_f1": with_(f"{PAIRS}, {NORMED}, {F1}", "SELECT id, round(f1 + 1e-12, 9) AS score FROM f1"),
     "score_dispatch": with_(f"""{PART_PAIRS}, {JUDGE_CASES}, pairs AS (SELECT p_partkey AS id, * FROM part_pairs
           UNION ALL SELECT -1 - p_partkey, p_partkey, expected_output, actual_output FROM judge_cases WHERE NOT is_rubric),
         {NORMED}, {F1}""", """SELECT p_partkey, 'llm_judge' AS scoring_method, is_rubric AS expected_is_rubric,
           CAST(NULL AS DOUBLE) AS score, 'grader_client is required for llm_judge scoring' AS score_error FROM judge_cases
-        UNION ALL SELECT p_partkey, 'f1', is_rubric, CASE WHEN NOT is_rubric THEN round(f1, 9) END,
+        UNION ALL SELECT p_partkey, 'f1', is_rubric, CASE WHEN NOT is_rubric THEN round(f1 + 1e-12, 9) END,
           CASE WHEN is_rubric THEN 'Standard scoring requires a string expected value: f1' END
           FROM judge_cases LEFT JOIN f1 ON id = -1 - p_partkey
         UNION ALL SELECT id, ['exact_match', 'contains', 'f1', 'custom:x', 'rouge'][id % 5 + 1], FALSE,
-          CASE id % 5 WHEN 0 THEN CAST(e = a AS DOUBLE) WHEN 1 THEN CAST(contains(a, e) AS DOUBLE) WHEN 2 THEN round(f1, 9) END,
+          CASE id % 5 WHEN 0 THEN CAST(e = a AS DOUBLE) WHEN 1 THEN CAST(contains(a, e) AS DOUBLE) WHEN 2 THEN round(f1 + 1e-12, 9) END,
           CASE id % 5 WHEN 3 THEN 'Custom scoring is not available' WHEN 4 THEN 'Unknown scoring method: rouge' END
           FROM f1 WHERE id >= 0"""),
     "judge_prompt_kinds": with_(JUDGE_CASES, "SELECT p_partkey, prompt_kind FROM judge_cases"),
@@ -482,24 +483,24 @@ ORACLES = {
     "judge_prompts": with_(JUDGE_CASES, f"""SELECT p_partkey, prompt_kind, md5(CASE prompt_kind WHEN 'keyword' THEN {KEYWORD_PROMPT}
         WHEN 'natural' THEN {NATURAL_PROMPT} ELSE {RUBRIC_PROMPT} END) AS prompt_md5 FROM judge_cases"""),
     "judge_replies": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN least(1.0e0, CAST(CAST(value AS DECIMAL(10,2)) AS DOUBLE))
-          WHEN 2 THEN 0.5e0 WHEN 3 THEN (event_id % 10) / 10.0e0 WHEN 1 THEN (event_id % 10) / 10.0e0
+          WHEN 2 THEN 0.5e0 WHEN 1 THEN (event_id % 10) / 10.0e0
           WHEN 5 THEN (event_id % 10) / 10.0e0 END AS score,
         CASE WHEN event_id % 6 = 0 THEN 'r' END AS reason FROM events""",
-    "clamped_scores": "SELECT event_id, round(greatest(0.0, least(1.0, value / 20 - 0.2e0)), 9) AS score FROM events",
+    "clamped_scores": "SELECT event_id, round(greatest(0.0, least(1.0, value / 20 - 0.2e0)) + 1e-12, 9) AS score FROM events",
     "judge_fallback": with_(f"""{JUDGE_CASES}, pairs AS (SELECT p_partkey AS id, expected_output, actual_output FROM judge_cases),
-        {NORMED}, {F1}""", """SELECT p_partkey, coalesce(reply_score, CASE WHEN is_rubric THEN 0.0 ELSE round(f1, 9) END) AS score,
+        {NORMED}, {F1}""", """SELECT p_partkey, coalesce(reply_score, CASE WHEN is_rubric THEN 0.0 ELSE round(f1 + 1e-12, 9) END) AS score,
         CASE WHEN reply_score IS NOT NULL THEN reply_reason WHEN is_rubric THEN 'LLM judge failed, dict expected: fallback to 0.0'
           ELSE 'LLM judge failed, used fallback: f1' END AS reason FROM judge_cases JOIN f1 ON id = p_partkey"""),
     "expected_texts": with_(JUDGE_CASES, "SELECT p_partkey, expected_output FROM judge_cases"),
     # --- aggregation
-    "trial_means": with_(FACTS, f"""SELECT {KEYS}, shot_count, trial_id, round(avg(score), 9) AS trial_mean
+    "trial_means": with_(FACTS, f"""SELECT {KEYS}, shot_count, trial_id, round(avg(score) + 1e-12, 9) AS trial_mean
         FROM fx_results GROUP BY ALL"""),
-    "trials_mean": with_(FACTS, f"""SELECT {KEYS}, shot_count, round(avg(m), 9) AS score, count(*) AS num_trials
+    "trials_mean": with_(FACTS, f"""SELECT {KEYS}, shot_count, round(avg(m) + 1e-12, 9) AS score, count(*) AS num_trials
         FROM (SELECT {KEYS}, shot_count, trial_id, avg(score) AS m FROM fx_results GROUP BY ALL) GROUP BY ALL"""),
-    "trials_median": with_(FACTS, f"""SELECT {KEYS}, shot_count, round(median(m), 9) AS score, count(*) AS num_trials
+    "trials_median": with_(FACTS, f"""SELECT {KEYS}, shot_count, round(median(m) + 1e-12, 9) AS score, count(*) AS num_trials
         FROM (SELECT {KEYS}, shot_count, trial_id, avg(score) AS m FROM fx_results GROUP BY ALL) GROUP BY ALL"""),
     "curve_pivot": with_(FACTS, f"""SELECT {KEYS}, {', '.join(
-        f"round(coalesce(max(s) FILTER (shot_count = {s}), 0.0), 9) AS score_{s}shot" for s in fv.SHOTS)}
+        f"round(coalesce(max(s) FILTER (shot_count = {s}), 0.0) + 1e-12, 9) AS score_{s}shot" for s in fv.SHOTS)}
         FROM (SELECT {KEYS}, shot_count, avg(m) AS s FROM (SELECT {KEYS}, shot_count, trial_id, avg(score) AS m
         FROM fx_results WHERE trial_id < 3 GROUP BY ALL) GROUP BY ALL) GROUP BY ALL"""),
     "usage_totals": with_(FACTS, f"""SELECT {KEYS}, CAST(sum(input_tokens) AS BIGINT) AS total_input_tokens,
@@ -512,30 +513,30 @@ ORACLES = {
     "score_variance": with_(summary_ctes(), f"SELECT {KEYS}, {rounds(['score_variance'])} FROM summary"),
     "pass_probabilities": f"""WITH t AS (SELECT event_id, event_id % 11 AS n, least(event_id % 11, user_id % 9) AS c FROM events)
         SELECT event_id, {', '.join(f'''round(CASE WHEN n <= 0 OR {k} > n THEN 0.0 WHEN c >= n THEN 1.0 WHEN c <= 0 THEN 0.0
-          WHEN n - c < {k} THEN 1.0 ELSE 1.0 - {fall('n - c', k)} / {fall('n', k)} END, 9) AS pass_at_{k},
-          round(CASE WHEN n <= 0 OR {k} > n OR c < {k} THEN 0.0 ELSE {fall('c', k)} / {fall('n', k)} END, 9) AS pass_all_{k}'''
+          WHEN n - c < {k} THEN 1.0 ELSE 1.0 - {fall('n - c', k)} / {fall('n', k)} END + 1e-12, 9) AS pass_at_{k},
+          round(CASE WHEN n <= 0 OR {k} > n OR c < {k} THEN 0.0 ELSE {fall('c', k)} / {fall('n', k)} END + 1e-12, 9) AS pass_all_{k}'''
           for k in (1, 3, 5))} FROM t""",
-    "reliability_metrics": with_(f"""{FACTS}, m AS (SELECT {KEYS}, shot_count, trial_id, avg(round(score, 2)) AS m FROM fx_results GROUP BY ALL),
+    "reliability_metrics": with_(f"""{FACTS}, m AS (SELECT {KEYS}, shot_count, trial_id, avg(floor(score * 100) / 100) AS m FROM fx_results GROUP BY ALL),
         p AS (SELECT {KEYS}, shot_count, avg(m) AS score_mean, var_pop(m) AS score_variance, count(*) AS n,
               count(*) FILTER (m >= 0.3e0) AS c FROM m GROUP BY ALL)""",
         f"""SELECT {KEYS}, shot_count, {rounds(['score_mean', 'score_variance'])}, n AS num_trials, c AS num_successes, {', '.join(f'''
         round(CASE WHEN {k} > n THEN 0.0 WHEN c >= n THEN 1.0 WHEN c <= 0 THEN 0.0 WHEN n - c < {k} THEN 1.0
-          ELSE 1.0 - {fall('n - c', k)} / {fall('n', k)} END, 9) AS pass_at_{k},
-        round(CASE WHEN {k} > n OR c < {k} THEN 0.0 ELSE {fall('c', k)} / {fall('n', k)} END, 9) AS pass_all_{k}''' for k in fv.K_VALUES)} FROM p"""),
+          ELSE 1.0 - {fall('n - c', k)} / {fall('n', k)} END + 1e-12, 9) AS pass_at_{k},
+        round(CASE WHEN {k} > n OR c < {k} THEN 0.0 ELSE {fall('c', k)} / {fall('n', k)} END + 1e-12, 9) AS pass_all_{k}''' for k in fv.K_VALUES)} FROM p"""),
     "summarize_mean": with_(summary_ctes(), summary_select()),
     "summarize_median": with_(summary_ctes(median=True), summary_select()),
     "summarize_single_trial": with_(summary_ctes(where="trial_id = 2", multi=False), summary_select(False)),
     "summarize_lineitem": with_(summary_ctes(0.8, facts=LINEITEM_FACTS), summary_select()),
-    "trial_std": with_(FACTS, """SELECT model_name, shot_count, round(stddev_samp(m), 9) AS std FROM (SELECT model_name, shot_count,
+    "trial_std": with_(FACTS, """SELECT model_name, shot_count, round(stddev_samp(m) + 1e-12, 9) AS std FROM (SELECT model_name, shot_count,
         trial_id, avg(score) AS m FROM fx_results WHERE task_id = 'click' GROUP BY ALL) GROUP BY ALL"""),
     "priced_usage": with_(f"{PRICES}, {USAGE}", "SELECT event_id, model_name, input_price, output_price FROM priced"),
     "cost_economy": with_(f"""{PRICES}, {USAGE}, cost AS (SELECT *, input_tokens / 1e6 * input_price + output_tokens / 1e6 * output_price
-        + latency_ms / 1000.0e0 * 0.0001e0 AS total_cost FROM priced)""", """SELECT event_id, round(total_cost, 9) AS total_cost,
+        + latency_ms / 1000.0e0 * 0.0001e0 AS total_cost FROM priced)""", """SELECT event_id, round(total_cost + 1e-12, 9) AS total_cost,
         round(CASE WHEN total_cost > 0 THEN score / total_cost ELSE 0.0 END, 4) AS economy_score FROM cost"""),
     "adaptation_index": with_(f"""{FACTS}, m AS (SELECT model_name, avg(score) FILTER (task_id = 'click') AS a,
         avg(score) FILTER (task_id = 'view') AS b, avg(score) FILTER (task_id = 'error' AND model_name <> 'vendor/model_3') AS c
-        FROM fx_results GROUP BY ALL)""", """SELECT model_name, round(a, 9) AS "Acquisition", round(b, 9) AS "Resilience-Noise",
-        round(c, 9) AS "Efficiency", round(list_avg([a, b, c]), 9) AS "AEI" FROM m"""),
+        FROM fx_results GROUP BY ALL)""", """SELECT model_name, round(a + 1e-12, 9) AS "Acquisition", round(b + 1e-12, 9) AS "Resilience-Noise",
+        round(c + 1e-12, 9) AS "Efficiency", round(list_avg([a, b, c]) + 1e-12, 9) AS "AEI" FROM m"""),
     # --- curve analysis
     "shot_series": with_(series_ctes(gaps=True), f"""SELECT {', '.join(f's.{k}' for k in KEYS.split(', '))},
         coalesce(string_agg(CAST(l.shot AS VARCHAR), ',' ORDER BY l.shot), '') AS shots
@@ -546,18 +547,18 @@ ORACLES = {
     "mid_curve_dip": with_(series_ctes(), DIP_SELECT),
     "mid_curve_dip_with_gaps": with_(series_ctes(gaps=True), DIP_SELECT),
     "collapse_pattern": with_(series_ctes(gaps=True), "SELECT model_name AS model, task_id, pattern, example_selection FROM pattern"),
-    "resilience": with_(series_ctes(), "SELECT model_name, round(avg(resilience), 9) AS resilience_score FROM resilient GROUP BY ALL"),
+    "resilience": with_(series_ctes(), "SELECT model_name, round(avg(resilience) + 1e-12, 9) AS resilience_score FROM resilient GROUP BY ALL"),
     "enriched_summary": with_(f"""{series_ctes(gaps=True)}, means AS (SELECT example_selection, model_name, avg(resilience) AS r
-        FROM resilient GROUP BY ALL)""", f"""SELECT {', '.join(f's.{k}' for k in KEYS.split(', '))}, round(learning_curve_auc, 9) AS learning_curve_auc,
-        coalesce(p.pattern, '') AS collapse_pattern, round(m.r, 9) AS resilience_score FROM summary s
+        FROM resilient GROUP BY ALL)""", f"""SELECT {', '.join(f's.{k}' for k in KEYS.split(', '))}, round(learning_curve_auc + 1e-12, 9) AS learning_curve_auc,
+        coalesce(p.pattern, '') AS collapse_pattern, round(m.r + 1e-12, 9) AS resilience_score FROM summary s
         LEFT JOIN pattern p USING ({KEYS}) LEFT JOIN means m ON m.example_selection = s.example_selection AND m.model_name = s.model_name"""),
-    "curve_long": with_(series_ctes(), f"SELECT {KEYS}, shot AS shot_count, round(score, 9) AS score FROM long"),
-    "drop_intervals": with_(series_ctes(), f"""SELECT {KEYS}, prev_shot AS from_shot, shot AS to_shot, round(prev, 9) AS score_from,
-        round(score, 9) AS score_to FROM ordered WHERE score < prev - 0.02e0"""),
+    "curve_long": with_(series_ctes(), f"SELECT {KEYS}, shot AS shot_count, round(score + 1e-12, 9) AS score FROM long"),
+    "drop_intervals": with_(series_ctes(), f"""SELECT {KEYS}, prev_shot AS from_shot, shot AS to_shot, round(prev + 1e-12, 9) AS score_from,
+        round(score + 1e-12, 9) AS score_to FROM ordered WHERE score < prev - 0.02e0"""),
     "alerts": with_(series_ctes(), f"""SELECT * FROM ({collapse_select()}) UNION ALL BY NAME SELECT * FROM ({PEAK_SELECT})
         UNION ALL BY NAME SELECT * FROM ({DIP_SELECT})"""),
     "labelled_alerts": with_(summary_ctes(), collapse_select(columns="""model_name AS model, task_id, example_selection,
-        concat(category, '/', task_id) AS task_label, round((score_0shot - score_8shot) / score_0shot * 100, 9) AS drop_pct""")),
+        concat(category, '/', task_id) AS task_label, round((score_0shot - score_8shot) / score_0shot * 100 + 1e-12, 9) AS drop_pct""")),
     "mapped_alert_labels": with_(summary_ctes(), collapse_select(columns="""model_name AS model, task_id, example_selection,
         CASE WHEN task_id = 'view' THEN task_id ELSE upper(task_id) END AS task_label""")),
     # --- reports
@@ -573,7 +574,7 @@ ORACLES = {
     "learning_curve_table": with_(summary_ctes(), f"""SELECT task_id, model_name, example_selection, {rounds(SCORE_NAMES)},
         {rounds(['learning_curve_auc'])} FROM summary"""),
     "leaderboard": with_(series_ctes(), """SELECT replace(model_name, 'vendor/', '') AS model, example_selection,
-        round(avg(resilience), 9) AS resilience_score FROM resilient GROUP BY ALL"""),
+        round(avg(resilience) + 1e-12, 9) AS resilience_score FROM resilient GROUP BY ALL"""),
     "pattern_table": with_(series_ctes(), """SELECT replace(model_name, 'vendor/', '') AS model, task_id, example_selection, pattern FROM pattern"""),
     "alert_labels": with_(series_ctes(), """SELECT task_id, concat(replace(model_name, 'vendor/', ''), ' [', example_selection, ']') AS label,
         replace(model_name, 'vendor/', '') AS short_label FROM judged WHERE regressed"""),
@@ -583,7 +584,7 @@ ORACLES = {
     "sql_functions": with_(summary_ctes(0.25), f"""SELECT replace(model_name, 'vendor/', '') AS model, task_id, example_selection,
         {rounds(['learning_curve_auc'])}, threshold_shots, {rounds(['improvement_rate'])},
         CASE threshold_shots WHEN -1 THEN 2 WHEN 0 THEN 4 WHEN 1 THEN 4 WHEN 2 THEN 4 ELSE 8 END AS nearest_shot,
-        CASE threshold_shots WHEN -1 THEN 0.0 WHEN 0 THEN 0.3e0 ELSE round(1 - {fall('9 - threshold_shots', 3)} / 720, 9) END AS chance
+        CASE threshold_shots WHEN -1 THEN 0.0 WHEN 0 THEN 0.3e0 ELSE round(1 - {fall('9 - threshold_shots', 3)} / 720 + 1e-12, 9) END AS chance
         FROM summary"""),
     "whole_evaluation": """WITH m(model_name) AS (VALUES ('vendor/model_a'), ('claude-b')), s(shot_count) AS (VALUES (0), (1), (2), (4), (8)),
         c(scoring_method) AS (VALUES ('exact_match'), ('llm_judge')), t(trial) AS (VALUES (1), (2))

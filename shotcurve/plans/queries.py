@@ -14,7 +14,7 @@ from shotcurve.operators import (
     collapse, costs, grid, judge as judging, prompts, reports, responses, scoring, selection,
     similarity, summarize as agg)
 from shotcurve.plans import evaluation, tables
-from shotcurve.plans.scratch import shared_folder
+from shotcurve.scratch import shared_folder
 from shotcurve.schemas import EVAL_KEY, EVAL_RESULTS, SUMMARY_KEYS
 from shotcurve.sources import results, tasks
 from shotcurve.streaming import ingest
@@ -30,9 +30,10 @@ def query(f):
     return f
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+def rounded(df: DataFrame) -> DataFrame:
     return df.select(*[
-        F.round(c, digits).alias(c) if kind == "double" else F.col(f"`{c}`") for c, kind in df.dtypes])
+        metrics.stable_round(F.col(f"`{c}`"), DIGITS).alias(c) if kind == "double" else F.col(f"`{c}`")
+        for c, kind in df.dtypes])
 
 
 def facts_of(spark, sf):
@@ -474,7 +475,7 @@ def usage_totals(spark, sf):
 
 @query
 def improvement_rates(spark, sf):
-    return summary_of(spark, sf).select(*SUMMARY_KEYS, F.round(metrics.improvement_rate(), DIGITS).alias("improvement_rate"))
+    return rounded(summary_of(spark, sf).select(*SUMMARY_KEYS, metrics.improvement_rate().alias("improvement_rate")))
 
 
 @query
@@ -484,7 +485,7 @@ def threshold_shots(spark, sf):
 
 @query
 def learning_curve_aucs(spark, sf):
-    return summary_of(spark, sf).select(*SUMMARY_KEYS, F.round(metrics.learning_curve_auc(), DIGITS).alias("learning_curve_auc"))
+    return rounded(summary_of(spark, sf).select(*SUMMARY_KEYS, metrics.learning_curve_auc().alias("learning_curve_auc")))
 
 
 @query
@@ -495,7 +496,7 @@ def efficiency_metrics(spark, sf):
 
 @query
 def score_variance(spark, sf):
-    return summary_of(spark, sf).select(*SUMMARY_KEYS, F.round("score_variance", DIGITS).alias("score_variance"))
+    return rounded(summary_of(spark, sf).select(*SUMMARY_KEYS, "score_variance"))
 
 
 @query
@@ -510,7 +511,7 @@ def pass_probabilities(spark, sf):
 
 @query
 def reliability_metrics(spark, sf):
-    facts = facts_of(spark, sf).withColumn("score", F.round("score", 2))
+    facts = facts_of(spark, sf).withColumn("score", F.floor(F.col("score") * 100) / 100)
     return rounded(agg.reliability_metrics(facts, threshold=0.3))
 
 
@@ -559,7 +560,7 @@ def priced_usage(spark, sf):
 @query
 def cost_economy(spark, sf):
     costed = costs.with_cost(_priced(spark, sf), time_price=0.0001)
-    return costed.select("event_id", F.round("total_cost", DIGITS).alias("total_cost"),
+    return costed.select("event_id", metrics.stable_round("total_cost", DIGITS).alias("total_cost"),
                          F.round("economy_score", 4).alias("economy_score"))
 
 
@@ -731,16 +732,16 @@ def stream_ingest(spark, sf):
 def sql_functions(spark, sf):
     register_sql_functions(spark)
     summary_of(spark, sf).createOrReplaceTempView("curve_summary")
-    return spark.sql("""
-        SELECT short_model_name(model_name) AS model, task_id, example_selection,
-               round(learning_curve_auc(score_0shot, score_1shot, score_2shot, score_4shot, score_8shot), 9)
-                 AS learning_curve_auc,
-               threshold_shots(score_0shot, score_1shot, score_2shot, score_4shot, score_8shot, 0.25D)
-                 AS threshold_shots,
-               round(improvement_rate(score_0shot, score_8shot), 9) AS improvement_rate,
-               resolve_shot_count(threshold_shots + 4) AS nearest_shot,
-               round(pass_at_k(10, threshold_shots + 1, 3), 9) AS chance
-        FROM curve_summary""")
+    scores = ", ".join(metrics.SCORE_COLUMNS)
+    return spark.sql(f"""
+        SELECT model, task_id, example_selection, round(auc + 1e-12D, 9) AS learning_curve_auc,
+               reached AS threshold_shots, round(gain + 1e-12D, 9) AS improvement_rate,
+               resolve_shot_count(reached + 4) AS nearest_shot,
+               round(pass_at_k(10, reached + 1, 3) + 1e-12D, 9) AS chance
+        FROM (SELECT short_model_name(model_name) AS model, task_id, example_selection,
+                     learning_curve_auc({scores}) AS auc, threshold_shots({scores}, 0.25D) AS reached,
+                     improvement_rate(score_0shot, score_8shot) AS gain
+              FROM curve_summary)""")
 
 
 @query
