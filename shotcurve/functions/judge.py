@@ -91,20 +91,24 @@ def _to_number(text: Column) -> Column:
     return F.translate(text, "０１２３４５６７８９", "0123456789").try_cast("double")
 
 
-def parse_reply(reply) -> Column:
-    """Struct (score, reason) of a grader reply; NULL score when unreadable.
-
-    Tried in turn: a JSON object with a numeric score (the first fenced block
-    if there is one, else the whole reply), the word score followed by a
-    number, a bare number."""
-    text = strip(reply)
-    body = F.when(text.rlike(fv.REPLY_FENCE), strip(F.regexp_extract(text, fv.REPLY_FENCE, 1))).otherwise(text)
-    data = F.try_parse_json(body)
+def reply_body(text) -> Column:
+    """The first fenced block of a trimmed reply, or all of it."""
+    text = as_column(text)
+    return F.when(text.rlike(fv.REPLY_FENCE),
+                  strip(F.regexp_extract(text, fv.REPLY_FENCE, 1))).otherwise(text)
+
+
+def score_of_reply(text, data) -> Column:
+    """Struct (score, reason) of a trimmed reply and its body as variant; NULL
+    score when unreadable.
+
+    Tried in turn: a JSON object with a numeric score, the word score followed
+    by a number, a bare number."""
+    text, data = as_column(text), as_column(data)
     raw = F.try_variant_get(data, "$.score", "variant")
-    raw_text = F.try_variant_get(data, "$.score", "string")
     is_text = F.schema_of_variant(raw) == "STRING"
-    from_json = F.when(~is_text | raw_text.rlike(fv.NUMERIC_TEXT),
-                       F.try_variant_get(data, "$.score", "double"))
+    numeric = F.try_variant_get(data, "$.score", "string").rlike(fv.NUMERIC_TEXT)
+    from_json = F.when(~is_text | numeric, F.try_variant_get(data, "$.score", "double"))
     worded = _to_number(F.nullif(F.regexp_extract(text, fv.REPLY_SCORE, 1), F.lit("")))
     bare = F.when(text.rlike(fv.REPLY_BARE), _to_number(text))
     score = F.coalesce(from_json, worded, bare)

@@ -23,10 +23,18 @@ def _nfkc():
     return F.arrow_udf(normalize, T.StringType())
 
 
-def nfkc(c) -> Column:
-    """NFKC form. Only rows holding a character NFKC might change reach Python."""
+def _nfkc_changes(c: Column) -> Column:
+    # ASCII texts pass on their size alone; only other characters are looked at
+    beyond_ascii = F.regexp_replace(c, r"[\x00-\x7f]+", "")
+    return (F.octet_length(c) != F.char_length(c)) & beyond_ascii.rlike(f"[^{fv.NFKC_STABLE}]")
+
+
+def nfkc(c, source=None) -> Column:
+    """NFKC form. Only rows holding a character NFKC might change reach Python.
+    source is the text c was cut from, if there is one: searched in its place,
+    it saves working out c twice."""
     c = as_column(c)
-    affected = c.rlike(f"[^{fv.NFKC_STABLE}]")
+    affected = _nfkc_changes(c if source is None else as_column(source))
     return F.coalesce(_nfkc()(F.when(affected, c)), c)
 
 
@@ -37,7 +45,7 @@ def strip(c) -> Column:
 
 def split_words(c) -> Column:
     """Whitespace-separated words; no empty strings, [] for blank text."""
-    return F.filter(F.split(as_column(c), WHITESPACE_RUN), lambda w: w != "")
+    return F.array_remove(F.split(as_column(c), WHITESPACE_RUN), "")
 
 
 def remove_markdown(c) -> Column:
@@ -50,7 +58,7 @@ def remove_markdown(c) -> Column:
 
 def normalize_text(c) -> Column:
     """Markdown removed, NFKC, lower case, single spaces, trimmed."""
-    c = F.lower(nfkc(remove_markdown(c)))
+    c = F.lower(nfkc(remove_markdown(c), source=c))
     return F.trim(F.regexp_replace(c, WHITESPACE_RUN, " "))
 
 
@@ -62,8 +70,7 @@ def char_type_runs(c) -> Column:
 def tokenize(c) -> Column:
     """Words when there are at least three, else character-class runs."""
     c = as_column(c)
-    words = split_words(c)
-    return F.when(F.size(words) >= fv.MIN_WHITESPACE_TOKENS, words).otherwise(char_type_runs(c))
+    return F.when(c.rlike(fv.THREE_WORDS), split_words(c)).otherwise(char_type_runs(c))
 
 
 def exact_match_score(norm_expected, norm_actual) -> Column:
@@ -74,37 +81,36 @@ def contains_score(norm_expected, norm_actual) -> Column:
     return F.contains(as_column(norm_actual), as_column(norm_expected)).cast("double")
 
 
-def _harmonic(p: Column, r: Column) -> Column:
-    return F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+def common_tokens(expected_tokens, actual_tokens) -> Column:
+    return F.size(F.array_intersect(as_column(expected_tokens), as_column(actual_tokens)))
 
 
-def token_set_f1(expected_tokens, actual_tokens, norm_expected, norm_actual) -> Column:
+def token_set_f1(expected_tokens, actual_tokens, common, norm_expected, norm_actual) -> Column:
     """F1 over token sets. With no common token, tokens found inside the other
-    text count instead, in both directions."""
-    et, at = as_column(expected_tokens), as_column(actual_tokens)
-    ne, na = as_column(norm_expected), as_column(norm_actual)
+    text count instead, in both directions.
+
+    With precision x/a and recall y/e, F1 = 2xy / (xe + ya); both are the
+    common tokens in the first case, which leaves 2x / (a + e)."""
+    et, at, common = as_column(expected_tokens), as_column(actual_tokens), as_column(common)
     n_e, n_a = F.size(et), F.size(at)
-    common = F.size(F.array_intersect(et, at))
 
     def hits(tokens, text):
         return F.size(F.filter(
             tokens,
             lambda t: (F.length(t) >= fv.MIN_PARTIAL_LENGTH) & F.contains(text, t)))
 
+    x, y = hits(at, as_column(norm_expected)), hits(et, as_column(norm_actual))
     return (
-        F.when(et.isNull() | at.isNull(), F.lit(None).cast("double"))
+        F.when(common.isNull(), F.lit(None).cast("double"))
         .when((n_e == 0) | (n_a == 0), F.lit(0.0))
-        .when(common > 0, _harmonic(common / n_a, common / n_e))
-        .otherwise(_harmonic(hits(at, ne) / n_a, hits(et, na) / n_e))
-    )
+        .when(common > 0, 2.0 * common / (n_a + n_e))
+        .otherwise(F.coalesce(F.try_divide(2.0 * x * y, x * n_e + y * n_a), F.lit(0.0))))
 
 
 def f1_score(norm_expected, norm_actual) -> Column:
     """F1 of two normalized texts."""
-    return token_set_f1(
-        F.array_distinct(tokenize(norm_expected)),
-        F.array_distinct(tokenize(norm_actual)),
-        norm_expected, norm_actual)
+    et, at = F.array_distinct(tokenize(norm_expected)), F.array_distinct(tokenize(norm_actual))
+    return token_set_f1(et, at, common_tokens(et, at), norm_expected, norm_actual)
 
 
 def char_ngrams(c) -> Column:

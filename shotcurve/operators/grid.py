@@ -35,8 +35,10 @@ def evaluation_grid(test_cases: DataFrame, models, shots: Sequence[int] = tuple(
     """Every test case for every selection, trial, model and shot.
 
     The other axes are short configured lists, so each test case expands in
-    place, without a join or a shuffle. ordered sorts by selection, trial,
-    model, task, shot and test case."""
+    place, without a join. The cases, few against the grid, are spread over
+    all partitions first, so that the grid is built and worked on in parallel
+    even when they come from one small file. ordered sorts by selection,
+    trial, model, task, shot and test case."""
     if isinstance(models, DataFrame):
         models = model_names(models)
     unknown = [s for s in selections if s not in fv.SELECTIONS]
@@ -46,6 +48,9 @@ def evaluation_grid(test_cases: DataFrame, models, shots: Sequence[int] = tuple(
         raise ValueError("models, shots, trials and selections must not be empty")
     if "task_pos" not in test_cases.columns:
         test_cases = test_cases.withColumn("task_pos", F.lit(0))
+    spread = [c for c in ("task_id", "pos", "input") if c in test_cases.columns]
+    partitions = int(test_cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    test_cases = test_cases.repartition(partitions, *spread)
     grid = test_cases.select("*", _ordinals(selections, "example_selection", "selection_pos"))
     grid = grid.select("*", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial_id"))
     grid = grid.select("*", _ordinals(models, "model_name", "model_pos"))

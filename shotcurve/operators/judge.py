@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shotcurve.functions import judge as J
+from shotcurve.functions.text import strip
 
 
 def _column(df: DataFrame, name: str, kind: str):
@@ -49,8 +50,17 @@ def judge_prompts(df: DataFrame) -> DataFrame:
         .otherwise(J.natural_judge_prompt(expected, *rest)))
 
 
+def with_parsed_reply(df: DataFrame, reply) -> DataFrame:
+    """Add _parsed, the struct (score, reason) of a reply column; step by step,
+    so that each reply is trimmed and parsed once."""
+    return (
+        df.withColumn("_text", strip(reply))
+        .withColumn("_data", F.try_parse_json(J.reply_body("_text")))
+        .withColumn("_parsed", J.score_of_reply("_text", "_data"))
+        .drop("_text", "_data"))
+
+
 def parse_judge_replies(df: DataFrame, reply: str = "reply") -> DataFrame:
     """Add score and reason; score is NULL when the reply cannot be read."""
-    parsed = df.withColumn("_parsed", J.parse_reply(reply))
-    return parsed.withColumns({"score": F.col("_parsed.score"),
-                               "reason": F.col("_parsed.reason")}).drop("_parsed")
+    return with_parsed_reply(df, reply).withColumns(
+        {"score": F.col("_parsed.score"), "reason": F.col("_parsed.reason")}).drop("_parsed")

@@ -4,9 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotcurve import fixed_values as fv
-from shotcurve.functions.judge import parse_reply
 from shotcurve.functions.text import (
-    contains_score, exact_match_score, normalize_text, token_set_f1, tokenize)
+    common_tokens, contains_score, exact_match_score, normalize_text, token_set_f1, tokenize)
+from shotcurve.operators.judge import with_parsed_reply
 
 
 def with_normalized(pairs: DataFrame, expected="expected_output", actual="actual_output",
@@ -20,15 +20,22 @@ def with_normalized(pairs: DataFrame, expected="expected_output", actual="actual
 
 
 def with_tokens(normalized: DataFrame, where: Column | None = None) -> DataFrame:
-    """Add the token sets of the normalized texts; NULL for rows outside where."""
+    """Add the token sets of the normalized texts and the number of tokens they
+    share; NULL for rows outside where."""
     def tokens(c):
         distinct = F.array_distinct(tokenize(c))
         return distinct if where is None else F.when(where, distinct)
-    return normalized.withColumns({"expected_tokens": tokens("norm_expected"),
-                                   "actual_tokens": tokens("norm_actual")})
+    return normalized.withColumns({
+        "expected_tokens": tokens("norm_expected"), "actual_tokens": tokens("norm_actual"),
+    }).withColumn("common_tokens", common_tokens("expected_tokens", "actual_tokens"))
 
 
-_WORK = ["norm_expected", "norm_actual", "expected_tokens", "actual_tokens"]
+_WORK = ["norm_expected", "norm_actual", "expected_tokens", "actual_tokens", "common_tokens"]
+
+
+def _f1() -> Column:
+    return token_set_f1("expected_tokens", "actual_tokens", "common_tokens",
+                        "norm_expected", "norm_actual")
 
 
 def score_exact_match(pairs: DataFrame) -> DataFrame:
@@ -42,16 +49,14 @@ def score_contains(pairs: DataFrame) -> DataFrame:
 
 
 def score_f1(pairs: DataFrame) -> DataFrame:
-    return with_tokens(with_normalized(pairs)).withColumn("score", token_set_f1(
-        "expected_tokens", "actual_tokens", "norm_expected", "norm_actual")).drop(*_WORK)
+    return with_tokens(with_normalized(pairs)).withColumn("score", _f1()).drop(*_WORK)
 
 
 def _standard(method: Column) -> Column:
     return (
         F.when(method == "exact_match", exact_match_score("norm_expected", "norm_actual"))
         .when(method == "contains", contains_score("norm_expected", "norm_actual"))
-        .when(method == "f1", token_set_f1("expected_tokens", "actual_tokens",
-                                           "norm_expected", "norm_actual")))
+        .when(method == "f1", _f1()))
 
 
 def attach_grader_replies(df: DataFrame, replies: DataFrame, keys: list[str],
@@ -80,10 +85,11 @@ def score_results(df: DataFrame, grader: bool = False, reply: str = "grader_repl
     fallback_method = fallback if fallback in fv.STANDARD_METHODS else "f1"
     judged = method == "llm_judge"
 
-    parsed = parse_reply(reply) if grader and reply in df.columns else F.lit(None)
-    df = df.withColumn("_parsed", F.when(judged & ~failed, parsed) if grader else F.lit(None))
-    parsed_score = F.col("_parsed.score") if grader and reply in df.columns else F.lit(None).cast("double")
-    parsed_reason = F.col("_parsed.reason") if grader and reply in df.columns else F.lit(None).cast("string")
+    if grader and reply in df.columns:
+        df = with_parsed_reply(df, F.when(judged & ~failed, F.col(reply)))
+        parsed_score, parsed_reason = F.col("_parsed.score"), F.col("_parsed.reason")
+    else:
+        parsed_score, parsed_reason = F.lit(None).cast("double"), F.lit(None).cast("string")
 
     error = (
         F.when(failed, F.lit(None))

@@ -748,8 +748,10 @@ def sql_functions(spark, sf):
 def whole_evaluation(spark, sf):
     """Pack JSON -> grid -> prompts -> responses -> scores -> summary."""
     packs = _packs(spark, sf)
-    built = evaluation.prompts_to_run(packs, MODELS[:2], trials=2, selections=["fixed"])
-    said = built.select(*EVAL_KEY, F.col("input"), "task_id").dropDuplicates(EVAL_KEY)
+    axes = {"trials": 2, "selections": ["fixed"]}
+    built = evaluation.prompts_to_run(packs, MODELS[:2], **axes)
+    said = grid.with_eval_key(grid.evaluation_grid(packs.test_cases, MODELS[:2], **axes)).select(
+        *EVAL_KEY, "input").dropDuplicates(EVAL_KEY)
     expected = packs.test_cases.filter(~F.col("expected_is_rubric")).select(
         F.col("task_id").alias("task"), F.col("input").alias("case"), F.col("expected_output").alias("answer"))
     said = said.join(expected, (F.col("task_id") == F.col("task")) & (F.col("input") == F.col("case")), "left")

@@ -26,17 +26,20 @@ def _json_files(spark: SparkSession, path: str, pattern: str = "*.json") -> Data
         F.col("_metadata.file_name").alias("file_name"))
 
 
-def _missing(source: str, fields: list[str]) -> Column:
+def _missing(fields: list[str], source: str = "") -> Column:
     # names of absent required fields
     return F.filter(
-        F.array(*[F.when(F.col(f"{source}.{f}").isNull(), F.lit(f)) for f in fields]),
+        F.array(*[F.when(F.col(source + f).isNull(), F.lit(f)) for f in fields]),
         lambda f: f.isNotNull())
 
 
-def _required(df: DataFrame, source: str, fields: list[str], where: Column) -> DataFrame:
-    missing = _missing(source, fields)
+def _with_required(df: DataFrame, fields: list[str], what: str, strict: bool,
+                   source: str = "") -> DataFrame:
+    missing = _missing(fields, source)
+    if not strict:
+        return df.filter(F.size(missing) == 0)
     return df.filter(F.when(F.size(missing) > 0, F.raise_error(F.concat(
-        F.lit("required field missing: "), F.array_join(missing, ", "), F.lit(" in "), where)
+        F.lit(f"{what}: required field missing: "), F.array_join(missing, ", "))
     ).cast("boolean")).otherwise(F.lit(True)))
 
 
@@ -44,6 +47,12 @@ def _parse(json, schema: str, strict: bool) -> Column:
     return F.from_json(json, schema, {"mode": "FAILFAST" if strict else "PERMISSIVE"})
 
 
+def _parsed_columns(json, schema: str, strict: bool) -> Column:
+    # As a generator the JSON is parsed once; as a plain struct, filters on its
+    # fields would each parse it again.
+    return F.inline(F.array(_parse(json, schema, strict)))
+
+
 _TEXT_CASES = "test_cases array<struct<expected_output: string>>"
 
 
@@ -52,47 +61,34 @@ def parse_task_packs(raw: DataFrame, json: str = "json", strict: bool = True) ->
 
     strict fails on unreadable JSON, missing required fields and unknown
     measures; otherwise such packs are left out."""
-    parsed = raw.select(
-        "*", _parse(json, PACK_JSON, strict).alias("pack"),
-        _parse(json, f"tasks array<struct<{_TEXT_CASES}>>", strict).alias("texts"))
-    if strict:
-        parsed = _required(parsed, "pack", fv.PACK_REQUIRED, F.lit("task pack"))
-    else:
-        parsed = parsed.filter(F.size(_missing("pack", fv.PACK_REQUIRED)) == 0)
-    packs = parsed.select(
-        "pack.pack_id", "pack.pack_name", "pack.description", "pack.version", "pack.categories",
-        F.size("pack.tasks").alias("task_count"))
-    tasks = parsed.select(
-        F.col("pack.pack_id").alias("pack_id"), "texts",
-        F.posexplode("pack.tasks").alias("task_pos", "task"))
-    tasks = tasks.withColumn(
-        "text_cases", F.get(F.col("texts.tasks"), F.col("task_pos"))["test_cases"]).drop("texts")
+    texts = _parse(json, f"tasks array<struct<{_TEXT_CASES}>>", strict)["tasks"]
+    parsed = raw.select(texts.alias("texts"), _parsed_columns(json, PACK_JSON, strict))
+    parsed = _with_required(parsed, fv.PACK_REQUIRED, "task pack", strict)
+    packs = parsed.select("pack_id", "pack_name", "description", "version", "categories",
+                          F.size("tasks").alias("task_count"))
+    tasks = parsed.select("pack_id", "texts", F.posexplode("tasks").alias("task_pos", "task"))
+    tasks = tasks.select(
+        "pack_id", "task_pos", "task.*",
+        F.get(F.col("texts"), F.col("task_pos"))["test_cases"].alias("text_cases"))
     return TaskTables(packs, *_task_tables(tasks, ["pack_id"], strict))
 
 
 def _task_tables(tasks: DataFrame, ids: list[str], strict: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    if strict:
-        tasks = _required(tasks, "task", fv.TASK_REQUIRED, F.lit("task"))
-    else:
-        tasks = tasks.filter(F.size(_missing("task", fv.TASK_REQUIRED)) == 0)
-    table = tasks.select(
-        *ids, "task_pos", "task.task_id", "task.category", "task.description", "task.difficulty",
-        "task.version", "task.measures", "task.instruction",
-        F.to_json("task.agency_config").alias("agency_config"))
-    table = with_task_defaults(table)
+    tasks = _with_required(tasks, fv.TASK_REQUIRED, "task", strict)
+    table = with_task_defaults(tasks.select(
+        *ids, "task_pos", "task_id", "category", "description", "difficulty",
+        "version", "measures", "instruction", F.to_json("agency_config").alias("agency_config")))
     if strict:
         table = reject_invalid_tasks(table)
-    keys = [*ids, "task_pos", F.col("task.task_id").alias("task_id")]
 
     def rows(field: str, is_distractor: bool) -> DataFrame:
-        return tasks.select(*keys, F.posexplode(f"task.{field}").alias("pos", "e")).select(
+        return tasks.select(*ids, "task_pos", "task_id", F.posexplode(field).alias("pos", "e")).select(
             *ids, "task_pos", "task_id", "pos", "e.input", "e.output",
             F.lit(is_distractor).alias("is_distractor"))
 
     examples = rows("examples", False).unionByName(rows("distractors", True))
-    cases = tasks.select(
-        *keys, F.col("task.category").alias("category"), "text_cases",
-        F.posexplode("task.test_cases").alias("pos", "c"))
+    cases = tasks.select(*ids, "task_pos", "task_id", "category", "text_cases",
+                         F.posexplode("test_cases").alias("pos", "c"))
     kind = F.schema_of_variant("c.expected_output")
     cases = cases.select(
         *ids, "task_pos", "task_id", "category", "pos", "c.input",
@@ -142,12 +138,11 @@ def parse_task_files(raw: DataFrame) -> TaskTables:
     """Single-task JSON texts (columns json, file_name) -> task tables. Pack
     files, by name or for want of required fields, are skipped."""
     raw = raw.filter(~F.col("file_name").startswith("task_pack_"))
-    parsed = raw.select("file_name", _parse("json", TASK_JSON, True).alias("task"),
-                        _parse("json", _TEXT_CASES, True).alias("texts"))
-    tasks = (
-        parsed.filter(F.size(_missing("task", fv.TASK_REQUIRED)) == 0)
-        .select("file_name", F.lit(0).alias("task_pos"), "task",
-                F.col("texts.test_cases").alias("text_cases")))
+    tasks = raw.select(
+        "file_name", F.lit(0).alias("task_pos"),
+        _parse("json", _TEXT_CASES, True)["test_cases"].alias("text_cases"),
+        _parsed_columns("json", TASK_JSON, True))
+    tasks = _with_required(tasks, fv.TASK_REQUIRED, "task", strict=False)
     table, examples, cases = _task_tables(tasks, ["file_name"], strict=True)
     no_packs = table.limit(0).select(F.lit("").alias("pack_id"))
     return TaskTables(no_packs, table.orderBy("file_name"), examples, cases)
@@ -178,11 +173,11 @@ def catalogue_of(raw: DataFrame) -> DataFrame:
     """Catalogue rows of pack JSON texts (columns json, file_path)."""
     head = "pack_id string, pack_name string, description string, tasks array<variant>"
     return (
-        raw.select("file_path", _parse("json", head, False).alias("p"))
-        .filter(F.col("p.pack_id").isNotNull())
-        .select("p.pack_id", F.coalesce("p.pack_name", "p.pack_id").alias("pack_name"),
-                F.coalesce("p.description", F.lit("")).alias("description"), "file_path",
-                F.coalesce(F.size("p.tasks"), F.lit(0)).alias("task_count")))
+        raw.select("file_path", _parsed_columns("json", head, False))
+        .filter(F.col("pack_id").isNotNull())
+        .select("pack_id", F.coalesce("pack_name", "pack_id").alias("pack_name"),
+                F.coalesce("description", F.lit("")).alias("description"), "file_path",
+                F.coalesce(F.size("tasks"), F.lit(0)).alias("task_count")))
 
 
 def tasks_needing_judge(test_cases: DataFrame) -> DataFrame:
