@@ -1,0 +1,70 @@
+import json
+
+import pytest
+
+from shotcurve.operators import judge, scoring
+
+
+@pytest.mark.parametrize("reply, score, reason", [
+    ('{"score": 0.8, "reason": "good"}', 0.8, "good"),
+    ('```json\n{"score": 0.5}\n```', 0.5, None),
+    ('text ```\n{"score": "0.7"}\n``` more', 0.7, None),
+    ('{"score": 7}', 1.0, None),
+    ('{"score": -1, "reason": "x"}', 0.0, "x"),
+    ('{"score": true}', 1.0, None),
+    ('{"score": null}', None, None),
+    ('{"score": "0.5d"}', None, None),
+    ('[0.5]', None, None),
+    ("Score: 0.6", 0.6, None),
+    ("スコア：0.4", 0.4, None),
+    ("the SCORE 1", 1.0, None),
+    (" .25 ", 0.25, None),
+    ("0.9", 0.9, None),
+    ("2.5", None, None),
+    ('note {"score": 0.5}', None, None),
+    ("no idea", None, None),
+    ("", None, None),
+    (None, None, None),
+])
+def test_parse_reply(spark, reply, score, reason):
+    df = spark.createDataFrame([(reply,)], "reply string")
+    row = judge.parse_judge_replies(df).first()
+    assert (row["score"], row["reason"]) == (score, reason)
+
+
+CASES = "expected_output string, expected_is_rubric boolean, actual_output string, input string, acceptable_variations array<string>"
+
+
+def test_prompt_kinds_and_texts(spark):
+    rubric = '{"点": 1, "items": ["a", "b"]}'
+    rows = [("alpha beta", False, "out", "in", ["v1", "v2"]), ("Full sentence here.", False, "out", None, None),
+            ("one", False, "o", None, []), (rubric, True, "out", None, None),
+            ("a" * 40 + " b", False, "o", None, None)]
+    got = judge.judge_prompts(spark.createDataFrame(rows, CASES)).collect()
+    assert [r["prompt_kind"] for r in got] == ["keyword", "natural", "natural", "rubric", "natural"]
+    keyword, natural, _, rubric_prompt, _ = [r["judge_prompt"] for r in got]
+    assert "Keywords to check:\n  1. alpha\n  2. beta\n\nFor each" in keyword
+    assert "INPUT (the question / task that was given):\nin\n\nACTUAL (the output to evaluate):\nout\n\nACCEPTABLE" in keyword
+    assert "\n  - v1\n  - v2\n\nReturn JSON" in keyword
+    assert "6, 0.8, 1.0\n\nEXPECTED (desired intent / direction of the answer):\nFull sentence here.\n\nACTUAL" in natural
+    assert natural.endswith('out\n\nReturn JSON: {"score": <float>, "reason": "explanation"}')
+    assert json.dumps(json.loads(rubric), ensure_ascii=False, indent=2) in rubric_prompt
+
+
+def test_fallbacks(spark):
+    rows = [("a b c", False, "a b c", '{"score": 0.3, "reason": "r"}'), ("a b c", False, "a b c", "junk"),
+            ("a b c", False, "a b c", None), ("{}", True, "x", None)]
+    df = spark.createDataFrame(rows, "expected_output string, expected_is_rubric boolean, actual_output string, grader_reply string")
+    got = [(r["score"], r["reason"]) for r in scoring.judge_with_fallback(df, fallback="nope").collect()]
+    used = "LLM judge failed, used fallback: nope"
+    assert got == [(0.3, "r"), (1.0, used), (1.0, used), (0.0, "LLM judge failed, dict expected: fallback to 0.0")]
+
+
+def test_dispatch_errors(spark):
+    rows = [("a", "a", "llm_judge"), ("a", "a", "custom:z"), ("a", "a", "rouge"), ("a", "a", "exact_match")]
+    df = spark.createDataFrame(rows, "expected_output string, actual_output string, scoring_method string")
+    got = scoring.score_results(df).collect()
+    assert [r["score"] for r in got] == [None, None, None, 1.0]
+    assert [r["score_error"] is None for r in got] == [False, False, False, True]
+    with pytest.raises(Exception, match="Unknown scoring method"):
+        scoring.score_results(df, strict=True).collect()
