@@ -8,7 +8,7 @@ _NEAREST = ", ".join(f"named_struct('d', abs(shots - {s}), 's', {s})" for s in f
 _SCORES = ", ".join(f"s{s} DOUBLE" for s in fv.SHOTS)
 _CASES = " ".join(f"WHEN s{s} >= threshold THEN {s}" for s in fv.SHOTS)
 _AREA = " + ".join(f"(s{a} + s{b}) / 2 * {b - a}" for a, b in zip(fv.SHOTS, fv.SHOTS[1:]))
-_DRAWS = ("aggregate(sequence(0, k - 1), 1D, (a, i) -> a * CAST({top} - i AS DOUBLE) / CAST(n - i AS DOUBLE))")
+_DRAWS = ("aggregate(sequence(0, k - 1), 1D, (a, i) -> a * (CAST({top} - i AS DOUBLE) / CAST(n - i AS DOUBLE)))")
 
 FUNCTIONS = {
     "short_model_name(name STRING) RETURNS STRING": "substring_index(name, '/', -1)",

@@ -1,7 +1,8 @@
 """Text cleaning, tokenizing and pair scoring as Column expressions."""
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,9 +18,11 @@ def as_column(c) -> Column:
 
 
 def _nfkc():
-    # nested, so that it travels to workers by value
+    # Nested, so that it travels to workers by value. Arrow's own utf8_normalize
+    # decomposes but does not compose again, so it will not do.
     def normalize(texts: pa.Array) -> pa.Array:
-        return pc.utf8_normalize(texts, form="NFKC")
+        return pa.array([None if t is None else unicodedata.normalize("NFKC", t)
+                         for t in texts.to_pylist()], pa.string())
     return F.arrow_udf(normalize, T.StringType())
 
 

@@ -141,7 +141,7 @@ def test_detectors_with_gaps(spark):
 
 
 def test_few_shot_collapse_rules(spark):
-    df = curves(spark, [[0.8, 0.1, 0.1, 0.1, 0.4], [0.8, 1, 1, 1, 0.71], [0.8, 1, 1, 1, 0.72], [0.05, 0, 0, 0, 0], [0.8, 1, 1, 1, None]])
+    df = curves(spark, [[0.8, 0.1, 0.1, 0.1, 0.4], [0.8, 1.0, 1.0, 1.0, 0.71], [0.8, 1.0, 1.0, 1.0, 0.73], [0.05, 0.0, 0.0, 0.0, 0.0], [0.8, 1.0, 1.0, 1.0, None]])
     got = [(r["task_id"], r["severity"]) for r in collapse.detect_few_shot_collapse(df).collect()]
     assert got == [("t0", "collapse"), ("t1", "degradation")]  # worst first
     shorter = collapse.detect_few_shot_collapse(df.drop("score_8shot"))
