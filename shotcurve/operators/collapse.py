@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from shotcurve import fixed_values as fv
 from shotcurve.functions import curves
-from shotcurve.functions.metrics import SCORE_COLUMNS
+from shotcurve.scratch import cut_lineage
 
 LabelFn = Callable[[Column, Column], Column]
 
@@ -26,12 +26,6 @@ def _identity(summary: DataFrame, label: LabelFn | None) -> list[Column]:
     ]
 
 
-def _worst_first(alerts: DataFrame, ordered: bool) -> DataFrame:
-    if not ordered:
-        return alerts
-    return alerts.orderBy(F.desc("drop_pct"), "model", "task_id", "example_selection")
-
-
 def label_from(mapping: DataFrame, alerts: DataFrame) -> DataFrame:
     """Replace task_label by the mapping's label (task_id[, category] -> label);
     tasks it does not list keep their label."""
@@ -55,20 +49,63 @@ def final_shot_column(summary: DataFrame) -> str | None:
     return present[max(present)] if present else None
 
 
-def detect_few_shot_collapse(summary: DataFrame, label: LabelFn | None = None,
-                             ordered: bool = True) -> DataFrame:
-    """Rows whose last score lies more than a tenth below the zero-shot score."""
+def _with_curve(summary: DataFrame) -> DataFrame:
+    return with_series(summary).withColumn("dip", curves.largest_dip("series"))
+
+
+_ALERT_TYPES = {
+    "severity": "string", "score_0shot": "double", "score_final": "double", "score_peak": "double",
+    "peak_shot": "int", "from_shot": "int", "to_shot": "int", "score_from": "double",
+    "score_to": "double", "drop_pct": "double",
+}
+
+
+def _few_shot_collapse(summary: DataFrame) -> tuple[Column, dict[str, Column]]:
     last = final_shot_column(summary)
     zero = F.col("score_0shot") if "score_0shot" in summary.columns else F.lit(0.0)
     zero = F.nanvl(zero.cast("double"), F.lit(None))
     final = F.nanvl(F.col(last).cast("double"), F.lit(None)) if last else F.lit(None).cast("double")
-    drop = (zero - final) / zero * 100
-    alerts = summary.filter((zero > fv.BASELINE_FLOOR) & (final < zero * fv.COLLAPSE_FACTOR)).select(
-        F.lit("few_shot_collapse").alias("type"),
-        F.when(drop >= fv.COLLAPSE_SEVERE_PCT, "collapse").otherwise("degradation").alias("severity"),
-        *_identity(summary, label),
-        zero.alias("score_0shot"), final.alias("score_final"), drop.alias("drop_pct"))
-    return _worst_first(alerts, ordered)
+    drop = F.try_divide(zero - final, zero) * 100
+    severity = F.when(drop >= fv.COLLAPSE_SEVERE_PCT, "collapse").otherwise("degradation")
+    return (
+        (zero > fv.BASELINE_FLOOR) & (final < zero * fv.COLLAPSE_FACTOR),
+        {"severity": severity, "score_0shot": zero, "score_final": final, "drop_pct": drop})
+
+
+def _peak_regression(summary: DataFrame) -> tuple[Column, dict[str, Column]]:
+    top, last = curves.peak("series"), curves.final_score("series")
+    return curves.is_peak_regression("series"), {
+        "score_peak": top["score"], "peak_shot": top["shot"], "score_final": last,
+        "drop_pct": F.try_divide(top["score"] - last, top["score"]) * 100}
+
+
+def _mid_curve_dip(summary: DataFrame) -> tuple[Column, dict[str, Column]]:
+    names = ["from_shot", "to_shot", "score_from", "score_to", "drop_pct"]
+    return F.col("dip").isNotNull(), {n: F.col("dip")[n] for n in names}
+
+
+_DETECTORS = {
+    "few_shot_collapse": _few_shot_collapse,
+    "peak_regression": _peak_regression,
+    "mid_curve_dip": _mid_curve_dip,
+}
+
+
+def _detect(kind: str, summary: DataFrame, label: LabelFn | None, ordered: bool) -> DataFrame:
+    found, fields = _DETECTORS[kind](summary)
+    alerts = _with_curve(summary).filter(found).select(
+        F.lit(kind).alias("type"), *_identity(summary, label),
+        *[c.alias(name) for name, c in fields.items()])
+    if not ordered:
+        return alerts
+    return alerts.orderBy(F.desc("drop_pct"), "model", "task_id", "example_selection")
+
+
+def detect_few_shot_collapse(summary: DataFrame, label: LabelFn | None = None,
+                             ordered: bool = True) -> DataFrame:
+    """Rows whose last score lies more than a tenth below the zero-shot score,
+    worst first."""
+    return _detect("few_shot_collapse", summary, label, ordered)
 
 
 detect_negative_learning = detect_few_shot_collapse
@@ -76,41 +113,33 @@ detect_negative_learning = detect_few_shot_collapse
 
 def detect_peak_regression(summary: DataFrame, label: LabelFn | None = None,
                            ordered: bool = True) -> DataFrame:
-    """Rows that learned, peaked before the last shot and fell back."""
-    rows = with_series(summary)
-    top, last = curves.peak("series"), curves.final_score("series")
-    alerts = rows.filter(curves.is_peak_regression("series")).select(
-        F.lit("peak_regression").alias("type"),
-        *_identity(summary, label),
-        top["score"].alias("score_peak"), top["shot"].alias("peak_shot"),
-        last.alias("score_final"),
-        ((top["score"] - last) / top["score"] * 100).alias("drop_pct"))
-    return _worst_first(alerts, ordered)
+    """Rows that learned, peaked before the last shot and fell back, worst first."""
+    return _detect("peak_regression", summary, label, ordered)
 
 
 def detect_mid_curve_dip(summary: DataFrame, label: LabelFn | None = None,
                          ordered: bool = True) -> DataFrame:
-    """The steepest fall between neighbouring shots of each row that has one."""
-    rows = with_series(summary).withColumn("dip", curves.largest_dip("series"))
-    alerts = rows.filter(F.col("dip").isNotNull()).select(
-        F.lit("mid_curve_dip").alias("type"),
-        *_identity(summary, label),
-        "dip.from_shot", "dip.to_shot", "dip.score_from", "dip.score_to", "dip.drop_pct")
-    return _worst_first(alerts, ordered)
+    """The steepest fall between neighbouring shots of each row that has one,
+    worst first."""
+    return _detect("mid_curve_dip", summary, label, ordered)
 
 
 def collapse_alerts(summary: DataFrame, label: LabelFn | None = None,
                     ordered: bool = False) -> DataFrame:
-    """The three detectors' rows in one table, from one pass over the summary."""
-    zero = detect_few_shot_collapse(summary, label, ordered=False)
-    names = ["type", "severity", "model", "task_id", "task_label", "example_selection",
-             "score_0shot", "score_final", "score_peak", "peak_shot", "from_shot", "to_shot",
-             "score_from", "score_to", "drop_pct"]
-    alerts = (
-        zero.unionByName(detect_peak_regression(summary, label, ordered=False), allowMissingColumns=True)
-        .unionByName(detect_mid_curve_dip(summary, label, ordered=False), allowMissingColumns=True)
-        .select(*names))
-    return alerts.orderBy("type", F.desc("drop_pct"), "model", "task_id") if ordered else alerts
+    """The three detectors' rows in one table, from one pass over the summary:
+    each row yields its alerts, none to three."""
+    alerts = []
+    for kind, detector in _DETECTORS.items():
+        found, fields = detector(summary)
+        columns = [fields.get(n, F.lit(None)).cast(t).alias(n) for n, t in _ALERT_TYPES.items()]
+        alerts.append(F.when(found, F.struct(F.lit(kind).alias("type"), *columns)))
+    rows = (
+        _with_curve(summary)
+        .select(*_identity(summary, label), F.explode(F.array(*alerts)).alias("alert"))
+        .filter(F.col("alert").isNotNull())
+        .select("alert.type", "model", "task_id", "task_label", "example_selection",
+                *[f"alert.{n}" for n in _ALERT_TYPES]))
+    return rows.orderBy("type", F.desc("drop_pct"), "model", "task_id") if ordered else rows
 
 
 def classify_collapse(summary: DataFrame) -> DataFrame:
@@ -143,12 +172,16 @@ def resilience_score(summary: DataFrame, per_selection: bool = False) -> DataFra
     return rows.groupBy(*keys).agg(F.avg("resilience").alias("resilience_score"))
 
 
-def enrich_summary(summary: DataFrame) -> DataFrame:
+def enrich_summary(summary: DataFrame, checkpoint: bool = True) -> DataFrame:
     """Add collapse_pattern ('' when unclassified) and the model's
     resilience_score, separately for each selection.
 
     The mean comes back by join, not by window: a model with very many curves
-    is averaged with map-side combine, and the join can split its rows."""
+    is averaged with map-side combine, and the join can split its rows. The
+    summary, read twice for that, is checkpointed first, so that the facts
+    behind it are scanned once; pass checkpoint=False for a stored summary."""
+    if checkpoint:
+        summary = cut_lineage(summary)
     if "example_selection" not in summary.columns:
         summary = summary.withColumn("example_selection", F.lit(fv.DEFAULT_SELECTION))
     rows = with_pattern(summary)
@@ -205,7 +238,7 @@ def adaptation_index(scores: DataFrame, axes: list[str] | None = None) -> DataFr
 
 
 __all__ = [
-    "SCORE_COLUMNS", "adaptation_index", "classify_collapse", "collapse_alerts", "curve_long",
+    "adaptation_index", "classify_collapse", "collapse_alerts", "curve_long",
     "detect_few_shot_collapse", "detect_mid_curve_dip", "detect_negative_learning",
     "detect_peak_regression", "drop_intervals", "enrich_summary", "final_shot_column",
     "label_from", "resilience_score", "with_pattern", "with_series",

@@ -24,13 +24,18 @@ def _without_rank(items: Column) -> Column:
 
 def first_examples(examples: DataFrame) -> DataFrame:
     """Per task the first exemplars and distractors in file order, as many as
-    the largest shot count can show: columns exemplars and distractors."""
+    the largest shot count can show: columns exemplars and distractors.
+
+    Positions are ranked without their texts; the texts of the few chosen ones
+    come back by key."""
+    key = ["task_id", "is_distractor", "pos"]
     order = Window.partitionBy("task_id", "is_distractor").orderBy("pos")
     most = F.when(F.col("is_distractor"), fv.MAX_DISTRACTORS).otherwise(fv.MAX_EXEMPLARS)
-    top = (
-        examples.withColumn("rank", F.row_number().over(order))
+    chosen = (
+        examples.select(*key).withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= max(fv.MAX_EXEMPLARS, fv.MAX_DISTRACTORS))
         .filter(F.col("rank") <= most))
+    top = examples.select(*key, "input", "output").join(chosen, key)
     return top.groupBy("task_id").agg(
         _without_rank(F.collect_list(F.when(~F.col("is_distractor"), _entry(False)))).alias("exemplars"),
         _without_rank(F.collect_list(F.when(F.col("is_distractor"), _entry(True)))).alias("distractors"))

@@ -71,17 +71,19 @@ def _count_grams():
     return F.arrow_udf(count, "array<struct<gram:string,tf:bigint>>")
 
 
-def gram_counts(texts: DataFrame, keys: list[str], text: str = "input") -> DataFrame:
+def gram_counts(texts: DataFrame, keys: list[str], text: str = "input",
+                partitions: int | None = None) -> DataFrame:
     """(keys, gram, tf) of the char_wb 2- to 4-grams of each text; keys must be
     unique.
 
-    Texts are placed by key, and whatever is grouped by key later needs no
-    further shuffle. The number of partitions is fixed because a small text
-    turns into many grams: sized by its bytes, the shuffle would be merged
-    into too few tasks."""
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = texts.select(*keys, text).repartition(partitions, *keys)
-    return placed.select(*keys, F.inline(_count_grams()(text)))
+    Works where the texts lie, without a shuffle. partitions spreads them
+    first, by key, for texts that come from fewer files than there are cores;
+    the number is kept because sized by its bytes the shuffle would be merged
+    into too few tasks for the many grams of a small text."""
+    texts = texts.select(*keys, text)
+    if partitions is not None:
+        texts = texts.repartition(partitions, *keys)
+    return texts.select(*keys, F.inline(_count_grams()(text)))
 
 
 def vocabulary(example_grams: DataFrame, examples: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ def _join_on_gram(left: DataFrame, right: DataFrame, words: DataFrame, right_row
 
 
 def similarities(cases: DataFrame, examples: DataFrame, broadcast_rows: int = 2_000_000,
-                 hot_grams: int = 10_000) -> DataFrame:
+                 hot_grams: int = 10_000, partitions: int | None = None) -> DataFrame:
     """(task_id, case_key, pos, similarity) of all pairs of one task that share a gram.
 
     cases: task_id, case_key, input. examples: task_id, pos, input.
@@ -131,11 +133,12 @@ def similarities(cases: DataFrame, examples: DataFrame, broadcast_rows: int = 2_
     The vocabulary is worked out first and checkpointed. Every gram then meets
     its postings: one per test case that has it, plus one for no test case,
     which adds up the example's own length. Up to broadcast_rows postings are
-    broadcast, and everything about an example is summed where its text
-    already lies; above, both sides are shuffled by gram, with the grams of
-    many examples split into parts."""
+    broadcast: grams never move, and a pair is one row, summed where its text
+    lies, by the time it is shuffled. Above, both sides are shuffled by gram,
+    with the grams of many examples split into parts. partitions as in
+    gram_counts, for the examples."""
     example_id, case_id = ["task_id", "pos"], ["task_id", "case_key"]
-    example_grams = gram_counts(examples, example_id)
+    example_grams = gram_counts(examples, example_id, partitions=partitions)
     words = cut_lineage(vocabulary(example_grams, examples))
 
     sizes = examples.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_examples"))
@@ -145,12 +148,15 @@ def similarities(cases: DataFrame, examples: DataFrame, broadcast_rows: int = 2_
         .withColumn("in_sq", F.coalesce("in_sq", F.pow(_idf(F.lit(2)), F.lit(2.0)))))
     case_length = case_grams.groupBy(*case_id).agg(
         F.sum(F.col("tf") * F.col("tf") * F.col("in_sq")).alias("case_sq"))
-    postings = case_grams.filter(F.col("df").isNotNull()).select(
-        "task_id", "gram", "case_key",
+    # the small side carries its own length, so pairs need no join later
+    postings = case_grams.filter(F.col("df").isNotNull()).join(case_length, case_id).select(
+        "task_id", "gram", "case_key", "case_sq",
         (F.col("tf") * F.col("in_sq")).alias("dot_weight"),
         (F.col("in_sq") - F.col("out_sq")).alias("sq_weight"))
-    own = words.select("task_id", "gram", F.lit(None).cast(dict(cases.dtypes)["case_key"]).alias("case_key"),
-                       F.lit(0.0).alias("dot_weight"), F.col("out_sq").alias("sq_weight"))
+    own = words.select(
+        "task_id", "gram", F.lit(None).cast(dict(cases.dtypes)["case_key"]).alias("case_key"),
+        F.lit(None).cast("double").alias("case_sq"), F.lit(0.0).alias("dot_weight"),
+        F.col("out_sq").alias("sq_weight"))
     # no more than three n-grams start at a character
     bound = words.count() + (cases.agg(F.sum(3 * F.length("input"))).first()[0] or 0)
 
@@ -159,12 +165,13 @@ def similarities(cases: DataFrame, examples: DataFrame, broadcast_rows: int = 2_
         _join_on_gram(example_grams, own.unionByName(postings), words, bound, broadcast_rows, hot_grams)
         .groupBy(*example_id, "case_key").agg(
             F.sum(tf * F.col("dot_weight")).alias("dot"),
-            F.sum(tf * tf * F.col("sq_weight")).alias("sq")))
+            F.sum(tf * tf * F.col("sq_weight")).alias("sq"),
+            F.max("case_sq").alias("case_sq")))
     own_sq = F.max(F.when(F.col("case_key").isNull(), F.col("sq")))
     pairs = sums.withColumn("example_sq", own_sq.over(Window.partitionBy(*example_id))).filter(
         F.col("case_key").isNotNull())
     cosine = F.col("dot") / F.sqrt(F.col("case_sq") * (F.col("example_sq") + F.col("sq")))
-    return pairs.join(case_length, case_id).select(
+    return pairs.select(
         "task_id", "case_key", "pos", F.round(cosine, SIMILARITY_DIGITS).alias("similarity"))
 
 

@@ -9,6 +9,7 @@ from shotcurve.operators.responses import attach_responses, clean_responses, to_
 from shotcurve.operators.scoring import attach_grader_replies, score_results
 from shotcurve.operators.summarize import summarize
 from shotcurve.schemas import EVAL_KEY
+from shotcurve.scratch import cut_lineage
 from shotcurve.sources.tasks import TaskTables
 
 
@@ -33,5 +34,5 @@ def results_of_run(prompts: DataFrame, responses: DataFrame, run_id: str,
 
 def analyse(facts: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
     """Enriched summary and collapse alerts of scored facts."""
-    summary = summarize(facts, **options)
-    return enrich_summary(summary), collapse_alerts(summary)
+    summary = cut_lineage(summarize(facts, **options))
+    return enrich_summary(summary, checkpoint=False), collapse_alerts(summary)

@@ -14,7 +14,7 @@ from shotcurve.operators import (
     collapse, costs, grid, judge as judging, prompts, reports, responses, scoring, selection,
     similarity, summarize as agg)
 from shotcurve.plans import evaluation, tables
-from shotcurve.scratch import shared_folder
+from shotcurve.scratch import cut_lineage, shared_folder
 from shotcurve.schemas import EVAL_KEY, EVAL_RESULTS, SUMMARY_KEYS
 from shotcurve.sources import results, tasks
 from shotcurve.streaming import ingest
@@ -44,6 +44,11 @@ def summary_of(spark, sf, **options):
     return agg.summarize(facts_of(spark, sf), threshold=THRESHOLD, rounding=DIGITS, **options)
 
 
+def stored_summary_of(spark, sf):
+    """For queries that read the summary more than once: the facts are scanned once."""
+    return cut_lineage(summary_of(spark, sf))
+
+
 # --- sources and sinks -----------------------------------------------------
 
 def _packs(spark, sf):
@@ -137,7 +142,7 @@ def results_csv_round_trip(spark, sf):
 @query
 def summaries_combined(spark, sf):
     folder = shared_folder(spark, "summaries")
-    full = summary_of(spark, sf)
+    full = stored_summary_of(spark, sf)
     old = full.filter(F.col("example_selection") == "fixed").drop(
         "example_selection", "pass_at_1", "pass_all_1", "pass_at_3", "pass_all_3")
     paths = [results.write_run(full, folder, "new", "summary"),
@@ -228,10 +233,16 @@ def char_ngrams(spark, sf):
 @query
 def gram_counts(spark, sf):
     d = tables.table(spark, sf, "documents")
-    return (similarity.gram_counts(d, ["doc_id"], "text").groupBy("doc_id")
+    return (similarity.gram_counts(d, ["doc_id"], "text", **_spread(spark, d)).groupBy("doc_id")
             .agg(F.count(F.lit(1)).alias("num_grams"), F.sum("tf").alias("num_occurrences")))
 
 
+def _spread(spark, df):
+    """Partitions to spread a table over that comes in fewer pieces than that."""
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return {"partitions": wanted} if df.rdd.getNumPartitions() < wanted else {}
+
+
 def _ranking_input(spark, sf):
     cases = tables.benchmark_cases(spark, sf).select("task_id", F.col("pos").alias("case_key"), "input")
     pool = tables.example_pool(spark, sf).filter(~F.col("is_distractor"))
@@ -240,20 +251,22 @@ def _ranking_input(spark, sf):
 
 @query
 def tfidf_similarity(spark, sf):
-    return similarity.similarities(*_ranking_input(spark, sf)).withColumn(
+    return similarity.similarities(*_ranking_input(spark, sf), **_spread(spark, tables.example_pool(spark, sf))).withColumn(
         "similarity", F.round("similarity", 7))
 
 
 @query
 def tfidf_topk(spark, sf):
-    top = similarity.rank_by_similarity(*_ranking_input(spark, sf), k=fv.MAX_EXEMPLARS)
+    top = similarity.rank_by_similarity(*_ranking_input(spark, sf), k=fv.MAX_EXEMPLARS,
+                                        **_spread(spark, tables.example_pool(spark, sf)))
     return top.withColumn("similarity", F.round("similarity", 7))
 
 
 @query
 def tfidf_selection(spark, sf):
     cells = _grid(spark, sf, tables.benchmark_cases(spark, sf), models=MODELS[:1], trials=1, selections=["tfidf"])
-    return _shown(selection.select_examples_tfidf(cells, tables.example_pool(spark, sf)))
+    pool = tables.example_pool(spark, sf)
+    return _shown(selection.select_examples_tfidf(cells, pool, **_spread(spark, pool)))
 
 
 def _fixed_cells(spark, sf):
@@ -283,7 +296,8 @@ def _task_texts(spark, sf):
 @query
 def prompts_by_cell(spark, sf):
     cells = _grid(spark, sf, tables.benchmark_cases(spark, sf), models=MODELS[:1], trials=1)
-    built = prompts.build_prompts(cells, _task_texts(spark, sf), tables.example_pool(spark, sf), shuffle=False)
+    pool = tables.example_pool(spark, sf)
+    built = prompts.build_prompts(cells, _task_texts(spark, sf), pool, shuffle=False, **_spread(spark, pool))
     return built.select("task_id", "pos", "shot_count", "example_selection",
                         F.length("prompt").alias("prompt_length"), F.md5("prompt").alias("prompt_md5"))
 
@@ -675,7 +689,7 @@ def short_model_names(spark, sf):
 
 @query
 def metrics_table(spark, sf):
-    return rounded(reports.metrics_table(summary_of(spark, sf)))
+    return rounded(reports.metrics_table(stored_summary_of(spark, sf)))
 
 
 @query
@@ -699,12 +713,12 @@ def learning_curve_table(spark, sf):
 
 @query
 def leaderboard(spark, sf):
-    return rounded(reports.resilience_leaderboard(summary_of(spark, sf)))
+    return rounded(reports.resilience_leaderboard(stored_summary_of(spark, sf)))
 
 
 @query
 def pattern_table(spark, sf):
-    return reports.pattern_table(summary_of(spark, sf))
+    return reports.pattern_table(stored_summary_of(spark, sf))
 
 
 @query
