@@ -1,23 +1,35 @@
 """A folder all executors can reach, for checkpoints and intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+WAREHOUSE = "spark.sql.warehouse.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir. Where that is
-    unset, as in tests, a temporary folder takes its place."""
+    """The folder the cluster names in spark.checkpoint.dir, else one below the
+    warehouse, which executors share as well."""
     base = spark.conf.get(SETTING, None)
-    return base.rstrip("/") if base else tempfile.mkdtemp(prefix="shotcurve-")
+    return base.rstrip("/") if base else f"{spark.conf.get(WAREHOUSE).rstrip('/')}/scratch"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """New path below the shared folder."""
-    return f"{shared_root(spark)}/shotcurve-{name}-{uuid.uuid4().hex}"
+    """New path below the shared folder, deleted when the session's JVM ends."""
+    path = f"{shared_root(spark)}/shotcurve-{name}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once as parquet into the shared folder and read again: cuts
+    the lineage and survives lost executors."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
