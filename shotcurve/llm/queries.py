@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotcurve.llm import exact_dedup, warc
+from shotcurve.llm import exact_dedup, packing, warc
 from shotcurve.scratch import shared_folder
 
 
@@ -11,6 +11,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document tokenized and packed; ids are reported by their checksum."""
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document folded into an empty digest index."""
     return exact_dedup.annotate(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
@@ -24,6 +35,7 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LLM_QUERIES = {
+    "op1_packing": packing_query,
     "op2_exact_dedup": exact_dedup_query,
     "op8_warc": warc_query,
 }
