@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotcurve.llm import exact_dedup, packing, warc
+from shotcurve.llm import exact_dedup, mixing, packing, warc
 from shotcurve.scratch import shared_folder
 
 
@@ -34,10 +34,16 @@ def warc_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_index(spark, path)
 
 
+def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words every document gives to the mix."""
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
+
+
 LLM_QUERIES = {
     "op1_packing": packing_query,
     "op2_exact_dedup": exact_dedup_query,
     "op8_warc": warc_query,
+    "op10_mixing": mixing_query,
 }
 
 LLM_ORACLES = {
