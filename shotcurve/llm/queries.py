@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotcurve.llm import exact_dedup, mixing, packing, simhash_dedup, warc
+from shotcurve.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity, warc
 from shotcurve.scratch import shared_folder
 
 
@@ -27,6 +27,11 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
 
 
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document scored by a model fitted to the labels that are not held out."""
+    return toxicity.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def simhash_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its near-duplicate group."""
     return simhash_dedup.annotate(table(spark, sf_dir, "documents"))
@@ -47,6 +52,7 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_packing": packing_query,
     "op2_exact_dedup": exact_dedup_query,
+    "op4_toxicity": toxicity_query,
     "op5_simhash_dedup": simhash_dedup_query,
     "op8_warc": warc_query,
     "op10_mixing": mixing_query,
