@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shotcurve.llm import exact_dedup, mixing, packing, simhash_dedup, toxicity, warc
+from shotcurve.llm import (
+    exact_dedup, fingerprints, line_dedup, mixing, packing, simhash_dedup, toxicity, url_filter, warc)
 from shotcurve.scratch import shared_folder
 
 
@@ -27,6 +28,22 @@ def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(table(spark, sf_dir, "documents"), exact_dedup.DigestIndex(spark))
 
 
+def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by its url."""
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
+
+
+def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text."""
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
+def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page without its site's boilerplate lines."""
+    kept = line_dedup.drop_boilerplate(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return kept.select("row.page_id", "host", "n_lines", "n_dropped", "text")
+
+
 def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a model fitted to the labels that are not held out."""
     return toxicity.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -52,9 +69,12 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 LLM_QUERIES = {
     "op1_packing": packing_query,
     "op2_exact_dedup": exact_dedup_query,
+    "op3_url_filter": url_filter_query,
     "op4_toxicity": toxicity_query,
     "op5_simhash_dedup": simhash_dedup_query,
+    "op7_fingerprints": fingerprints_query,
     "op8_warc": warc_query,
+    "op9_line_dedup": line_dedup_query,
     "op10_mixing": mixing_query,
 }
 
@@ -63,6 +83,40 @@ LLM_ORACLES = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))""",
+    "op3_url_filter": """
+        WITH r AS (SELECT page_id, CASE WHEN position('://' IN url) > 0
+                          THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+        h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM r),
+        u AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                     regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM h),
+        s AS (SELECT *, '.' || host AS dotted FROM u),
+        j AS (SELECT page_id, host, path,
+                CASE WHEN dotted LIKE '%.example.org' AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                     WHEN dotted LIKE '%.example.org' AND starts_with(path, '/es/') THEN 'example.org/es/'
+                     WHEN dotted LIKE '%.com' AND starts_with(path, '/fr/') THEN 'com/fr/'
+                     WHEN dotted LIKE '%.com' AND starts_with(path, '/de/') THEN 'com/de/'
+                     WHEN dotted LIKE '%.org' AND starts_with(path, '/') THEN 'org/' END AS rule FROM s)
+        SELECT page_id, host, path, rule,
+               CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow'
+                    WHEN rule IS NOT NULL THEN 'block'
+                    WHEN contains(host || path, '/search/help/') THEN 'allow'
+                    WHEN regexp_matches(host || path, '/ads/|/login(\\W|$)|/cart/.*/checkout|/search(\\W|$)')
+                    THEN 'block' ELSE 'allow' END AS verdict FROM j""",
+    "op9_line_dedup": f"""
+        WITH t AS (SELECT page_id,
+                nullif(lower(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1)), '') AS host,
+                list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(
+                    coalesce(html, ''), '{line_dedup.REMOVED}', '', 'g'), '{line_dedup.BLOCK_TAG}', chr(10), 'g'),
+                    '{line_dedup.OTHER_TAG}', '', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '') AS lines FROM pages),
+        c AS (SELECT host, line, count(*) AS n FROM
+              (SELECT host, unnest(list_distinct(lines)) AS line FROM t WHERE host IS NOT NULL) GROUP BY ALL),
+        d AS (SELECT host, list(line) AS dropped FROM c
+              JOIN (SELECT host, count(*) AS pages FROM t GROUP BY host) USING (host)
+              WHERE n >= {line_dedup.MIN_PAGES} AND n / pages > {line_dedup.RATIO} GROUP BY host),
+        k AS (SELECT t.*, list_filter(lines, lambda x: NOT list_contains(coalesce(dropped, []), x)) AS kept
+              FROM t LEFT JOIN d USING (host))
+        SELECT page_id, host, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped,
+               coalesce(array_to_string(kept, chr(10)), '') AS text FROM k""",
     "op8_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html) AS payload_bytes, sha1(html) AS hex,
