@@ -4,7 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotcurve.llm import (
-    exact_dedup, fingerprints, line_dedup, mixing, packing, simhash_dedup, toxicity, url_filter, warc)
+    exact_dedup, fingerprints, line_dedup, mixing, packing, simhash_dedup, substring_dedup, toxicity,
+    url_filter, warc)
 from shotcurve.scratch import shared_folder
 
 
@@ -33,6 +34,11 @@ def url_filter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).drop("url")
 
 
+def substring_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of a document that an earlier one has."""
+    return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def fingerprints_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every text and of its edited text."""
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
@@ -72,6 +78,7 @@ LLM_QUERIES = {
     "op3_url_filter": url_filter_query,
     "op4_toxicity": toxicity_query,
     "op5_simhash_dedup": simhash_dedup_query,
+    "op6_substring_dedup": substring_dedup_query,
     "op7_fingerprints": fingerprints_query,
     "op8_warc": warc_query,
     "op9_line_dedup": line_dedup_query,
