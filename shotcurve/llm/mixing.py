@@ -76,7 +76,7 @@ def targets(sources: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float =
 
 def _rate(cap: int) -> Column:
     """Rate of a document from its size and its source's row."""
-    tilt = F.col("lam") * F.col("size") / F.col("mean")
+    tilt = F.col("lam") * F.try_divide("size", "mean")
     return F.when(F.col("mean") > 0, F.least(F.lit(float(cap)), F.exp(tilt))).otherwise(F.lit(0.0))
 
 
@@ -84,7 +84,7 @@ def tilt(counts: DataFrame, sources: DataFrame, cap: int = CAP, tolerance: float
          max_steps: int = MAX_STEPS) -> DataFrame:
     """Adds lam to the sources: Newton on the dual, one aggregation of the
     (key, size, n) counts per step."""
-    ratio = F.col("target") / F.col("source_size")
+    ratio = F.try_divide("target", "source_size")
     open_ = (F.col("target") > 0) & (F.col("source_size") > 0)
     state = stored(sources.withColumns({
         "lam": F.lit(0.0),
@@ -99,11 +99,12 @@ def tilt(counts: DataFrame, sources: DataFrame, cap: int = CAP, tolerance: float
         rate = _rate(cap)
         sums = counts.join(state.select("key", "mean", "lam"), "key").groupBy("key").agg(
             F.sum(words * rate).alias("taken"),
-            F.sum(F.when(rate < cap, words * rate * F.col("size") / F.col("mean")).otherwise(0.0)).alias("slope"))
+            F.sum(F.when((rate < cap) & (F.col("mean") > 0), words * rate * F.try_divide("size", "mean"))
+                  .otherwise(0.0)).alias("slope"))
         gap = F.col("taken") - F.col("target")
-        step = F.when(F.col("slope") > 0, F.col("lam") - gap / F.col("slope"))
+        step = F.when(F.col("slope") > 0, F.col("lam") - F.try_divide(gap, F.col("slope")))
         moved = state.join(sums, "key", "left").withColumns({
-            "off": F.when(F.col("target") > 0, F.coalesce(F.abs(gap) / F.col("target"), F.lit(0.0)))
+            "off": F.when(F.col("target") > 0, F.coalesce(F.try_divide(F.abs(gap), F.col("target")), F.lit(0.0)))
             .otherwise(F.lit(0.0)),
             "low": F.when(gap < 0, F.col("lam")).otherwise(F.col("low")),
             "high": F.when(gap > 0, F.col("lam")).otherwise(F.col("high"))})
@@ -185,7 +186,7 @@ def fit(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float = 1.0, s
         F.sum(F.col("size") * F.col("n")).alias("source_size"),
         F.sum(F.when(F.col("size") > 0, F.col("n")).otherwise(0)).alias("docs"))
     sources = sources.withColumn("mean", F.when(
-        F.col("docs") > 0, F.col("source_size") / F.col("docs")).otherwise(F.lit(0.0)))
+        F.col("docs") > 0, F.try_divide("source_size", "docs")).otherwise(F.lit(0.0)))
     state = tilt(counts.select("key", "size", "n"), targets(sources, weights, cap, share), cap)
     return thresholds(sizes.select("doc_id", "key", "size"), state, cap, seed)
 
