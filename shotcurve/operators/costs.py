@@ -14,41 +14,33 @@ def price_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "model_name string, input_price double, output_price double")
 
 
-def invalid_usage(df: DataFrame) -> DataFrame:
-    """Rows with a negative token count or latency."""
-    bad = F.lit(False)
-    for c in USAGE:
-        bad = bad | F.coalesce(F.col(c) < 0, F.lit(False))
-    return df.filter(bad)
-
-
 def price_usage(df: DataFrame, prices: DataFrame | None = None, strict: bool = False) -> DataFrame:
     """Attach input_price and output_price by model; unlisted models cost 0.
 
-    Negative usage rows are left out, or fail the job when strict. The
-    built-in price list is a fixed short list, so it becomes an expression; a
-    caller's list is joined."""
-    for c in USAGE:
-        bad = F.coalesce(F.col(c) < 0, F.lit(False))
-        if strict:
-            df = df.withColumn(c, F.when(
-                bad, F.raise_error(F.lit(f"{c} must be non-negative"))).otherwise(F.col(c)))
-        else:
-            df = df.filter(~bad)
+    Rows with negative usage stay, with usage_error naming the first such column
+    and NULL prices, so that their cost is NULL; when strict they fail the job.
+    The built-in price list is a fixed short list, so it becomes an expression;
+    a caller's list is joined."""
+    error = F.coalesce(*[F.when(F.col(c) < 0, F.lit(f"{c} must be non-negative")) for c in USAGE])
+    if strict:
+        error = F.when(error.isNotNull(), F.raise_error(error)).cast("string")
+    df = df.withColumn("usage_error", error)
     if prices is not None:
         return df.join(prices, "model_name", "left").withColumns({
-            "input_price": F.coalesce("input_price", F.lit(0.0)),
-            "output_price": F.coalesce("output_price", F.lit(0.0))})
+            c: F.when(F.col("usage_error").isNull(), F.coalesce(c, F.lit(0.0)))
+            for c in ("input_price", "output_price")})
     model_in, model_out = F, F
     for model, (price_in, price_out) in fv.PRICES.items():
         model_in = model_in.when(F.col("model_name") == model, F.lit(price_in))
         model_out = model_out.when(F.col("model_name") == model, F.lit(price_out))
-    return df.withColumns({"input_price": model_in.otherwise(F.lit(0.0)),
-                           "output_price": model_out.otherwise(F.lit(0.0))})
+    return df.withColumns({
+        c: F.when(F.col("usage_error").isNull(), price.otherwise(F.lit(0.0)))
+        for c, price in (("input_price", model_in), ("output_price", model_out))})
 
 
 def with_cost(priced: DataFrame, accuracy: str = "score", time_price: float = 0.0) -> DataFrame:
-    """Add total_cost and economy_score to priced rows."""
+    """Add total_cost and economy_score to priced rows; both are NULL without prices."""
     return (
         priced.withColumn("total_cost", total_cost(time_price=time_price))
-        .withColumn("economy_score", economy_score(accuracy, "total_cost")))
+        .withColumn("economy_score", F.when(
+            F.col("total_cost").isNotNull(), economy_score(accuracy, "total_cost"))))

@@ -13,23 +13,13 @@ from shotcurve.schemas import EVAL_KEY
 GRID_ORDER = ["selection_pos", "trial_id", "model_pos", "task_pos", "shot_pos", "pos"]
 
 
-def model_names(models: DataFrame, limit: int = 10_000) -> list[str]:
-    """Names of a model table as a list, in pos order if it has that column.
-    Refuses a table above the limit."""
-    rows = models.orderBy("pos") if "pos" in models.columns else models
-    names = [r["model_name"] for r in rows.select("model_name").take(limit + 1)]
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} models")
-    return names
-
-
 def _ordinals(values: Sequence, value: str, pos: str) -> Column:
     return F.inline(F.array(*[
         F.struct(F.lit(i).alias(pos), F.lit(v).alias(value)) for i, v in enumerate(values)])
     ).alias(pos, value)
 
 
-def evaluation_grid(test_cases: DataFrame, models, shots: Sequence[int] = tuple(fv.SHOTS),
+def evaluation_grid(test_cases: DataFrame, models: Sequence[str], shots: Sequence[int] = tuple(fv.SHOTS),
                     trials: int = 1, selections: Sequence[str] = ("tfidf",),
                     ordered: bool = False) -> DataFrame:
     """Every test case for every selection, trial, model and shot.
@@ -39,8 +29,6 @@ def evaluation_grid(test_cases: DataFrame, models, shots: Sequence[int] = tuple(
     all partitions first, so that the grid is built and worked on in parallel
     even when they come from one small file. ordered sorts by selection,
     trial, model, task, shot and test case."""
-    if isinstance(models, DataFrame):
-        models = model_names(models)
     unknown = [s for s in selections if s not in fv.SELECTIONS]
     if unknown:
         raise ValueError(f"unknown example selection: {unknown}")

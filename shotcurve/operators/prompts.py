@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotcurve import fixed_values as fv
-from shotcurve.operators.selection import select_examples, shuffle_examples
+from shotcurve.operators.selection import join_by_task, select_examples, shuffle_examples
+
+UNKNOWN_TASK = "task is not listed"
 
 LABELS = {
     "opening": fv.PROMPT_OPENING, "task": fv.PROMPT_TASK, "examples": fv.PROMPT_EXAMPLES,
@@ -41,13 +43,18 @@ def prompt_text(labels: dict | None = None) -> Column:
 
 def build_prompts(grid: DataFrame, tasks: DataFrame, examples: DataFrame, shuffle: bool = True,
                   seed: int = 0, labels: dict | None = None, **options) -> DataFrame:
-    """Add prompt to every grid row: select, shuffle, render, assemble."""
+    """Add prompt to every grid row: select, shuffle, render, assemble.
+
+    A row whose task is not listed stays, with prompt_error and a NULL prompt; of
+    a task listed several times the smallest texts are used."""
     df = select_examples(grid, examples, **options)
     if shuffle:
         df = shuffle_examples(df, seed)
-    texts = tasks.select("task_id", "description", "instruction")
+    texts = tasks.groupBy("task_id").agg(F.min(F.struct("description", "instruction")).alias("texts")).select(
+        "task_id", "texts.*", F.lit(True).alias("listed"))
     return (
-        render_examples_section(df, labels).join(texts, "task_id")
-        .withColumn("prompt", prompt_text(labels))
-        .drop("description", "instruction", "examples_section", "selected",
+        join_by_task(render_examples_section(df, labels), texts)
+        .withColumn("prompt_error", F.when(F.col("listed").isNull(), F.lit(UNKNOWN_TASK)))
+        .withColumn("prompt", F.when(F.col("prompt_error").isNull(), prompt_text(labels)))
+        .drop("listed", "description", "instruction", "examples_section", "selected",
               "n_exemplars", "n_distractors"))

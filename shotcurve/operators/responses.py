@@ -26,11 +26,14 @@ def clean_responses(df: DataFrame, output: str = "output") -> DataFrame:
 
 def attach_responses(prompts: DataFrame, responses: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Left join responses by key and add actual_output, latency_ms, token
-    counts and response_error.
+    counts, served_model and response_error.
 
     responses: the keys, output, and optionally latency_ms, input_tokens,
     output_tokens, error and served_model (the name the response reports). A
-    missing row, NULL output or error makes the row failed."""
+    missing row, NULL output or error makes the row failed. model_name, part of
+    the key, stays the name that was asked for. Of several responses with one
+    key the first in the order output, latency, tokens counts, one without error
+    before one with."""
     keys = keys or EVAL_KEY
     wanted = ["output", "latency_ms", "input_tokens", "output_tokens", "error", "served_model"]
     answers = responses.select(*keys, *[c for c in wanted if c in responses.columns])
@@ -38,6 +41,9 @@ def attach_responses(prompts: DataFrame, responses: DataFrame, keys: list[str] |
         if c not in answers.columns:
             kind = "string" if c in ("error", "served_model") else "bigint"
             answers = answers.withColumn(c, F.lit(None).cast(kind))
+    answers = answers.groupBy(*keys).agg(F.min(F.struct(
+        (F.col("error").isNotNull() | F.col("output").isNull()).alias("failed"), *wanted)).alias("answer")).select(
+        *keys, *[F.col(f"answer.{c}").alias(c) for c in wanted])
     joined = prompts.join(answers.drop(*[c for c in wanted if c in prompts.columns and c not in keys]),
                           keys, "left")
     error = F.when(F.col("error").isNotNull(), F.col("error")).when(
@@ -46,16 +52,16 @@ def attach_responses(prompts: DataFrame, responses: DataFrame, keys: list[str] |
         joined.withColumns({
             "response_error": error,
             "actual_output": F.when(error.isNull(), F.col("output")),
-            "model_name": F.when(error.isNull(), F.coalesce("served_model", "model_name"))
-            .otherwise(F.col("model_name")),
+            "served_model": F.when(error.isNull(), F.col("served_model")),
             "latency_ms": F.coalesce("latency_ms", F.lit(0)).cast("bigint"),
             "input_tokens": F.coalesce("input_tokens", F.lit(0)).cast("bigint"),
             "output_tokens": F.coalesce("output_tokens", F.lit(0)).cast("bigint"),
-        }).drop("output", "error", "served_model"))
+        }).drop("output", "error"))
 
 
-def to_eval_results(scored: DataFrame, run_id: str | None = None) -> DataFrame:
-    """Scored rows -> fact rows. A failed response or score becomes an error row:
+def to_eval_results(scored: DataFrame, run_id: str | None = None, served_names: bool = False) -> DataFrame:
+    """Scored rows -> fact rows. model_name is the name that was asked for, so
+    that a run can be resumed; served_names puts the served one in its place. A failed response or score becomes an error row:
     the message as output, score 0.0, no latency and no tokens."""
     error = F.coalesce(F.col("response_error"),
                        F.col("score_error") if "score_error" in scored.columns else F.lit(None))
@@ -67,6 +73,8 @@ def to_eval_results(scored: DataFrame, run_id: str | None = None) -> DataFrame:
     }
     for c in ("latency_ms", "input_tokens", "output_tokens"):
         cols[c] = F.when(failed, F.lit(0)).otherwise(F.col(c))
+    if served_names and "served_model" in scored.columns:
+        cols["model_name"] = F.coalesce("served_model", "model_name")
     if run_id is not None:
         cols["run_id"] = F.lit(run_id)
     if "timestamp" not in scored.columns:

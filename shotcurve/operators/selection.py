@@ -8,6 +8,7 @@ from shotcurve.functions.names import input_sha256
 from shotcurve.operators.grid import shot_composition
 from shotcurve.operators.similarity import rank_by_similarity
 
+TASK_PARTS = 32
 SELECTED = "array<struct<input:string,output:string,is_distractor:boolean>>"
 
 
@@ -41,6 +42,15 @@ def first_examples(examples: DataFrame) -> DataFrame:
         _without_rank(F.collect_list(F.when(F.col("is_distractor"), _entry(True)))).alias("distractors"))
 
 
+def join_by_task(left: DataFrame, right: DataFrame, parts: int = TASK_PARTS) -> DataFrame:
+    """Left join of many rows to the one short row of their task. Rows of a task
+    are split into parts by a hash, so that a few large tasks keep all reducers
+    busy; the task's row is repeated once per part."""
+    part = F.pmod(F.xxhash64(*[c for c in ("pos", "input", "shot_count", "model_name") if c in left.columns]), F.lit(parts))
+    spread = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
+    return left.withColumn("_part", part).join(spread, ["task_id", "_part"], "left").drop("_part")
+
+
 def ranked_examples(cases: DataFrame, examples: DataFrame, k: int = fv.MAX_EXEMPLARS,
                     **options) -> DataFrame:
     """Per distinct (task_id, input) the k most similar exemplars, best first:
@@ -92,34 +102,39 @@ def _similar_choice() -> Column:
 def select_examples_fixed(grid: DataFrame, examples: DataFrame) -> DataFrame:
     """Add selected: the first exemplars, then the first distractors."""
     return (
-        _composition(grid).join(first_examples(examples), "task_id", "left")
+        join_by_task(_composition(grid), first_examples(examples))
         .withColumn("selected", _fixed_choice()).drop("exemplars", "distractors"))
 
 
-def select_examples_tfidf(grid: DataFrame, examples: DataFrame, **options) -> DataFrame:
+def select_examples_tfidf(grid: DataFrame, examples: DataFrame, cases: DataFrame | None = None,
+                          **options) -> DataFrame:
     """Add selected: the exemplars most similar to the input, then the first
     distractors. A task without exemplars gets nothing. Similarity is worked
-    out once per task and input, not per shot, model or trial."""
+    out once per task and input, not per shot, model or trial; cases (task_id,
+    input), if known, are read in place of the expanded grid."""
+    ranked = ranked_examples(grid if cases is None else cases, examples, **options)
+    keyed = _composition(grid).withColumn("case_key", input_sha256("input"))
     return (
-        _composition(grid).withColumn("case_key", input_sha256("input"))
-        .join(ranked_examples(grid, examples, **options), ["task_id", "case_key"], "left")
-        .join(first_examples(examples).select("task_id", "distractors"), "task_id", "left")
+        join_by_task(keyed.join(ranked, ["task_id", "case_key"], "left"),
+                     first_examples(examples).select("task_id", "distractors"))
         .withColumn("selected", _similar_choice())
         .drop("ranked", "distractors", "case_key"))
 
 
 def select_examples(grid: DataFrame, examples: DataFrame, selections=tuple(fv.SELECTIONS),
-                    **options) -> DataFrame:
+                    cases: DataFrame | None = None, **options) -> DataFrame:
     """Add selected by each row's example_selection. tfidf rows with an empty
     input fall back to fixed. selections, if known, names those that occur, so
-    that a fixed-only grid skips the similarity job."""
+    that a fixed-only grid skips the similarity job; cases as in
+    select_examples_tfidf."""
     if "tfidf" not in selections:
         return select_examples_fixed(grid, examples)
     by_similarity = (F.col("example_selection") == "tfidf") & (F.col("input") != "")
-    ranked = ranked_examples(grid.filter(by_similarity), examples, **options)
+    asked = grid.filter(by_similarity) if cases is None else cases.filter(F.col("input") != "")
+    ranked = ranked_examples(asked, examples, **options)
+    keyed = _composition(grid).withColumn("case_key", input_sha256("input"))
     return (
-        _composition(grid).withColumn("case_key", input_sha256("input"))
-        .join(first_examples(examples), "task_id", "left")
+        join_by_task(keyed, first_examples(examples))
         .join(ranked, ["task_id", "case_key"], "left")
         .withColumn("selected", F.when(by_similarity, _similar_choice()).otherwise(_fixed_choice()))
         .drop("ranked", "exemplars", "distractors", "case_key"))

@@ -9,8 +9,8 @@ examples. So the document frequency of a gram depends on the test case only by
 
 with df counted over the examples. An example's squared length under w_out is
 the same for all test cases; a test case only changes the weights of the grams
-both texts share. One join on shared grams therefore yields the dot product
-and the correction of the length, and no text is vectorized once per test case.
+both texts share. The shared grams therefore yield the dot product and the
+correction of the length, and no text is vectorized once per test case.
 """
 
 from collections import Counter
@@ -21,10 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotcurve import fixed_values as fv
-from shotcurve.scratch import cut_lineage
+from shotcurve.scratch import stored
 
 # ties are exact up to this many digits, whatever order sums ran in
 SIMILARITY_DIGITS = 10
+# examples and cases that meet in one task
+BLOCK_ROWS, CHUNK_ROWS = 1000, 256
 
 
 def _count_grams():
@@ -71,19 +73,20 @@ def _count_grams():
     return F.arrow_udf(count, "array<struct<gram:string,tf:bigint>>")
 
 
-def gram_counts(texts: DataFrame, keys: list[str], text: str = "input",
-                partitions: int | None = None) -> DataFrame:
-    """(keys, gram, tf) of the char_wb 2- to 4-grams of each text; keys must be
-    unique.
+def _gram_arrays(texts: DataFrame, keys: list[str], text: str = "input") -> DataFrame:
+    """keys and grams (array of gram, tf) of each text; keys must be unique.
+
+    Texts are spread over all partitions first, so that those of one small file
+    are not all counted by one task."""
+    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = texts.select(*keys, text).repartition(partitions, *keys)
+    return spread.select(*keys, _count_grams()(text).alias("grams"))
+
 
-    Works where the texts lie, without a shuffle. partitions spreads them
-    first, by key, for texts that come from fewer files than there are cores;
-    the number is kept because sized by its bytes the shuffle would be merged
-    into too few tasks for the many grams of a small text."""
-    texts = texts.select(*keys, text)
-    if partitions is not None:
-        texts = texts.repartition(partitions, *keys)
-    return texts.select(*keys, F.inline(_count_grams()(text)))
+def gram_counts(texts: DataFrame, keys: list[str], text: str = "input") -> DataFrame:
+    """(keys, gram, tf) of the char_wb 2- to 4-grams of each text; keys must be
+    unique."""
+    return _gram_arrays(texts, keys, text).select(*keys, F.inline("grams"))
 
 
 def vocabulary(example_grams: DataFrame, examples: DataFrame) -> DataFrame:
@@ -107,88 +110,110 @@ def _best(df: DataFrame, group: list[str], k: int, *order) -> DataFrame:
     return df.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _join_on_gram(left: DataFrame, right: DataFrame, words: DataFrame, right_rows: int,
-                  broadcast_rows: int, hot_grams: int) -> DataFrame:
-    if right_rows <= broadcast_rows:
-        return left.join(F.broadcast(right), ["task_id", "gram"])
-    # Fewer than hot_grams grams can each hold more than 1/hot_grams of the
-    # rows, so the list of hot ones is short whatever the data.
-    share = max((words.agg(F.sum("df")).first()[0] or 0) // hot_grams, 1)
-    hot = F.broadcast(
-        words.filter(F.col("df") > share)
-        .select("task_id", "gram", F.ceil(F.col("df") / share).alias("parts")))
-    left = left.join(hot, ["task_id", "gram"], "left").withColumn("part", F.when(
-        F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("pos"), "parts")).cast("bigint"))
-    right = right.join(hot, ["task_id", "gram"], "left").withColumn("part", F.explode(
-        F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("parts") - 1, F.lit(0)))))
-    return left.drop("parts").join(right.drop("parts"), ["task_id", "gram", "part"])
-
-
-def similarities(cases: DataFrame, examples: DataFrame, broadcast_rows: int = 2_000_000,
-                 hot_grams: int = 10_000, partitions: int | None = None) -> DataFrame:
-    """(task_id, case_key, pos, similarity) of all pairs of one task that share a gram.
+def _score_blocks(k: int | None, names: list[str], kinds):
+    # nested, so that it travels to workers by value
+    def flat(column):
+        lists = column.combine_chunks()
+        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        return lists.flatten(), np.repeat(np.arange(len(sizes)), sizes)
+
+    def run(examples: pa.Table, cases: pa.Table) -> pa.Table:
+        out = [[], [], []]
+        if len(examples) and len(cases):
+            entries, case = flat(cases["grams"])
+            seen = np.array(entries.field("gram").to_pylist(), dtype="<U4")
+            words, column = np.unique(seen, return_inverse=True)
+            dot_weight, sq_weight = (np.zeros((len(cases), len(words))) for _ in range(2))
+            dot_weight[case, column] = entries.field("dot_weight").to_numpy()
+            sq_weight[case, column] = entries.field("sq_weight").to_numpy()
+            case_sq = cases["case_sq"].to_numpy()
+            all_pos = examples["pos"].to_numpy()
+            for lo in range(0, len(examples), 250):
+                part = examples.slice(lo, 250)
+                entries, row = flat(part["grams"])
+                grams = np.array(entries.field("gram").to_pylist(), dtype="<U4")
+                at = np.searchsorted(words, grams)
+                known = at < len(words)
+                known[known] = words[at[known]] == grams[known]
+                tf = np.zeros((len(part), len(words)))
+                tf[row[known], at[known]] = entries.field("tf").to_numpy()[known]
+                dot = tf @ dot_weight.T
+                length = case_sq * (part["example_sq"].to_numpy()[:, None] + (tf * tf) @ sq_weight.T)
+                cosine = np.where(dot > 0, dot / np.sqrt(np.where(dot > 0, length, 1.0)), 0.0)
+                pos = all_pos[lo:lo + 250]
+                for c in range(len(cases)):
+                    sims = cosine[:, c]
+                    best = (np.flatnonzero(sims > 0) if k is None else
+                            np.lexsort((-pos, -np.round(sims, SIMILARITY_DIGITS)))[:k])
+                    out[0].append(np.full(len(best), c))
+                    out[1].append(pos[best])
+                    out[2].append(sims[best])
+        at, pos, sims = (np.concatenate(x) if x else np.array([], t) for x, t in zip(out, (np.int64, np.int64, float)))
+        picked = cases.select(["task_id", "case_key"]).take(pa.array(at, pa.int64()))
+        return pa.table([picked["task_id"].cast(kinds[0]), picked["case_key"].cast(kinds[1]),
+                         pa.array(pos).cast(kinds[2]), pa.array(sims, pa.float64())], names=names)
+    return run
+
+
+def similarities(cases: DataFrame, examples: DataFrame, k: int | None = None,
+                 block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(task_id, case_key, pos, similarity) of the cases and their task's examples:
+    all pairs that share a gram, or with k the k most similar of each block.
 
     cases: task_id, case_key, input. examples: task_id, pos, input.
 
-    The vocabulary is worked out first and checkpointed. Every gram then meets
-    its postings: one per test case that has it, plus one for no test case,
-    which adds up the example's own length. Up to broadcast_rows postings are
-    broadcast: grams never move, and a pair is one row, summed where its text
-    lies, by the time it is shuffled. Above, both sides are shuffled by gram,
-    with the grams of many examples split into parts. partitions as in
-    gram_counts, for the examples."""
+    The cases are a query set that meets all examples in blocks. An example's
+    length without any case is worked out once and travels with it; a case
+    carries both weights of each of its grams. Blocks of a bounded number of
+    examples meet chunks of cases in one task each, where a product of small
+    matrices gives dot products and lengths. Pairs never become rows unless they
+    are among the k best of their block, and no task, gram or case is gathered
+    in one place, however large."""
     example_id, case_id = ["task_id", "pos"], ["task_id", "case_key"]
-    example_grams = gram_counts(examples, example_id, partitions=partitions)
-    words = cut_lineage(vocabulary(example_grams, examples))
-
+    counted = stored(_gram_arrays(examples, example_id), "example-grams")
+    postings = counted.select(*example_id, F.inline("grams"))
+    words = stored(vocabulary(postings, examples), "vocabulary")
+    tf = F.col("tf")
+    lengths = postings.join(words, ["task_id", "gram"]).groupBy(*example_id).agg(
+        F.sum(tf * tf * F.col("out_sq")).alias("example_sq"))
     sizes = examples.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_examples"))
+    sizes = stored(sizes.join(cases.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_cases")), "task_id").select(
+        "task_id", "n_examples", F.ceil(F.col("n_examples") / block_rows).cast("int").alias("blocks"),
+        F.ceil(F.col("n_cases") / chunk_rows).cast("int").alias("chunks")), "task-sizes")
+
+    def range_of(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = (
+        counted.join(lengths, example_id, "left").join(sizes, "task_id")
+        .select(*example_id, F.coalesce("example_sq", F.lit(0.0)).alias("example_sq"), "grams",
+                F.pmod(F.hash("pos"), F.col("blocks")).alias("block"), range_of("chunks").alias("chunk")))
+
     case_grams = (
-        gram_counts(cases, case_id).join(sizes, "task_id")
+        gram_counts(cases, case_id).join(sizes.select("task_id", "n_examples"), "task_id")
         .join(words.drop("n_examples"), ["task_id", "gram"], "left")
         .withColumn("in_sq", F.coalesce("in_sq", F.pow(_idf(F.lit(2)), F.lit(2.0)))))
-    case_length = case_grams.groupBy(*case_id).agg(
-        F.sum(F.col("tf") * F.col("tf") * F.col("in_sq")).alias("case_sq"))
-    # the small side carries its own length, so pairs need no join later
-    postings = case_grams.filter(F.col("df").isNotNull()).join(case_length, case_id).select(
-        "task_id", "gram", "case_key", "case_sq",
-        (F.col("tf") * F.col("in_sq")).alias("dot_weight"),
-        (F.col("in_sq") - F.col("out_sq")).alias("sq_weight"))
-    own = words.select(
-        "task_id", "gram", F.lit(None).cast(dict(cases.dtypes)["case_key"]).alias("case_key"),
-        F.lit(None).cast("double").alias("case_sq"), F.lit(0.0).alias("dot_weight"),
-        F.col("out_sq").alias("sq_weight"))
-    # no more than three n-grams start at a character
-    bound = words.count() + (cases.agg(F.sum(3 * F.length("input"))).first()[0] or 0)
-
-    tf = F.col("tf")
-    sums = (
-        _join_on_gram(example_grams, own.unionByName(postings), words, bound, broadcast_rows, hot_grams)
-        .groupBy(*example_id, "case_key").agg(
-            F.sum(tf * F.col("dot_weight")).alias("dot"),
-            F.sum(tf * tf * F.col("sq_weight")).alias("sq"),
-            F.max("case_sq").alias("case_sq")))
-    own_sq = F.max(F.when(F.col("case_key").isNull(), F.col("sq")))
-    pairs = sums.withColumn("example_sq", own_sq.over(Window.partitionBy(*example_id))).filter(
-        F.col("case_key").isNotNull())
-    cosine = F.col("dot") / F.sqrt(F.col("case_sq") * (F.col("example_sq") + F.col("sq")))
-    return pairs.select(
-        "task_id", "case_key", "pos", F.round(cosine, SIMILARITY_DIGITS).alias("similarity"))
+    entry = F.struct("gram", (tf * F.col("in_sq")).alias("dot_weight"),
+                     (F.col("in_sq") - F.col("out_sq")).alias("sq_weight"))
+    case_rows = case_grams.groupBy(*case_id).agg(
+        F.sum(tf * tf * F.col("in_sq")).alias("case_sq"),
+        F.collect_list(F.when(F.col("df").isNotNull(), entry)).alias("grams"))
+    right = (
+        cases.select(*case_id).join(case_rows, case_id, "left").join(sizes, "task_id")
+        .select(*case_id, F.coalesce("case_sq", F.lit(0.0)).alias("case_sq"), "grams",
+                F.pmod(F.hash("case_key"), F.col("chunks")).alias("chunk"), range_of("blocks").alias("block")))
+
+    kinds = [dict(cases.dtypes)["task_id"], dict(cases.dtypes)["case_key"], dict(examples.dtypes)["pos"]]
+    names = ["task_id", "case_key", "pos", "similarity"]
+    arrow = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[t] for t in kinds]
+    schema = ", ".join(f"{n} {t}" for n, t in zip(names, [*kinds, "double"]))
+    key = ["task_id", "block", "chunk"]
+    scored = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_score_blocks(k, names, arrow), schema)
+    return scored.withColumn("similarity", F.round("similarity", SIMILARITY_DIGITS))
 
 
 def rank_by_similarity(cases: DataFrame, examples: DataFrame, k: int, **options) -> DataFrame:
     """The k most similar examples of each test case's task: (task_id, case_key,
-    pos, similarity, rank). Most similar first, the later example on ties.
-
-    Examples sharing no gram score 0; the last k of a task are enough to fill
-    up every list that has fewer than k others."""
-    best_first = (F.desc("similarity"), F.desc("pos"))
-    overlap = _best(similarities(cases, examples, **options), ["task_id", "case_key"], k,
-                    *best_first).drop("rank")
-    tail = _best(examples.select("task_id", "pos"), ["task_id"], k, F.desc("pos")).drop("rank")
-    filler = (
-        cases.select("task_id", "case_key").join(tail, "task_id")
-        .withColumn("similarity", F.lit(0.0)))
-    candidates = (
-        overlap.unionByName(filler)
-        .groupBy("task_id", "case_key", "pos").agg(F.max("similarity").alias("similarity")))
-    return _best(candidates, ["task_id", "case_key"], k, *best_first)
+    pos, similarity, rank). Most similar first, the later example on ties; those
+    sharing no gram score 0."""
+    best = similarities(cases, examples, k, **options)
+    return _best(best, ["task_id", "case_key"], k, F.desc("similarity"), F.desc("pos"))

@@ -11,6 +11,7 @@ from shotcurve import fixed_values as fv
 from shotcurve.functions.metrics import (
     efficiency_metrics, pass_all_k, pass_at_k, score_column, stable_round)
 from shotcurve.schemas import SUMMARY_KEYS
+from shotcurve.scratch import stored
 
 USAGE = ["input_tokens", "output_tokens", "latency_ms"]
 
@@ -18,14 +19,17 @@ USAGE = ["input_tokens", "output_tokens", "latency_ms"]
 def with_fact_defaults(facts: DataFrame) -> DataFrame:
     """Add trial_id 1 and selection 'fixed' where the columns are absent, turn
     NaN scores into NULL and drop rows with a NULL group key."""
+    return _with_defaults(facts).dropna(subset=SUMMARY_KEYS)
+
+
+def _with_defaults(facts: DataFrame) -> DataFrame:
     cols = {}
     if "trial_id" not in facts.columns:
         cols["trial_id"] = F.lit(1)
     if "example_selection" not in facts.columns:
         cols["example_selection"] = F.lit(fv.DEFAULT_SELECTION)
     cols["score"] = F.nanvl(F.col("score").cast("double"), F.lit(None))
-    facts = facts.withColumns(cols)
-    return facts.dropna(subset=SUMMARY_KEYS)
+    return facts.withColumns(cols)
 
 
 def count_trials(facts: DataFrame) -> int:
@@ -129,17 +133,17 @@ def summarize(facts: DataFrame, aggregation: str = "mean",
     efficiency metrics, usage totals and reliability.
 
     num_trials is the distinct trial count of the whole input. Left out, it is
-    counted by a one-column job first, because the pass_* columns exist only
-    when it is above 1. rounding, off by default, rounds scores before they are
+    counted on the stored trial means, because the pass_* columns exist only
+    when it is above 1; the facts are scanned once. rounding, off by default, rounds scores before they are
     compared with thresholds.
     """
     k_values = k_values or fv.K_VALUES
+    trials = trial_means(_with_defaults(facts), usage=True)
     if num_trials is None:
-        num_trials = count_trials(facts)
+        trials = stored(trials, "trial-means")
+        num_trials = count_trials(trials)
     multi = num_trials > 1 and pass_at_k
-
-    facts = with_fact_defaults(facts)
-    trials = trial_means(facts, usage=True)
+    trials = trials.dropna(subset=SUMMARY_KEYS)
     if rounding is not None:
         trials = trials.withColumn("trial_mean", stable_round("trial_mean", rounding))
     points = aggregate_trials(trials, method=aggregation, threshold=threshold, usage=True)

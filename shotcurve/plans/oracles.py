@@ -237,9 +237,12 @@ USAGE = f"""usage AS (
 SELECT event_id, [{', '.join(f"'{m}'" for m in PRICED_MODELS)}][user_id % 16 + 1] AS model_name,
        event_id % 5000 - 10 AS input_tokens, user_id AS output_tokens,
        CAST(floor(value * 10) AS BIGINT) AS latency_ms, least(1.0e0, value / 100) AS score FROM events),
-priced AS (SELECT u.*, coalesce(p.input_price, 0.0) AS input_price, coalesce(p.output_price, 0.0) AS output_price
-           FROM usage u LEFT JOIN prices p USING (model_name)
-           WHERE input_tokens >= 0 AND output_tokens >= 0 AND latency_ms >= 0)"""
+checked AS (SELECT *, CASE WHEN input_tokens < 0 THEN 'input_tokens must be non-negative'
+                           WHEN output_tokens < 0 THEN 'output_tokens must be non-negative'
+                           WHEN latency_ms < 0 THEN 'latency_ms must be non-negative' END AS usage_error FROM usage),
+priced AS (SELECT u.*, CASE WHEN usage_error IS NULL THEN coalesce(p.input_price, 0.0) END AS input_price,
+                  CASE WHEN usage_error IS NULL THEN coalesce(p.output_price, 0.0) END AS output_price
+           FROM checked u LEFT JOIN prices p USING (model_name))"""
 
 # --- grid and examples -----------------------------------------------------
 TURNS = """turns AS (SELECT concat('task_', conv_id % 5) AS task_id, CAST(conv_id % 5 AS INTEGER) AS task_pos,
@@ -389,8 +392,8 @@ ORACLES = {
         total_latency_ms, round(score_variance + 1e-12, 9), NULL, NULL, NULL, NULL FROM summary WHERE example_selection = 'fixed'"""),
     "run_catalog": """SELECT event_type AS run_id,
         CASE event_type WHEN 'error' THEN 'demo/raw_results_error.csv' ELSE concat('raw_results_', event_type, '.csv') END AS raw_path,
-        CASE event_type WHEN 'view' THEN 'summary_view.csv' END AS summary_path
-        FROM events WHERE event_type IN ('click', 'view', 'error') GROUP BY event_type""",
+        CASE WHEN event_type <> 'error' THEN concat('summary_', event_type, '.csv') END AS summary_path
+        FROM events GROUP BY event_type""",
     # --- grid, selection, prompts
     "evaluation_grid": with_(f"{TURNS}, {cells()}", "SELECT * EXCLUDE (input) FROM cells"),
     "eval_key": with_(FACTS, """SELECT task_id, model_name, shot_count, trial_id, sha256(input) AS input_sha256,
@@ -422,8 +425,9 @@ ORACLES = {
         runs AS (SELECT c.task_id, concat_ws('/', c.pos, t.trial_id, m.model_name) AS pos, c.shot_count, c.output, c.input,
           c.is_distractor, md5(concat_ws('|', '7', c.task_id, b.input, c.shot_count, t.trial_id, m.model_name, 'fixed', c.i)) AS mark
           FROM chosen c JOIN bench b ON b.task_id = c.task_id AND b.pos = c.pos, models m, trials t)""", shown("runs", "mark")),
-    "examples_sections": with_(f"{FIXED}, {MODELS}", f"""SELECT task_id, pos, shot_count, model_name,
-        {SECTION.format(order='is_distractor, i')} AS examples_section FROM chosen, models GROUP BY task_id, pos, shot_count, model_name"""),
+    "examples_sections": with_(f"{FIXED}, {MODELS}, {TRIALS}", f"""SELECT task_id, pos, shot_count, model_name, trial_id,
+        {SECTION.format(order='is_distractor, i')} AS examples_section FROM chosen, models, trials
+        GROUP BY task_id, pos, shot_count, model_name, trial_id"""),
     "prompts_by_cell": with_(f"""{TFIDF_CHOSEN},
         picks AS (SELECT 'tfidf' AS example_selection, * FROM similar_chosen
           UNION ALL SELECT 'fixed', b.task_id, b.pos, c.shot, n.output, n.input, n.is_distractor, n.rn
@@ -502,7 +506,7 @@ ORACLES = {
     "curve_pivot": with_(FACTS, f"""SELECT {KEYS}, {', '.join(
         f"round(coalesce(max(s) FILTER (shot_count = {s}), 0.0) + 1e-12, 9) AS score_{s}shot" for s in fv.SHOTS)}
         FROM (SELECT {KEYS}, shot_count, avg(m) AS s FROM (SELECT {KEYS}, shot_count, trial_id, avg(score) AS m
-        FROM fx_results WHERE trial_id < 3 GROUP BY ALL) GROUP BY ALL) GROUP BY ALL"""),
+        FROM fx_results GROUP BY ALL) GROUP BY ALL) GROUP BY ALL"""),
     "usage_totals": with_(FACTS, f"""SELECT {KEYS}, CAST(sum(input_tokens) AS BIGINT) AS total_input_tokens,
         CAST(sum(output_tokens) AS BIGINT) AS total_output_tokens, CAST(sum(latency_ms) AS BIGINT) AS total_latency_ms
         FROM fx_results GROUP BY ALL"""),
@@ -529,10 +533,11 @@ ORACLES = {
     "summarize_lineitem": with_(summary_ctes(0.8, facts=LINEITEM_FACTS), summary_select()),
     "trial_std": with_(FACTS, """SELECT model_name, shot_count, round(stddev_samp(m) + 1e-12, 9) AS std FROM (SELECT model_name, shot_count,
         trial_id, avg(score) AS m FROM fx_results WHERE task_id = 'click' GROUP BY ALL) GROUP BY ALL"""),
-    "priced_usage": with_(f"{PRICES}, {USAGE}", "SELECT event_id, model_name, input_price, output_price FROM priced"),
+    "priced_usage": with_(f"{PRICES}, {USAGE}", "SELECT event_id, model_name, input_price, output_price, usage_error FROM priced"),
     "cost_economy": with_(f"""{PRICES}, {USAGE}, cost AS (SELECT *, input_tokens / 1e6 * input_price + output_tokens / 1e6 * output_price
         + latency_ms / 1000.0e0 * 0.0001e0 AS total_cost FROM priced)""", """SELECT event_id, round(total_cost + 1e-12, 9) AS total_cost,
-        round(CASE WHEN total_cost > 0 THEN score / total_cost ELSE 0.0 END, 4) AS economy_score FROM cost"""),
+        CASE WHEN usage_error IS NULL THEN round(CASE WHEN total_cost > 0 THEN score / total_cost ELSE 0.0 END, 4) END AS economy_score,
+        usage_error FROM cost"""),
     "adaptation_index": with_(f"""{FACTS}, m AS (SELECT model_name, avg(score) FILTER (task_id = 'click') AS a,
         avg(score) FILTER (task_id = 'view') AS b, avg(score) FILTER (task_id = 'error' AND model_name <> 'vendor/model_3') AS c
         FROM fx_results GROUP BY ALL)""", """SELECT model_name, round(a + 1e-12, 9) AS "Acquisition", round(b + 1e-12, 9) AS "Resilience-Noise",

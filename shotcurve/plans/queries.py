@@ -154,10 +154,11 @@ def summaries_combined(spark, sf):
 def run_catalog(spark, sf):
     folder = shared_folder(spark, "runs")
     facts = _result_rows(spark, sf)
-    for run in ("click", "view", "error"):
+    # one run per event type, of which there is a handful
+    for run in sorted(r[0] for r in facts.select("task_id").distinct().collect()):
         one = facts.filter(F.col("task_id") == run)
         results.write_run(one, folder if run != "error" else f"{folder}/demo", run)
-        if run == "view":
+        if run != "error":
             results.write_run(agg.usage_totals(one), folder, run, "summary")
     found = results.run_catalog(spark, folder)
     return found.select(
@@ -233,16 +234,10 @@ def char_ngrams(spark, sf):
 @query
 def gram_counts(spark, sf):
     d = tables.table(spark, sf, "documents")
-    return (similarity.gram_counts(d, ["doc_id"], "text", **_spread(spark, d)).groupBy("doc_id")
+    return (similarity.gram_counts(d, ["doc_id"], "text").groupBy("doc_id")
             .agg(F.count(F.lit(1)).alias("num_grams"), F.sum("tf").alias("num_occurrences")))
 
 
-def _spread(spark, df):
-    """Partitions to spread a table over that comes in fewer pieces than that."""
-    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return {"partitions": wanted} if df.rdd.getNumPartitions() < wanted else {}
-
-
 def _ranking_input(spark, sf):
     cases = tables.benchmark_cases(spark, sf).select("task_id", F.col("pos").alias("case_key"), "input")
     pool = tables.example_pool(spark, sf).filter(~F.col("is_distractor"))
@@ -251,22 +246,20 @@ def _ranking_input(spark, sf):
 
 @query
 def tfidf_similarity(spark, sf):
-    return similarity.similarities(*_ranking_input(spark, sf), **_spread(spark, tables.example_pool(spark, sf))).withColumn(
-        "similarity", F.round("similarity", 7))
+    return similarity.similarities(*_ranking_input(spark, sf)).withColumn("similarity", F.round("similarity", 7))
 
 
 @query
 def tfidf_topk(spark, sf):
-    top = similarity.rank_by_similarity(*_ranking_input(spark, sf), k=fv.MAX_EXEMPLARS,
-                                        **_spread(spark, tables.example_pool(spark, sf)))
+    top = similarity.rank_by_similarity(*_ranking_input(spark, sf), k=fv.MAX_EXEMPLARS)
     return top.withColumn("similarity", F.round("similarity", 7))
 
 
 @query
 def tfidf_selection(spark, sf):
     cells = _grid(spark, sf, tables.benchmark_cases(spark, sf), models=MODELS[:1], trials=1, selections=["tfidf"])
-    pool = tables.example_pool(spark, sf)
-    return _shown(selection.select_examples_tfidf(cells, pool, **_spread(spark, pool)))
+    return _shown(selection.select_examples_tfidf(
+        cells, tables.example_pool(spark, sf), cases=tables.benchmark_cases(spark, sf)))
 
 
 def _fixed_cells(spark, sf):
@@ -283,7 +276,7 @@ def shuffled_examples(spark, sf):
 @query
 def examples_sections(spark, sf):
     df = prompts.render_examples_section(_fixed_cells(spark, sf))
-    return df.filter(F.col("trial_id") == 1).select("task_id", "pos", "shot_count", "model_name", "examples_section")
+    return df.select("task_id", "pos", "shot_count", "model_name", "trial_id", "examples_section")
 
 
 def _task_texts(spark, sf):
@@ -296,8 +289,8 @@ def _task_texts(spark, sf):
 @query
 def prompts_by_cell(spark, sf):
     cells = _grid(spark, sf, tables.benchmark_cases(spark, sf), models=MODELS[:1], trials=1)
-    pool = tables.example_pool(spark, sf)
-    built = prompts.build_prompts(cells, _task_texts(spark, sf), pool, shuffle=False, **_spread(spark, pool))
+    built = prompts.build_prompts(cells, _task_texts(spark, sf), tables.example_pool(spark, sf), shuffle=False,
+                                  cases=tables.benchmark_cases(spark, sf))
     return built.select("task_id", "pos", "shot_count", "example_selection",
                         F.length("prompt").alias("prompt_length"), F.md5("prompt").alias("prompt_md5"))
 
@@ -478,7 +471,7 @@ def trials_median(spark, sf):
 
 @query
 def curve_pivot(spark, sf):
-    trials = agg.trial_means(agg.with_fact_defaults(facts_of(spark, sf).filter(F.col("trial_id") < 3)))
+    trials = agg.trial_means(agg.with_fact_defaults(facts_of(spark, sf)))
     return rounded(agg.curve_pivot(agg.aggregate_trials(trials)))
 
 
@@ -568,14 +561,15 @@ def _priced(spark, sf):
 
 @query
 def priced_usage(spark, sf):
-    return _priced(spark, sf).select("event_id", "model_name", "input_price", "output_price")
+    return _priced(spark, sf).select("event_id", "model_name", "input_price", "output_price", "usage_error")
 
 
 @query
 def cost_economy(spark, sf):
     costed = costs.with_cost(_priced(spark, sf), time_price=0.0001)
     return costed.select("event_id", metrics.stable_round("total_cost", DIGITS).alias("total_cost"),
-                         F.round("economy_score", 4).alias("economy_score"))
+                         F.round("economy_score", 4).alias("economy_score"),
+                         "usage_error")
 
 
 @query

@@ -9,7 +9,6 @@ from shotcurve.operators.grid import with_eval_key
 from shotcurve.schemas import EVAL_KEY, EVAL_RESULTS
 
 KEY = ["run_id", *EVAL_KEY]
-MAX_PRUNED_RUNS = 1000
 
 
 def read_results_stream(spark: SparkSession, path: str, format: str = "parquet",
@@ -17,30 +16,32 @@ def read_results_stream(spark: SparkSession, path: str, format: str = "parquet",
     return spark.readStream.schema(EVAL_RESULTS).format(format).options(**options).load(path)
 
 
-def _stored_keys(spark: SparkSession, sink: str, runs: list[str] | None) -> DataFrame | None:
+def _stored_keys(spark: SparkSession, sink: str) -> DataFrame | None:
     try:
-        stored = spark.read.schema(", ".join(
+        return spark.read.schema(", ".join(
             f"{c} {'int' if c in ('shot_count', 'trial_id') else 'string'}" for c in KEY)).parquet(sink)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    if runs is not None:
-        stored = stored.filter(F.col("run_id").isin(runs))
-    return stored
 
 
 def append_new(batch: DataFrame, sink: str) -> None:
-    """Append the batch's rows whose key the sink does not hold yet, one per key.
+    """Append the batch's rows whose key the sink does not hold yet, one per key:
+    the first by its columns in name order, so the survivor does not depend on
+    how rows arrived.
 
-    Only key columns of the sink are read, and only the partitions of the
-    batch's runs while those are few."""
+    Only key columns of the sink are read; the semi-join with the batch's runs
+    prunes its partitions while the query runs."""
     spark = batch.sparkSession
-    rows = with_eval_key(batch).dropDuplicates(KEY)
-    found = [r["run_id"] for r in batch.select("run_id").distinct().take(MAX_PRUNED_RUNS + 1)]
-    stored = _stored_keys(spark, sink, found if len(found) <= MAX_PRUNED_RUNS else None)
+    rows = with_eval_key(batch)
+    rest = sorted(c for c in rows.columns if c not in KEY)
+    rows = rows.groupBy(*KEY).agg(F.min(F.struct(*rest)).alias("row")).select(
+        *[c if c in KEY else F.col(f"row.{c}").alias(c) for c in rows.columns])
+    stored = _stored_keys(spark, sink)
     if stored is not None:
-        rows = rows.join(stored, KEY, "left_anti")
+        runs = batch.select("run_id").distinct()
+        rows = rows.join(stored.join(runs, "run_id", "left_semi"), KEY, "left_anti")
     rows.write.mode("append").partitionBy("run_id").parquet(sink)
 
 

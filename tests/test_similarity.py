@@ -44,7 +44,7 @@ def texts():
     return cases, examples
 
 
-@pytest.mark.parametrize("options", [{}, {"broadcast_rows": 0}, {"broadcast_rows": 0, "hot_grams": 200}])
+@pytest.mark.parametrize("options", [{}, {"block_rows": 3}, {"block_rows": 4, "chunk_rows": 2}])
 def test_ranking_against_brute_force(spark, texts, options):
     cases, examples = texts
     c = spark.createDataFrame(cases, "task_id string, case_key string, input string")

@@ -181,3 +181,27 @@ def test_stream_with_watermark(spark, tmp_path):
     fact(spark, 6).unionByName(fact(spark, 6)).write.parquet(source)
     ingest.ingest_results_stream(ingest.read_results_stream(spark, source), sink, state, watermark="1 hour").awaitTermination()
     assert spark.read.parquet(sink).count() == 6
+
+
+def test_responses_keep_the_key_and_one_fact_each(spark):
+    key = "task_id string, model_name string, shot_count int, trial_id int, input_sha256 string, example_selection string"
+    cells = spark.createDataFrame([("t", "m", s, 1, "h", "fixed", "want") for s in (0, 1, 2)], f"{key}, expected_output string")
+    said = spark.createDataFrame(
+        [("t", "m", 0, 1, "h", "fixed", "b", None, "m-2024"), ("t", "m", 0, 1, "h", "fixed", "a", None, "m-2024"),
+         ("t", "m", 1, 1, "h", "fixed", "x", "timeout", "m-2024"), ("t", "m", 1, 1, "h", "fixed", "y", None, None)],
+        f"{key}, output string, error string, served_model string")
+    got = {r["shot_count"]: r for r in responses.attach_responses(cells, said).collect()}
+    assert len(got) == 3
+    assert (got[0]["model_name"], got[0]["served_model"], got[0]["actual_output"]) == ("m", "m-2024", "a")
+    assert (got[1]["actual_output"], got[1]["response_error"], got[2]["response_error"]) == ("y", None, "no response")
+
+
+def test_prompts_keep_cells_of_unlisted_tasks(spark):
+    grid = spark.createDataFrame([("t", "in", 0, "fixed"), ("unlisted", "in", 0, "fixed")],
+                                 "task_id string, input string, shot_count int, example_selection string")
+    tasks = spark.createDataFrame([("t", "d", None), ("t", "d", None)], "task_id string, description string, instruction string")
+    examples = spark.createDataFrame([], "task_id string, pos int, input string, output string, is_distractor boolean")
+    got = {r["task_id"]: r for r in prompts.build_prompts(grid, tasks, examples, selections=("fixed",)).collect()}
+    assert len(got) == 2
+    assert got["t"]["prompt"] and got["t"]["prompt_error"] is None
+    assert got["unlisted"]["prompt"] is None and got["unlisted"]["prompt_error"] == "task is not listed"
