@@ -160,12 +160,12 @@ def with_pattern(summary: DataFrame) -> DataFrame:
     return rows.withColumn("resilience", curves.curve_resilience("series", "pattern")).drop("series")
 
 
-def resilience_score(summary: DataFrame, per_selection: bool = False) -> DataFrame:
-    """Mean resilience per model (and selection) over its classified curves."""
+def resilience_score(summary: DataFrame, per_selection: bool = False, per_run: bool = False) -> DataFrame:
+    """Mean resilience per model (and selection, and run) over its classified curves."""
     rows = with_pattern(summary).filter(F.col("pattern").isNotNull())
-    keys = ["model_name"]
+    keys = [*(["run_id"] if per_run else []), "model_name"]
     if per_selection:
-        keys = ["example_selection", "model_name"]
+        keys = ["example_selection", *keys]
         rows = rows.withColumn("example_selection", F.coalesce(
             _or_default(summary, "example_selection", fv.DEFAULT_SELECTION),
             F.lit(fv.DEFAULT_SELECTION)))
@@ -174,7 +174,7 @@ def resilience_score(summary: DataFrame, per_selection: bool = False) -> DataFra
 
 def enrich_summary(summary: DataFrame, checkpoint: bool = True) -> DataFrame:
     """Add collapse_pattern ('' when unclassified) and the model's
-    resilience_score, separately for each selection.
+    resilience_score, separately for each run and selection.
 
     The mean comes back by join, not by window: a model with very many curves
     is averaged with map-side combine, and the join can split its rows. The
@@ -184,13 +184,16 @@ def enrich_summary(summary: DataFrame, checkpoint: bool = True) -> DataFrame:
         summary = cut_lineage(summary)
     if "example_selection" not in summary.columns:
         summary = summary.withColumn("example_selection", F.lit(fv.DEFAULT_SELECTION))
-    rows = with_pattern(summary)
+    # a NULL selection is the default one; a row without run id belongs to run ''
+    keys = {"_selection": F.coalesce("example_selection", F.lit(fv.DEFAULT_SELECTION)),
+            "_run": F.coalesce("run_id", F.lit("")) if "run_id" in summary.columns else F.lit("")}
+    rows = with_pattern(summary).withColumns(keys)
     means = (
         rows.filter(F.col("pattern").isNotNull())
-        .groupBy("example_selection", "model_name")
+        .groupBy(*keys, "model_name")
         .agg(F.avg("resilience").alias("resilience_score")))
     return (
-        rows.join(means, ["example_selection", "model_name"], "left")
+        rows.join(means, [*keys, "model_name"], "left")
         .withColumn("collapse_pattern", F.coalesce("pattern", F.lit("")))
         .select(*summary.columns, "collapse_pattern", "resilience_score"))
 

@@ -1,9 +1,11 @@
 """The two ends of an evaluation as whole plans: prompts out, results in."""
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from shotcurve.operators.collapse import collapse_alerts, enrich_summary
 from shotcurve.operators.grid import evaluation_grid, pending_evaluations, with_eval_key
+from shotcurve.operators.judge import judge_prompts
 from shotcurve.operators.prompts import build_prompts
 from shotcurve.operators.responses import attach_responses, clean_responses, to_eval_results
 from shotcurve.operators.scoring import attach_grader_replies, score_results
@@ -22,6 +24,14 @@ def prompts_to_run(tasks: TaskTables, models, done: DataFrame | None = None, see
                          selections=grid.get("selections", ("tfidf",)))
 
 
+def prompts_to_grade(prompts: DataFrame, responses: DataFrame) -> DataFrame:
+    """What a grader has to be asked: EVAL_KEY, prompt_kind and judge_prompt of every
+    answered llm_judge row. Replies to it are the replies of results_of_run."""
+    rows = attach_responses(prompts, clean_responses(responses))
+    asked = rows.filter((F.col("scoring_method") == "llm_judge") & F.col("response_error").isNull())
+    return judge_prompts(asked).select(*EVAL_KEY, "prompt_kind", "judge_prompt")
+
+
 def results_of_run(prompts: DataFrame, responses: DataFrame, run_id: str,
                    replies: DataFrame | None = None) -> DataFrame:
     """Fact rows from prompts, responses and grader replies (EVAL_KEY columns

@@ -445,12 +445,14 @@ ORACLES = {
         CASE WHEN response_error IS NULL THEN input END AS actual_output, response_error,
         CASE WHEN said THEN length(input) * 7 ELSE 0 END AS latency_ms, CASE WHEN said THEN length(input) ELSE 0 END AS input_tokens,
         CASE WHEN said THEN shot_count ELSE 0 END AS output_tokens FROM responded"""),
-    "scored_facts": with_(ANSWERED, """SELECT 'run_1' AS run_id, task_id, 'c' AS category, model_name, shot_count,
-        coalesce('ERROR: ' || response_error, input) AS actual_output,
-        CASE WHEN response_error IS NULL THEN 1.0 ELSE 0.0 END AS score, 'f1' AS scoring_method,
+    "scored_facts": with_(f"""{ANSWERED}, pairs AS (SELECT DISTINCT input AS id, input AS expected_output, substr(input, 11) AS actual_output
+        FROM responded), {NORMED}, {F1}""", """SELECT 'run_1' AS run_id, task_id, 'c' AS category, model_name, shot_count,
+        coalesce('ERROR: ' || response_error, substr(input, 11)) AS actual_output,
+        CASE WHEN response_error IS NULL THEN round(f1 + 1e-12, 9) ELSE 0.0 END AS score, 'f1' AS scoring_method,
         CASE WHEN response_error IS NULL THEN length(input) * 7 ELSE 0 END AS latency_ms, '2024-01-01T00:00:00' AS timestamp, trial_id,
         CASE WHEN response_error IS NULL THEN length(input) ELSE 0 END AS input_tokens,
-        CASE WHEN response_error IS NULL THEN shot_count ELSE 0 END AS output_tokens, example_selection FROM responded"""),
+        CASE WHEN response_error IS NULL THEN shot_count ELSE 0 END AS output_tokens, example_selection
+        FROM responded JOIN f1 ON f1.id = input"""),
     "cleaned_responses": """SELECT event_id, CASE user_id % 4 WHEN 0 THEN 'lmstudio/m' WHEN 1 THEN 'gpt-5.4' WHEN 2 THEN 'claude-x'
           ELSE 'gemini-y' END AS model_name,
         CASE event_id % 4 WHEN 0 THEN CASE WHEN user_id % 4 < 2 THEN event_type ELSE '<think>a b</think> ' || event_type END
@@ -486,6 +488,9 @@ ORACLES = {
     "rubric_judge_prompts": with_(JUDGE_CASES, f"SELECT p_partkey, {RUBRIC_PROMPT} AS judge_prompt FROM judge_cases WHERE prompt_kind = 'rubric'"),
     "judge_prompts": with_(JUDGE_CASES, f"""SELECT p_partkey, prompt_kind, md5(CASE prompt_kind WHEN 'keyword' THEN {KEYWORD_PROMPT}
         WHEN 'natural' THEN {NATURAL_PROMPT} ELSE {RUBRIC_PROMPT} END) AS prompt_md5 FROM judge_cases"""),
+    "grading_prompts": with_(JUDGE_CASES, f"""SELECT CAST(p_partkey AS VARCHAR) AS task_id, prompt_kind, md5(CASE prompt_kind
+        WHEN 'keyword' THEN {KEYWORD_PROMPT} WHEN 'natural' THEN {NATURAL_PROMPT} ELSE {RUBRIC_PROMPT} END) AS prompt_md5
+        FROM judge_cases WHERE p_partkey % 5 <> 0"""),
     "judge_replies": """SELECT event_id, CASE event_id % 6 WHEN 0 THEN least(1.0e0, CAST(CAST(value AS DECIMAL(10,2)) AS DOUBLE))
           WHEN 2 THEN 0.5e0 WHEN 1 THEN (event_id % 10) / 10.0e0
           WHEN 5 THEN (event_id % 10) / 10.0e0 END AS score,
@@ -557,6 +562,14 @@ ORACLES = {
         FROM resilient GROUP BY ALL)""", f"""SELECT {', '.join(f's.{k}' for k in KEYS.split(', '))}, round(learning_curve_auc + 1e-12, 9) AS learning_curve_auc,
         coalesce(p.pattern, '') AS collapse_pattern, round(m.r + 1e-12, 9) AS resilience_score FROM summary s
         LEFT JOIN pattern p USING ({KEYS}) LEFT JOIN means m ON m.example_selection = s.example_selection AND m.model_name = s.model_name"""),
+    "enriched_runs": with_(f"""{series_ctes()}, runs AS (SELECT *, 'run_1' AS run FROM resilient
+            UNION ALL SELECT *, 'run_2' FROM resilient WHERE task_id <> 'view'),
+        means AS (SELECT run, example_selection, model_name, avg(resilience) AS r FROM runs GROUP BY ALL),
+        every AS (SELECT *, 'run_1' AS run FROM summary UNION ALL SELECT *, 'run_2' FROM summary WHERE task_id <> 'view')""",
+        f"""SELECT e.run AS run_id, e.task_id, e.category, e.model_name, nullif(e.example_selection, 'fixed') AS example_selection,
+        coalesce(p.pattern, '') AS collapse_pattern, round(m.r + 1e-12, 9) AS resilience_score FROM every e
+        LEFT JOIN pattern p USING ({KEYS}) LEFT JOIN means m ON m.run = e.run AND m.model_name = e.model_name
+        AND m.example_selection = e.example_selection"""),
     "curve_long": with_(series_ctes(), f"SELECT {KEYS}, shot AS shot_count, round(score + 1e-12, 9) AS score FROM long"),
     "drop_intervals": with_(series_ctes(), f"""SELECT {KEYS}, prev_shot AS from_shot, shot AS to_shot, round(prev + 1e-12, 9) AS score_from,
         round(score + 1e-12, 9) AS score_to FROM ordered WHERE score < prev - 0.02e0"""),

@@ -295,8 +295,8 @@ def prompts_by_cell(spark, sf):
                         F.length("prompt").alias("prompt_length"), F.md5("prompt").alias("prompt_md5"))
 
 
-def _answered(spark, sf):
-    """Grid cells of the user turns with the response (or none) of each."""
+def _cells_and_answers(spark, sf):
+    """Grid cells of the user turns, and the responses to most of them."""
     cells = grid.with_eval_key(_grid(spark, sf).withColumns({
         "run_id": F.lit("run_1"), "category": F.lit("c"), "expected_output": F.col("input"),
         "scoring_method": F.lit("f1"), "timestamp": F.lit("2024-01-01T00:00:00")}))
@@ -304,7 +304,11 @@ def _answered(spark, sf):
         *EVAL_KEY, F.col("input").alias("output"), (F.length("input") * 7).cast("bigint").alias("latency_ms"),
         F.length("input").cast("bigint").alias("input_tokens"), F.col("shot_count").cast("bigint").alias("output_tokens"),
         F.when(F.length("input") % 3 == 1, "timeout").alias("error"))
-    return responses.attach_responses(cells, said)
+    return cells, said
+
+
+def _answered(spark, sf):
+    return responses.attach_responses(*_cells_and_answers(spark, sf))
 
 
 @query
@@ -315,8 +319,24 @@ def attached_responses(spark, sf):
 
 @query
 def scored_facts(spark, sf):
-    facts = responses.to_eval_results(scoring.score_results(_answered(spark, sf)))
-    return rounded(facts.drop("input", "expected_output"))
+    """Answers that differ from the expected text, under a served name, some of
+    them given twice."""
+    cells, said = _cells_and_answers(spark, sf)
+    said = said.withColumns({"output": F.expr("substring(output, 11)"), "served_model": F.lit("served/m")})
+    again = said.filter(F.col("error").isNull()).withColumns(
+        {"output": F.lit(None).cast("string"), "error": F.lit("again")})
+    answered = responses.attach_responses(cells, said.unionByName(again))
+    return rounded(responses.to_eval_results(scoring.score_results(answered)).drop("input", "expected_output"))
+
+
+@query
+def grading_prompts(spark, sf):
+    cases = tables.judge_cases(spark, sf).withColumns({
+        "task_id": F.col("p_partkey").cast("string"), "model_name": F.lit("gpt-m"), "shot_count": F.lit(0), "trial_id": F.lit(1),
+        "input_sha256": F.sha2("expected_output", 256), "example_selection": F.lit("fixed")})
+    said = cases.filter(F.col("p_partkey") % 5 != 0).select(*EVAL_KEY, F.col("actual_output").alias("output"))
+    asked = evaluation.prompts_to_grade(cases.drop("actual_output", "grader_reply"), said)
+    return asked.select("task_id", "prompt_kind", F.md5("judge_prompt").alias("prompt_md5"))
 
 
 @query
@@ -643,6 +663,17 @@ def enriched_summary(spark, sf):
         *SUMMARY_KEYS, "learning_curve_auc", "collapse_pattern", "resilience_score"))
 
 
+@query
+def enriched_runs(spark, sf):
+    """Several runs in one table, the selection missing where it is the default one."""
+    s = summary_of(spark, sf)
+    fixed = F.col("example_selection") == "fixed"
+    runs = s.withColumn("run_id", F.lit("run_2")).filter(F.col("task_id") != "view").unionByName(s).withColumn(
+        "example_selection", F.when(~fixed, F.col("example_selection")))
+    return rounded(collapse.enrich_summary(runs).select(
+        *SUMMARY_KEYS, "collapse_pattern", "resilience_score"))
+
+
 @query
 def curve_long(spark, sf):
     return rounded(collapse.curve_long(summary_of(spark, sf)))

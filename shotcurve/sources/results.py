@@ -114,6 +114,12 @@ def run_catalog(spark: SparkSession, results_dir: str) -> DataFrame:
         .select("run_id", "raw_path", "summary_path"))
 
 
+def load_run(spark: SparkSession, run) -> tuple[DataFrame, DataFrame | None]:
+    """Facts and summary (None without one) of a row of run_catalog."""
+    facts = read_eval_results(spark, run["raw_path"], "csv")
+    return facts, read_summaries(spark, [run["summary_path"]]) if run["summary_path"] else None
+
+
 def write_results(df: DataFrame, path: str, format: str = "parquet") -> None:
     """Write facts or summaries partitioned by run_id, replacing only the runs
     at hand. Rebalancing splits a run that holds most rows into several files
