@@ -24,7 +24,7 @@ import re
 from itertools import product
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,10 @@ from shotcurve.scratch import stored
 FIT_ROWS = 20_000
 FOLDS = 5
 MIN_EVIDENCE = 12.0
-MIN_WEIGHT = 1.5
+# for a word none of whose beginnings is in the lexicon: rare words of a toxic
+# text and its near copies must not pass for insults
+STRONG_EVIDENCE = 40.0
+MIN_WEIGHT = 2.5
 REACH = 4
 
 INSULT, THREAT, TARGET, NEGATION, SPEECH, QUOTE, END, OTHER = range(8)
@@ -134,12 +137,15 @@ def match(text: str, lexicon: Lexicon, table) -> list[float] | None:
         return None
     state, in_clause = 0, False
     total = aimed = negated = reported = plain = 0.0
-    insults, clauses, threats = set(), 0, 0
+    insults, said, clauses, threats = set(), set(), 0, 0
     for token in SYMBOL.findall(low):
         weight = lexicon[token]
         symbol = INSULT if weight else CLASSES.get(token, OTHER)
         state, mark = table[state, symbol]
         if symbol == INSULT:
+            if token in said:  # once per clause, however often it is repeated there
+                continue
+            said.add(token)
             insults.add(token)
             total += weight
             aimed += weight * bool(mark & AIMED)
@@ -153,6 +159,7 @@ def match(text: str, lexicon: Lexicon, table) -> list[float] | None:
         elif symbol == END:
             clauses += in_clause
             in_clause = False
+            said.clear()
     return [total, plain, aimed, negated, reported, len(insults), clauses + in_clause, threats, len(words)]
 
 
@@ -187,8 +194,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, fit_rows: int) -> DataFram
     order = F.xxhash64(F.lit(5), "doc_id")
     chosen = labelled.orderBy(order, "doc_id").limit(fit_rows)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return stored(texts.join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn(
-        "fold", F.pmod(order, F.lit(2)).cast("int")), "toxicity-rows")
+    # one row per text: copies are no further evidence
+    first = F.row_number().over(Window.partitionBy(F.sha2("text", 256)).orderBy("doc_id"))
+    rows = texts.join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("copy", first).filter("copy = 1")
+    return stored(rows.select("doc_id", "text", "toxic", F.pmod(order, F.lit(2)).cast("int").alias("fold")),
+                  "toxicity-rows")
 
 
 def learn_lexicons(rows: DataFrame) -> tuple[dict, dict, dict]:
@@ -207,15 +217,23 @@ def learn_lexicons(rows: DataFrame) -> tuple[dict, dict, dict]:
         n1, n0 = (sum(F.col(f"n_{f}_{y}") for f in folds) for y in (1, 0))
         t1, t0 = (sum(sizes.get((f, y), 0) for f in folds) for y in (1, 0))
         if not t1 or not t0:
-            scored = scored.withColumn(f"w_{name}", F.lit(0.0))
+            scored = scored.withColumns({f"w_{name}": F.lit(0.0), f"e_{name}": F.lit(0.0)})
             continue
         ratio, odds = _evidence(n1, n0, float(t1), float(t0))
         weight = F.when((ratio >= MIN_EVIDENCE) & (odds >= MIN_WEIGHT), odds).otherwise(0.0)
-        scored = scored.withColumn(f"w_{name}", weight)
+        scored = scored.withColumns({f"w_{name}": weight, f"e_{name}": ratio})
         good = good | (F.col(f"w_{name}") > 0)
     # at most a few per cent of the keys of a bounded number of rows
-    found = scored.filter(good).select("key", "w_0", "w_1", "w_both").collect()
-    return tuple({r["key"]: r[c] for r in found if r[c] > 0} for c in ("w_0", "w_1", "w_both"))
+    found = scored.filter(good).collect()
+
+    def lexicon(name):
+        weights = {r["key"]: r[f"w_{name}"] for r in found if r[f"w_{name}"] > 0}
+        weak = [r["key"] for r in found if r["key"][0] == "=" and r[f"e_{name}"] < STRONG_EVIDENCE
+                and not any(k in weights for k in keys_of(r["key"][1:])[1:])]
+        for key in weak:
+            weights.pop(key, None)
+        return weights
+    return lexicon("0"), lexicon("1"), lexicon("both")
 
 
 def _design(features):
