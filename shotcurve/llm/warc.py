@@ -113,3 +113,52 @@ def archive_index(spark: SparkSession, path: str) -> DataFrame:
     """One row per record without the bytes, read back and verified."""
     return read_archive(spark, path).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def export_warc(spark: SparkSession, path: str, out: str, records_per_file: int = 50_000, gzip: bool = True):
+    """The archive's records as .warc files (UTF-8 payloads), one after another.
+
+    The closing blank lines are the writer's line separator, so a file is the
+    exact concatenation of its records."""
+    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
+    records = read_archive(spark, path).select(F.decode(F.concat(F.col("header"), body), "UTF-8").alias("record"))
+    (records.write.option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", records_per_file)
+     .option("compression", "gzip" if gzip else "none").text(out))
+
+
+def import_warc(spark: SparkSession, files: str) -> DataFrame:
+    """Records of .warc files (gzip or plain): header (exact bytes), record_type,
+    url and payload. A file is one task's work, so files should be of bounded
+    size, as export_warc makes them."""
+    def run(batches):
+        import zlib
+
+        import pyarrow as pa
+        for batch in batches:
+            for content in batch.column(0):
+                data = content.as_py()
+                if data[:2] == b"\x1f\x8b":  # one gzip member or one per record
+                    plain, rest = [], data
+                    while rest:
+                        member = zlib.decompressobj(31)
+                        plain.append(member.decompress(rest))
+                        rest = member.unused_data
+                    data = b"".join(plain)
+                headers, payloads, at = [], [], 0
+                while (end := data.find(b"\r\n\r\n", at)) >= 0:
+                    head = data[at:end + 4]
+                    length = next(int(line.split(b":", 1)[1]) for line in head.split(b"\r\n")
+                                  if line.lower().startswith(b"content-length:"))
+                    headers.append(head)
+                    payloads.append(data[end + 4:end + 4 + length])
+                    at = end + 4 + length + 4
+                    if len(headers) == 1000:
+                        yield pa.RecordBatch.from_arrays([pa.array(headers, pa.binary()), pa.array(payloads, pa.binary())],
+                                                         names=["header", "payload"])
+                        headers, payloads = [], []
+                yield pa.RecordBatch.from_arrays([pa.array(headers, pa.binary()), pa.array(payloads, pa.binary())],
+                                                 names=["header", "payload"])
+    content = spark.read.format("binaryFile").load(files).select("content")
+    text = F.decode("header", "UTF-8")
+    return content.mapInArrow(run, "header binary, payload binary").select(
+        "header", _field(text, "WARC-Type").alias("record_type"), _field(text, "WARC-Target-URI").alias("url"), "payload")

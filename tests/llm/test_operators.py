@@ -119,6 +119,11 @@ def test_warc_round_trip_with_revisits(spark):
         assert rest == (body if r.record_type == "response" else b"") + b"\r\n\r\n"
         assert length == len(rest) - 4 and head.count(b"WARC-Target-URI") == 1
     assert spark.read.parquet(f"{path}/payloads").count() == 4
+    for gzip in (True, False):
+        files = shared_folder(spark, "test-warc-files")
+        warc.export_warc(spark, path, files, records_per_file=3, gzip=gzip)
+        back = sorted((bytes(r.header), bytes(r.payload)) for r in warc.import_warc(spark, f"{files}/part-*").collect())
+        assert back == sorted((bytes(r.header), bytes(r.payload) if r.record_type == "response" else b"") for r in records)
     big = shared_folder(spark, "test-warc")
     warc.write_archive(pages, big, min_bytes=5)
     got = {r.page_id: r.record_type for r in warc.archive_index(spark, big).collect()}
