@@ -20,7 +20,7 @@ def prompts_to_run(tasks: TaskTables, models, done: DataFrame | None = None, see
     """Prompts of every evaluation that is not stored yet."""
     cells = evaluation_grid(tasks.test_cases, models, **grid)
     cells = with_eval_key(cells) if done is None else pending_evaluations(cells, done)
-    return build_prompts(cells, tasks.tasks, tasks.examples, seed=seed,
+    return build_prompts(cells, tasks.tasks, tasks.examples, seed=seed, cases=tasks.test_cases,
                          selections=grid.get("selections", ("tfidf",)))
 
 

@@ -428,7 +428,7 @@ ORACLES = {
     "examples_sections": with_(f"{FIXED}, {MODELS}, {TRIALS}", f"""SELECT task_id, pos, shot_count, model_name, trial_id,
         {SECTION.format(order='is_distractor, i')} AS examples_section FROM chosen, models, trials
         GROUP BY task_id, pos, shot_count, model_name, trial_id"""),
-    "prompts_by_cell": with_(f"""{TFIDF_CHOSEN},
+    "prompts_by_cell": with_(f"""{TFIDF_CHOSEN}, {MODELS},
         picks AS (SELECT 'tfidf' AS example_selection, * FROM similar_chosen
           UNION ALL SELECT 'fixed', b.task_id, b.pos, c.shot, n.output, n.input, n.is_distractor, n.rn
           FROM bench b, composition c LEFT JOIN numbered n ON n.task_id = b.task_id
@@ -440,7 +440,7 @@ ORACLES = {
           || CASE WHEN s = '' THEN '' ELSE chr(10) || chr(10) || s END || chr(10) || chr(10) || '{fv.PROMPT_TURN}' || chr(10)
           || '{fv.PROMPT_INPUT}' || b.input || chr(10) || '{fv.PROMPT_CUE}' AS prompt
           FROM sections s JOIN bench b USING (task_id, pos))""",
-        "SELECT task_id, pos, shot_count, example_selection, length(prompt) AS prompt_length, md5(prompt) AS prompt_md5 FROM prompts"),
+        "SELECT task_id, pos, shot_count, example_selection, model_name, length(prompt) AS prompt_length, md5(prompt) AS prompt_md5 FROM prompts, models"),
     "attached_responses": with_(ANSWERED, """SELECT task_id, model_name, shot_count, trial_id, input_sha256, example_selection, pos,
         CASE WHEN response_error IS NULL THEN input END AS actual_output, response_error,
         CASE WHEN said THEN length(input) * 7 ELSE 0 END AS latency_ms, CASE WHEN said THEN length(input) ELSE 0 END AS input_tokens,
@@ -604,9 +604,9 @@ ORACLES = {
         CASE threshold_shots WHEN -1 THEN 2 WHEN 0 THEN 4 WHEN 1 THEN 4 WHEN 2 THEN 4 ELSE 8 END AS nearest_shot,
         CASE threshold_shots WHEN -1 THEN 0.0 WHEN 0 THEN 0.3e0 ELSE round(1 - {fall('9 - threshold_shots', 3)} / 720 + 1e-12, 9) END AS chance
         FROM summary"""),
-    "whole_evaluation": """WITH m(model_name) AS (VALUES ('vendor/model_a'), ('claude-b')), s(shot_count) AS (VALUES (0), (1), (2), (4), (8)),
-        c(scoring_method) AS (VALUES ('exact_match'), ('llm_judge')), t(trial) AS (VALUES (1), (2))
-        SELECT p_brand AS category, model_name, shot_count, scoring_method, count(*) AS num_rows,
-        CASE WHEN scoring_method = 'llm_judge' THEN shot_count / 10.0e0 WHEN shot_count > 0 THEN 1.0 ELSE 0.0 END AS mean_score
-        FROM part, m, s, c, t GROUP BY ALL""",
+    "whole_evaluation": """WITH m(model_name) AS (VALUES ('vendor/model_a'), ('claude-b'), ('lmstudio/c')), s(shot_count) AS (VALUES (0), (1), (2), (4), (8)),
+        c(scoring_method) AS (VALUES ('exact_match'), ('llm_judge')), t(trial) AS (VALUES (1), (2)), e(example_selection) AS (VALUES ('fixed'), ('tfidf'))
+        SELECT p_brand AS category, model_name, shot_count, scoring_method, example_selection, count(*) AS num_rows,
+        CASE WHEN model_name = 'claude-b' AND shot_count = 4 THEN 0.0 WHEN scoring_method = 'llm_judge' THEN shot_count / 10.0e0 WHEN shot_count > 0 THEN 1.0 ELSE 0.0 END AS mean_score
+        FROM part, m, s, c, t, e GROUP BY ALL""",
 }

@@ -288,10 +288,10 @@ def _task_texts(spark, sf):
 
 @query
 def prompts_by_cell(spark, sf):
-    cells = _grid(spark, sf, tables.benchmark_cases(spark, sf), models=MODELS[:1], trials=1)
+    cells = _grid(spark, sf, tables.benchmark_cases(spark, sf), trials=1)
     built = prompts.build_prompts(cells, _task_texts(spark, sf), tables.example_pool(spark, sf), shuffle=False,
                                   cases=tables.benchmark_cases(spark, sf))
-    return built.select("task_id", "pos", "shot_count", "example_selection",
+    return built.select("task_id", "pos", "shot_count", "example_selection", "model_name",
                         F.length("prompt").alias("prompt_length"), F.md5("prompt").alias("prompt_md5"))
 
 
@@ -785,11 +785,13 @@ def sql_functions(spark, sf):
 
 @query
 def whole_evaluation(spark, sf):
-    """Pack JSON -> grid -> prompts -> responses -> scores -> summary."""
+    """Pack JSON -> grid -> prompts -> responses -> scores -> summary. One model leaves
+    its four-shot prompts unanswered; others answer under a served name, after a failure."""
     packs = _packs(spark, sf)
-    axes = {"trials": 2, "selections": ["fixed"]}
-    built = evaluation.prompts_to_run(packs, MODELS[:2], **axes)
-    said = grid.with_eval_key(grid.evaluation_grid(packs.test_cases, MODELS[:2], **axes)).select(
+    axes = {"trials": 2, "selections": grid.compare_selections()}
+    built = evaluation.prompts_to_run(packs, MODELS, **axes)
+    said = grid.with_eval_key(grid.evaluation_grid(packs.test_cases, MODELS, **axes)).filter(
+        (F.col("model_name") != MODELS[1]) | (F.col("shot_count") != 4)).select(
         *EVAL_KEY, "input").dropDuplicates(EVAL_KEY)
     expected = packs.test_cases.filter(~F.col("expected_is_rubric")).select(
         F.col("task_id").alias("task"), F.col("input").alias("case"), F.col("expected_output").alias("answer"))
@@ -798,8 +800,10 @@ def whole_evaluation(spark, sf):
         F.col("shot_count") > 0, F.coalesce("answer", F.lit("?"))).otherwise(F.lit("?")).alias("output"))
     replies = said.select(*EVAL_KEY, F.concat(
         F.lit('{"score": 0.'), F.col("shot_count").cast("string"), F.lit("}")).alias("grader_reply"))
-    facts = evaluation.results_of_run(built, said, "run_w", replies)
-    return rounded(facts.groupBy("category", "model_name", "shot_count", "scoring_method").agg(
+    answers = said.select("*", F.lit("served/m").alias("served_model"), F.explode(
+        F.array(F.lit(None).cast("string"), F.lit("timeout"))).alias("error"))
+    facts = evaluation.results_of_run(built, answers, "run_w", replies)
+    return rounded(facts.groupBy("category", "model_name", "shot_count", "scoring_method", "example_selection").agg(
         F.count(F.lit(1)).alias("num_rows"), F.avg("score").alias("mean_score")))
 
 
