@@ -51,6 +51,12 @@ def _key(source) -> Column:
     return F.coalesce(F.concat(F.lit("+"), source), F.lit(""))
 
 
+def _exact_sum(value: Column) -> Column:
+    """A sum of doubles that is the same in whatever order the rows come, so that
+    reruns agree."""
+    return F.sum(value.cast("decimal(28,9)")).cast("double")
+
+
 def targets(sources: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float = 1.0) -> DataFrame:
     """Adds each source's target words to (key, source, source_size, ...).
 
@@ -98,9 +104,9 @@ def tilt(counts: DataFrame, sources: DataFrame, cap: int = CAP, tolerance: float
         words = F.col("n") * F.col("size")
         rate = _rate(cap)
         sums = counts.join(state.select("key", "mean", "lam"), "key").groupBy("key").agg(
-            F.sum(words * rate).alias("taken"),
-            F.sum(F.when((rate < cap) & (F.col("mean") > 0), words * rate * F.try_divide("size", "mean"))
-                  .otherwise(0.0)).alias("slope"))
+            _exact_sum(words * rate).alias("taken"),
+            _exact_sum(F.when((rate < cap) & (F.col("mean") > 0), words * rate * F.try_divide("size", "mean"))
+                       .otherwise(0.0)).alias("slope"))
         gap = F.col("taken") - F.col("target")
         step = F.when(F.col("slope") > 0, F.col("lam") - F.try_divide(gap, F.col("slope")))
         moved = state.join(sums, "key", "left").withColumns({
@@ -148,7 +154,7 @@ def thresholds(sizes: DataFrame, state: DataFrame, cap: int = CAP, seed: int = S
     items = (
         sizes.join(state.select("key", "mean", "lam"), "key").withColumn("rate", _rate(cap))
         .withColumn("class", _size_class()).filter(F.col("size") > 0))
-    expected = items.groupBy("key", "class").agg(F.sum(F.col("rate") * F.col("size")).alias("words"))
+    expected = items.groupBy("key", "class").agg(_exact_sum(F.col("rate") * F.col("size")).alias("words"))
     carry = state.select("key", F.lit(0.0).alias("carry"))
     top = F.lit(BINS * BINS)
     for c in range(len(CLASSES)):
