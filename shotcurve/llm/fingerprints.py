@@ -20,8 +20,8 @@ from shotcurve.scratch import stored
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 LANES = (1 << 32) | 1
-BUCKET_ROWS = 2000
-MAX_BOUNDS = 256
+BUCKET_ROWS = 500
+MAX_BOUNDS, MAX_BUCKETS = 256, 1_000_000
 
 
 def _terms(words: Column) -> Column:
@@ -77,15 +77,15 @@ def in_buckets(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs with a bucket that rises with doc_id; null ids are in bucket -1.
 
     Quantiles of the ids (at most MAX_BOUNDS numbers) part them evenly, and each
-    part is cut into slots of equal width."""
-    n, parts = docs.agg(F.count("doc_id"), F.lit(0)).first()[0], 1
-    buckets = max(1, -(-n // bucket_rows))
+    part is cut into slots of equal width. Beyond MAX_BUCKETS buckets these grow
+    instead, so that putting them in order stays a small task."""
+    n = docs.agg(F.count("doc_id")).first()[0]
+    buckets = min(max(1, -(-n // bucket_rows)), MAX_BUCKETS)
     parts = min(MAX_BOUNDS, buckets)
     shares = [i / parts for i in range(parts + 1)]
     bounds = docs.agg(F.percentile_approx("doc_id", shares, 10_000).alias("b")).first()["b"] or [0, 0]
     bounds = sorted(set(bounds)) if len(set(bounds)) > 1 else [bounds[0], bounds[0] + 1]
     slots = -(-buckets // (len(bounds) - 1))
-    inner = F.lit(0)
     edges = F.array(*[F.lit(b).cast("bigint") for b in bounds])
     part = F.greatest(F.least(F.size(F.filter(edges, lambda b: b <= F.col("doc_id"))), F.lit(len(bounds) - 1)), F.lit(1))
     low, high = F.element_at(edges, part), F.element_at(edges, part + 1)
