@@ -32,6 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the tables made by stored() that df reads; nothing may read them later."""
+    jvm, root = df.sparkSession.sparkContext._jvm, shared_root(df.sparkSession)
+    conf = df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        if path.getName().startswith("shotcurve-") and path.getParent().getName() == root.rsplit("/", 1)[-1]:
+            path.getFileSystem(conf).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, kept when executors are lost."""
     context = df.sparkSession.sparkContext

@@ -141,6 +141,42 @@ def test_substring_dedup_finds_planted_passages(spark):
     assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_exact_passage_is_found_where_its_short_seeds_were_seen_before(spark):
+    # all 5-grams of the passage occur in earlier documents, in another one each
+    for words in (50, 60):
+        passage = prose(60, words).split()
+        rows = [(i, f"{prose(1000 + i, 30)} {' '.join(passage[i:i + 5])} {prose(2000 + i, 30)}") for i in range(words - 4)]
+        rows += [(200, f"{prose(61, 40)} {' '.join(passage)} {prose(62, 40)}"),
+                 (300, f"{prose(63, 25)} {' '.join(passage)} {prose(64, 40)}"),
+                 (400, f"{prose(65, 25)} {' '.join(passage[:49])} {prose(66, 40)}")]
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+        got = substring_dedup.repeated_passages(docs).collect()
+        assert [(r.doc_id, r.start_word, r.end_word, r.partner_id, r.partner_start) for r in got] == [
+            (300, 25, 25 + words, 200, 40)]
+
+
+def test_long_matches_are_all_repeated_runs(spark):
+    rng = random.Random(12)
+    texts = [[rng.choice("abc") for _ in range(rng.randint(0, 90))] for _ in range(40)]
+    texts += [t[rng.randint(0, 9):] + ["d"] * rng.randint(0, 9) for t in texts[:20]] + texts[10:15]
+    texts += [["a"] * 30, ["a", "b"] * 20, ["b"] + ["a"] * 25, *([prose(7, 60).split()] * 3)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    holders = {}
+    for i, t in enumerate(texts):
+        for p in range(len(t) - 11):
+            holders.setdefault(tuple(t[p:p + 12]), []).append((i, p))
+    want = {x for at in holders.values() for x in at if x[0] > at[0][0]}
+    found = substring_dedup.seeds(docs, 3, 4, 12).filter("block is not null")
+    rows = substring_dedup.long_matches(docs, found, 12).collect()
+    assert {(r.doc, p) for r in rows for p in range(r.pos, r.pos + r.words - 11)} == want
+    for r in rows:
+        assert r.partner < r.doc
+        assert texts[r.doc][r.pos:r.pos + r.words] == texts[r.partner][r.partner_pos:r.partner_pos + r.words]
+    assert any(r.words > 12 for r in rows) and any(r.words == 12 for r in rows)
+    beyond = spark.createDataFrame([(41, 0, 90), (41, 95, 3)], "doc bigint, pos int, count int")
+    assert substring_dedup.long_seeds(docs, beyond, 12).count() <= 90
+
+
 def test_chain_takes_the_best_collinear_runs():
     # rows: start, end, diagonal, seeds; the third crosses the others
     runs = np.array([[0, 20, 0, 5], [30, 60, 2, 6], [25, 28, -500, 2], [62, 90, 1, 6]])
