@@ -193,6 +193,29 @@ def test_seeds_of_equal_runs_agree_whatever_the_context():
     assert len(substring_dedup.seed_positions(hashes.of(b"a b"), 5, 12)[0]) == 0
 
 
+def test_alignment_takes_the_longest_segment_of_the_identity():
+    def segments(*runs, identity=0.8):
+        # runs of equal and different words by turns, the first ones different
+        hit = np.repeat(np.arange(len(runs)) % 2 == 1, runs)
+        x = np.arange(len(hit))
+        got = substring_dedup.align(x, np.where(hit, x, -1), [0], [0], [0], 5, 50, identity)
+        return [(s, e) for s, e, *_ in got]
+    for a, b, c in ((30, 6, 20), (30, 5, 20), (45, 7, 25), (49, 13, 49)):
+        assert segments(70, a, b, c, 70) == [(70, 70 + a + b + c)]
+    assert segments(0, 60, 40) == [(0, 60)] and segments(40, 60, 0) == [(40, 100)]
+    assert segments(10, 60, 9, 1, 50) == [(10, 70)]  # a chance hit does not stretch a passage
+    assert segments(10, 48, 1, 3, 60) == [(10, 62)]
+    assert segments(10, 60, 200, 55, 3) == [(10, 70), (270, 325)]
+    assert segments(5, 49, 90, 49, 5) == [] and segments(200) == [] and segments(0, 80) == [(0, 80)]
+    rng = np.random.default_rng(3)
+    for n in range(1, 60):
+        hit = rng.random(n) < rng.choice([0.5, 0.8, 0.9])
+        want = max([j - i for i in range(n) for j in range(i + 1, n + 1)
+                    if hit[i] and hit[j - 1] and 5 * hit[i:j].sum() >= 4 * (j - i)], default=0)
+        start, end = substring_dedup.longest(hit, 0.8)
+        assert end - start == want and 5 * hit[start:end].sum() >= 4 * (end - start)
+
+
 def test_line_dedup_drops_boilerplate_of_the_site_only(spark):
     page = "<html><nav><a>Menu</a></nav><p>{}</p><script>x('</p>')</script><!-- c --><footer>Foot</footer></html>"
     rows = [(i, f"http://a.org/{i}", page.format(f"text {i}")) for i in range(5)]
