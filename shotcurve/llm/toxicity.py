@@ -1,11 +1,14 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols: insult (with a weight), threat, target, negation, speech
-cue, quote, clause end, other. Four small transducers read the symbols of a
+cue, quote, clause end, other. Five small transducers read the symbols of a
 text and mark them: negation and target reach over the next words of a clause,
-a speech cue to its end, a quote to the closing quote. Composed, they are one
+a speech cue to its end, a quote to the closing quote; a threat stays open to the
+end of its clause and is answered by a target there. Composed, they are one
 table, run once over a text. What is scored are clauses that match: an insult
-with the marks it carries, or a threat aimed at someone.
+with the marks it carries, or a threat aimed at someone, who is named
+before it ("they kill") or after it ("kill you"). Insults are single words; those
+of several words are not matched as such.
 
 The insult lexicon (words and word beginnings) and the weights of the matched
 patterns are learned from labelled rows, so what negation or quoting is worth
@@ -40,7 +43,7 @@ MIN_WEIGHT = 2.5
 REACH = 4
 
 INSULT, THREAT, TARGET, NEGATION, SPEECH, QUOTE, END, OTHER = range(8)
-NEGATED, REPORTED, AIMED = 1, 2, 4
+NEGATED, REPORTED, AIMED, ANSWERED = 1, 2, 4, 8
 
 # Closed word classes in four languages
 NEGATIONS = "not no never nor isn aren don doesn nicht kein keine nie pas jamais non nunca ni sin".split()
@@ -56,7 +59,7 @@ CLASSES = {**{w: NEGATION for w in NEGATIONS}, **{w: TARGET for w in TARGETS},
            **{w: SPEECH for w in SPEECH_CUES}, **{w: THREAT for w in THREATS},
            **{q: QUOTE for q in QUOTES}, **{e: END for e in ENDS}}
 PREFIXES = (4, 5)
-FEATURES = 9
+FEATURES = 10
 
 
 # A transducer: (start, {(state, class): (next state, mark)}).
@@ -84,6 +87,20 @@ def between(trigger: int, mark: int):
                for state, symbol in product((0, 1), range(8))}
 
 
+def answered(trigger: int, answer: int, negation: int, mark: int, reach: int):
+    """Marks the answer that follows a trigger in its clause, if the trigger is neither
+    negated nor within twice `reach` symbols after an answer."""
+    table = {}
+    for (no, yes, held), symbol in product(product(range(reach + 1), range(2 * reach + 1), (0, 1)), range(8)):
+        hit = held and symbol == answer
+        opens = symbol == trigger and not no and not yes
+        table[(no, yes, held), symbol] = (
+            (0, 0, 0) if symbol == END else (reach if symbol == negation else max(no - 1, 0),
+                                             2 * reach if symbol == answer else max(yes - 1, 0),
+                                             1 if opens else 0 if hit else held)), mark if hit else 0
+    return (0, 0, 0), table
+
+
 def compose(*transducers):
     """One transducer that carries the marks of all of them."""
     start, table = tuple(t[0] for t in transducers), {}
@@ -104,7 +121,8 @@ def compose(*transducers):
 
 def grammar():
     return compose(reaching(NEGATION, NEGATED, REACH), reaching(TARGET, AIMED, 2 * REACH),
-                   to_clause_end(SPEECH, REPORTED), between(QUOTE, REPORTED))
+                   to_clause_end(SPEECH, REPORTED), between(QUOTE, REPORTED),
+                   answered(THREAT, TARGET, NEGATION, ANSWERED, REACH))
 
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -130,6 +148,12 @@ def keys_of(word: str) -> list[str]:
 
 
 def match(text: str, lexicon: Lexicon, table) -> list[float] | None:
+    """patterns() without the last one: threats are those after their target."""
+    found = patterns(text, lexicon, table)
+    return found and found[:-1]
+
+
+def patterns(text: str, lexicon: Lexicon, table) -> list[float] | None:
     """Features of the matched clauses of a text; None if nothing matches."""
     low = text.lower()
     words = WORD.findall(low)
@@ -137,7 +161,7 @@ def match(text: str, lexicon: Lexicon, table) -> list[float] | None:
         return None
     state, in_clause = 0, False
     total = aimed = negated = reported = plain = 0.0
-    insults, said, clauses, threats = set(), set(), 0, 0
+    insults, said, clauses, threats, ahead = set(), set(), 0, 0, 0
     for token in SYMBOL.findall(low):
         weight = lexicon[token]
         symbol = INSULT if weight else CLASSES.get(token, OTHER)
@@ -156,11 +180,14 @@ def match(text: str, lexicon: Lexicon, table) -> list[float] | None:
         elif symbol == THREAT and mark & AIMED and not mark & NEGATED:
             threats += 1
             in_clause = True
+        elif mark & ANSWERED:
+            ahead += 1
+            in_clause = True
         elif symbol == END:
             clauses += in_clause
             in_clause = False
             said.clear()
-    return [total, plain, aimed, negated, reported, len(insults), clauses + in_clause, threats, len(words)]
+    return [total, plain, aimed, negated, reported, len(insults), clauses + in_clause, threats, len(words), ahead]
 
 
 def _evidence(n1, n0, t1, t0):
@@ -274,7 +301,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model |
         lexicons, table = [Lexicon(second), Lexicon(first)], grammar()[1]
         for batch in batches:
             fold, text, toxic = (batch.column(i).to_pylist() for i in range(3))
-            found = [match(t, lexicons[f], table) or [0.0] * FEATURES for f, t in zip(fold, text)]
+            found = [patterns(t, lexicons[f], table) or [0.0] * FEATURES for f, t in zip(fold, text)]
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(
                 [list(map(float, f)) for f in found], pa.list_(pa.float64()))], names=["toxic", "f"])
     got = rows.select("fold", "text", "toxic").mapInArrow(features, "toxic int, f array<double>").toPandas()
@@ -296,7 +323,7 @@ def score(docs: DataFrame, model: Model | None, name: str = "score") -> DataFram
         import pyarrow as pa
         lexicon, table = Lexicon(weights), grammar()[1]
         for batch in batches:
-            found = [match(t.as_py() or "", lexicon, table) or [0.0] * FEATURES for t in batch.column(position)]
+            found = [patterns(t.as_py() or "", lexicon, table) or [0.0] * FEATURES for t in batch.column(position)]
             z = _design(found) @ beta
             scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())],

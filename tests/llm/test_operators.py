@@ -4,6 +4,7 @@ import random
 import struct
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -203,6 +204,26 @@ def test_clauses_are_matched_with_their_weights():
     assert toxicity.match("I will kill you. They kill you", lexicon, table)[7] == 1
 
 
+def test_threats_before_and_after_their_target():
+    table = toxicity.grammar()[1]
+
+    def threats(text):  # (target before, target only after)
+        found = toxicity.patterns(text, toxicity.Lexicon({}), table)
+        return found[7], found[9]
+    assert [threats(t) for t in ("I will kill you.", "hurt them", "shoot him and burn them!", "I kill all of those and you")] == [
+        (0, 1), (0, 1), (1, 1), (0, 1)]
+    assert threats("They kill you") == (1, 0) and threats("I will kill you. They kill you") == (1, 1)
+    assert threats("I will not kill you") == (0, 0) and threats("kill. You") == (0, 0) and threats("kill time") == (0, 0)
+
+
+def test_score_tells_threats_in_normal_word_order():
+    table, lexicon = toxicity.grammar()[1], toxicity.Lexicon({})
+    texts = [f"{'one two ' * (i % 7)}i will {('kill you', 'kill time')[i % 2]} now." for i in range(200)]
+    x = toxicity._design([toxicity.patterns(t, lexicon, table) for t in texts])
+    scores = x @ toxicity.logistic(x, np.array([i % 2 == 0 for i in range(200)], float))
+    assert all((z > 0) == (i % 2 == 0) for i, z in enumerate(scores))
+
+
 def test_toxicity_learns_from_rows_not_held_out(spark):
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
