@@ -4,8 +4,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shotcurve.llm import (
-    exact_dedup, fingerprints, line_dedup, mixing, packing, simhash_dedup, substring_dedup, toxicity,
-    url_filter, warc)
+    conversation_repair, exact_dedup, fill_middle, fingerprints, line_dedup, mixing, packing, pieces,
+    simhash_dedup, substring_dedup, toxicity, url_filter, warc)
 from shotcurve.scratch import shared_folder
 
 
@@ -72,6 +72,33 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def piece_model_path() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def pieces_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again; ids and texts are reported by their digests."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents"), piece_model_path())
+    return pieces.decode(encoded, piece_model_path()).select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def fill_middle_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed and restored; both are reported by their digests."""
+    rows = fill_middle.transform(table(spark, sf_dir, "documents"))
+    text = fill_middle.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def conversation_repair_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation damaged and repaired."""
+    return conversation_repair.repair(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 LLM_QUERIES = {
     "op1_packing": packing_query,
     "op2_exact_dedup": exact_dedup_query,
@@ -83,6 +110,9 @@ LLM_QUERIES = {
     "op8_warc": warc_query,
     "op9_line_dedup": line_dedup_query,
     "op10_mixing": mixing_query,
+    "op11_pieces": pieces_query,
+    "op12_fill_middle": fill_middle_query,
+    "op13_conversation_repair": conversation_repair_query,
 }
 
 LLM_ORACLES = {
@@ -134,4 +164,81 @@ LLM_ORACLES = {
                CASE WHEN page_id <> response_id THEN response_id END AS refers_to
         FROM d""".format(digits=", ".join(
             f"to_base(('0x' || substr(hex, {5 * i + 1}, 5))::BIGINT, 32, 4)" for i in range(8))),
+    "op12_fill_middle": r"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text,
+                          sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        l AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS lines,
+                     list_transform([1, 9, 17, 25], lambda i: ('0x' || substr(h, i, 8))::BIGINT) AS draws FROM d),
+        c AS (SELECT *, len(lines) AS n,
+                     least(draws[1] % (len(lines) + 1), draws[2] % (len(lines) + 1)) AS low,
+                     greatest(draws[1] % (len(lines) + 1), draws[2] % (len(lines) + 1)) AS high,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                               OR draws[3] % 100 >= 100 THEN 'plain'
+                          WHEN draws[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM l),
+        p AS (SELECT doc_id, text, n, form, array_to_string(lines[1:low], '') AS prefix,
+                     array_to_string(lines[low + 1:high], '') AS middle,
+                     array_to_string(lines[high + 1:], '') AS suffix FROM c)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text
+                      WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(text) AS restored_sha256 FROM p""",
+    "op13_conversation_repair": r"""
+        WITH RECURSIVE src AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '') AS k
+            FROM conversations),
+        drawn AS (SELECT *, xor(4294967295, list_reduce(
+                     [4294967295] || flatten(list_transform(k, lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0])),
+                     lambda a, b: xor(xor(a, b) >> 1, (xor(a, b) & 1) * 3988292384))) % 20 AS draw FROM src),
+        damaged AS (
+            SELECT conv_id, turn, CASE WHEN draw = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN draw = 1 THEN '' WHEN draw = 2 THEN translate(text, '.!?', '') ELSE text END AS text
+            FROM drawn, (VALUES (1), (2)) AS c(copy) WHERE draw <> 0 AND (copy = 1 OR draw = 3)),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
+                          regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*\z', 1) AS last FROM damaged),
+        marked AS (SELECT *, last = '' AS blank,
+                          last <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS repeated,
+                          left(role, 1) AS initial,
+                          lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM placed),
+        judged AS (SELECT *, NOT blank AND NOT repeated AND last NOT IN ('.', '!', '?') AS cut FROM marked),
+        counted AS (
+            SELECT conv_id, count(*) AS n, count(*) FILTER (blank) AS blank, count(*) FILTER (repeated) AS duplicate,
+                   count(*) FILTER (cut) AS truncated,
+                   count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+                   coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps FROM judged GROUP BY conv_id),
+        edits(edit, p, q, price) AS (VALUES
+            ('D', '', '', 3), ('D', 's', 's', 3), ('D', 'u', 'u', 3), ('D', 'a', 'a', 3),
+            ('K', '', 's', 0), ('K', '', 'u', 0), ('K', 's', 'u', 0), ('K', 'u', 'a', 0), ('K', 'a', 'u', 0),
+            ('R', '', 'u', 2), ('R', 's', 'u', 2), ('R', 'u', 'a', 2), ('R', 'a', 'u', 2)),
+        inserts(edit, p, q, price, line) AS (VALUES
+            ('', '', '', 0, ''), ('', 's', 's', 0, ''), ('', 'u', 'u', 0, ''), ('', 'a', 'a', 0, ''),
+            ('I', '', 'u', 2, 'user:' || chr(10)), ('I', 's', 'u', 2, 'user:' || chr(10)),
+            ('I', 'u', 'a', 2, 'assistant:' || chr(10)), ('I', 'a', 'u', 2, 'user:' || chr(10))),
+        moves AS (
+            SELECT j.conv_id, j.pos, e.p, i.q, e.price + i.price + CASE WHEN cut AND e.edit <> 'D' THEN 1 ELSE 0 END AS price,
+                   e.edit || i.edit AS edit,
+                   CASE e.edit WHEN 'D' THEN '' WHEN 'K' THEN role || ':' || text || chr(10)
+                        ELSE CASE e.q WHEN 'u' THEN 'user' ELSE 'assistant' END || ':' || text || chr(10) END || i.line AS lines
+            FROM judged j JOIN edits e ON (e.edit = 'D' OR NOT blank AND NOT repeated) AND (e.edit <> 'K' OR e.q = initial)
+            JOIN inserts i ON i.p = e.q),
+        walk AS (
+            SELECT conv_id, 0::BIGINT AS pos, q AS state, {'c': price::BIGINT, 'e': edit, 'o': line} AS best
+            FROM counted, inserts WHERE p = ''
+            UNION ALL
+            SELECT w.conv_id, m.pos, m.q AS state,
+                   min({'c': w.best.c + m.price, 'e': w.best.e || m.edit, 'o': w.best.o || m.lines}) AS best
+            FROM walk w JOIN moves m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.pos = w.pos + 1 AND m.p = w.state
+            GROUP BY w.conv_id, m.pos, m.q),
+        won AS (SELECT c.conv_id, min(w.best) AS best FROM counted c
+                JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.pos = c.n AND w.state IN ('', 'a')
+                GROUP BY c.conv_id)
+        SELECT a.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+               coalesce(best.e, '') AS audit,
+               sha256(coalesce(left(best.o, greatest(length(best.o) - 1, 0)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a
+        LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+        LEFT JOIN won w ON w.conv_id IS NOT DISTINCT FROM a.conv_id""",
 }
