@@ -13,8 +13,9 @@ no padding.
 
 Defined results: a null or empty text is a document of the end token alone;
 repeated rows are packed once each; a document longer than a sequence is cut;
-an empty table gives no rows. Only doc_id and text are read, other columns may
-have any name. Output per piece: doc_id, start, length, doc_tokens,
+an empty table gives no rows; null doc_ids stay null, each row being a document of
+its own. Equal lengths are packed in the order of their rows. Only doc_id and text
+are read, other columns may have any name. Output per piece: doc_id, start, length, doc_tokens,
 sequence_id, offset, ids (unsigned little-endian 32-bit). sequence_id holds the
 number of the task that packed it in its upper half.
 """
@@ -22,15 +23,20 @@ number of the task that packed it in its upper half.
 import heapq
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shotcurve.llm import chunks
+
 SEQUENCE_TOKENS = 4096
 WINDOW_TOKENS = 1 << 21
 END_ID = 2
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-# words whose ids a worker remembers
-WORD_CACHE = 400_000
+# pieces of words whose ids a worker remembers
+PIECE_CACHE = 400_000
+# ASCII marks that begin no contraction
+MARKS = ".,;:!?()\"-"
 CONTROL = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -93,13 +99,13 @@ def plan_window(lengths: list[int], size: int = SEQUENCE_TOKENS, linear: float =
     return placed
 
 
-class WordIds(dict):
-    """Ids of whole texts by way of words: maps a word to the bytes of its ids.
+class WordIds:
+    """Ids of texts by way of words: the encoder of chunks.ChunkIds.
 
     For tokenizers of the form "normalize, drop white space, split by a
-    pattern, byte-level BPE": no token crosses white space, so words can be
-    looked up, and only a new one is normalized, split and merged by the
-    tokenizer's own parts. Words or pieces beyond a bound are forgotten."""
+    pattern, byte-level BPE": no token crosses white space, so texts may be cut
+    there, and only a new word is normalized, split and merged by the
+    tokenizer's own parts. Pieces beyond a bound are forgotten."""
 
     def __init__(self, path: str):
         import json
@@ -123,15 +129,26 @@ class WordIds(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
 
-    def __missing__(self, word: str) -> bytes:
+    def seams(self) -> np.ndarray:
+        """Cuts between white space and words, and between ASCII letters and the marks that the
+        pattern takes for words of their own; none inside special tokens."""
+        space, letter, mark = np.zeros((3, 256), bool)
+        space[[*range(9, 14), 32]] = True
+        letter[[*range(65, 91), *range(97, 123)]] = True
+        mark[[ord(m) for m in MARKS if self.find(f"a{m}b") == ["a", m, "b"]]] = True
+        sides = [(~space, space), (space, ~space), (letter, mark), (mark, letter)]
+        free = np.logical_or.reduce([left[:, None] & right for left, right in sides])
+        for token in self.special:
+            b = list(token.encode())
+            free[b[:-1], b[1:]] = False
+        return free
+
+    def word(self, word: str) -> bytes:
         if any(s in word for s in self.special):
-            ids = b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
-        else:
-            # Latin letters are composed as they are and have one lower case
-            low = word.lower() if max(word) < "\u0250" else self.tokenizer.normalizer.normalize_str(word)
-            ids = b"".join(map(self.piece, [low] if low.isalpha() else self.find(low)))
-        self[word] = ids
-        return ids
+            return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(word, add_special_tokens=False).ids)
+        # Latin letters are composed as they are and have one lower case
+        low = word.lower() if max(word) < "\u0250" else self.tokenizer.normalizer.normalize_str(word)
+        return b"".join(map(self.piece, [low] if low.isalpha() else self.find(low)))
 
     def piece(self, text: str) -> bytes:
         ids = self.pieces.get(text)
@@ -142,13 +159,14 @@ class WordIds(dict):
         return ids
 
     def encode(self, text: str) -> bytes:
-        if len(self) > WORD_CACHE:
-            self.clear()
-        if len(self.pieces) > WORD_CACHE:
-            self.pieces.clear()
         # split() also cuts at four control characters which are not white space
         words = SPACE.split(text) if CONTROL.search(text) else text.split()
-        return b"".join(map(self.__getitem__, filter(None, words)))
+        return b"".join([self.word(w) for w in words if w])
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        if len(self.pieces) > PIECE_CACHE:
+            self.pieces.clear()
+        return [self.encode(t) for t in texts]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE_TOKENS, end_id: int = END_ID,
@@ -164,6 +182,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE_TOKENS, end_
         from pyspark import TaskContext
 
         encoder = WordIds(tokenizer_path)
+        table = chunks.ChunkIds(encoder.seams(), encoder.encode_all)
         end = end_id.to_bytes(4, "little")
         sequence = TaskContext.get().partitionId() << 32
         doc_ids, docs_ids, tokens = [], [], 0
@@ -186,13 +205,16 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE_TOKENS, end_
                 ], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                doc_ids.append(doc_id)
-                docs_ids.append(encoder.encode(text.as_py()) + end)
-                tokens += len(docs_ids[-1]) // 4
-                if tokens >= window_tokens:
-                    yield from flush()
-                    doc_ids, docs_ids, tokens = [], [], 0
+            for start, texts in chunks.slices(batch.column(1)):
+                bounds, ids = table.ids(texts)
+                raw, bounds = ids.to_numpy().tobytes(), (4 * bounds).tolist()
+                for i, doc_id in enumerate(batch.column(0).slice(start, len(texts)).to_pylist()):
+                    doc_ids.append(doc_id)
+                    docs_ids.append(raw[bounds[i]:bounds[i + 1]] + end)
+                    tokens += len(docs_ids[-1]) // 4
+                    if tokens >= window_tokens:
+                        yield from flush()
+                        doc_ids, docs_ids, tokens = [], [], 0
         if doc_ids:
             yield from flush()
 
