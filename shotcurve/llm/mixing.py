@@ -11,8 +11,8 @@ Each Newton step is one aggregation over the (source, size) counts, which is
 all the rates depend on; a bracket around each root keeps the steps safe.
 
 Rates become whole copies by a threshold: document d takes its j-th copy when
-j - rate - draw(d) is at most the source's threshold, draw being a hash of the
-id, so a threshold of 0 is ordinary random rounding. The thresholds are read
+j - rate - draw(d) is at most the source's threshold, draw being a hash of id and
+text, so a threshold of 0 is ordinary random rounding. The thresholds are read
 off histograms of that key, for large documents first; smaller ones make up for
 what rounding the larger ones left over.
 
@@ -21,8 +21,9 @@ is held apart from the documents; a source of any size is pre-aggregated.
 
 Defined results: a null text has size 0; the null source is a source, last in
 order; a source without words has target 0; documents of size 0 get the rate of
-their source's formula but take 0 words; rows repeated under one id are rounded
-alike; an empty table gives no rows. Sources are ordered in one task, which
+their source's formula but take 0 words; equal rows (id and text) are rounded one
+by one, told apart by their place in the table, so which of them is taken more often
+may change with the layout, but not with the run; an empty table gives no rows. Sources are ordered in one task, which
 sees one row per source.
 """
 
@@ -118,12 +119,15 @@ def tilt(counts: DataFrame, sources: DataFrame, cap: int = CAP, tolerance: float
         moved = moved.withColumn("lam", F.when(F.col("off") <= tolerance, F.col("lam")).when(inside, step)
                                  .otherwise((F.col("low") + F.col("high")) / 2))
         state = stored(moved.drop("taken", "slope"), "mix-state")
+    else:
+        if (state.agg(F.max("off")).first()[0] or 0.0) > tolerance:
+            raise RuntimeError(f"Newton did not settle within {max_steps} steps")
     return state.drop("low", "high", "off")
 
 
 def _place(copy: Column, cap: int, seed: int) -> Column:
     """Place of the rounding key of a document's copy among BINS^2 fine bins."""
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    draw = F.pmod(F.xxhash64(F.lit(seed), F.col("identity")), F.lit(1 << 52)) / F.lit(float(1 << 52))
     span = 2.0 * cap
     place = F.floor((copy - F.col("rate") - draw + cap) / span * BINS * BINS)
     return F.least(F.greatest(place, F.lit(0)), F.lit(BINS * BINS - 1)).cast("bigint")
@@ -185,7 +189,7 @@ def thresholds(sizes: DataFrame, state: DataFrame, cap: int = CAP, seed: int = S
 
 
 def fit(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float = 1.0, seed: int = SEED) -> DataFrame:
-    """The plan, one row per source, from (doc_id, source, size)."""
+    """The plan, one row per source, from (identity, source, size)."""
     sizes = sizes.withColumn("key", _key(F.col("source")))
     counts = stored(sizes.groupBy("key", "source", "size").agg(F.count(F.lit(1)).alias("n")), "mix-counts")
     sources = counts.groupBy("key", "source").agg(
@@ -194,11 +198,11 @@ def fit(sizes: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float = 1.0, s
     sources = sources.withColumn("mean", F.when(
         F.col("docs") > 0, F.try_divide("source_size", "docs")).otherwise(F.lit(0.0)))
     state = tilt(counts.select("key", "size", "n"), targets(sources, weights, cap, share), cap)
-    return thresholds(sizes.select("doc_id", "key", "size"), state, cap, seed)
+    return thresholds(sizes.select("identity", "key", "size"), state, cap, seed)
 
 
 def apply_plan(sizes: DataFrame, plan: DataFrame, cap: int = CAP, seed: int = SEED) -> DataFrame:
-    """Adds source_size, target, rate, copies and taken to rows with doc_id,
+    """Adds source_size, target, rate, copies and taken to rows with identity,
     source and size, in place: only the plan's rows, one per source, move when
     they are few."""
     cut = F.when(F.col("class") == 0, F.col("cut_0"))
@@ -215,15 +219,37 @@ def apply_plan(sizes: DataFrame, plan: DataFrame, cap: int = CAP, seed: int = SE
         .drop("key", "mean", "lam", "class", "cut", *(f"cut_{c}" for c in range(len(CLASSES)))))
 
 
+def _facts() -> dict[str, Column]:
+    """What the mix needs of a document. identity stands for id and text; row tells equal rows apart."""
+    return {"doc_id": F.col("doc_id").cast("bigint"), "source": F.col("source").cast("string"),
+            "size": word_count("text"),
+            "identity": F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))),
+            "row": F.monotonically_increasing_id()}
+
+
 def sizes_of(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.col("source").cast("string").alias("source"), word_count("text").alias("size"))
+    return docs.select(*[c.alias(n) for n, c in _facts().items()])
+
+
+def repeated(sizes: DataFrame) -> DataFrame:
+    """Identities of more than one row, stored, so that their number decides how they are joined."""
+    return stored(sizes.groupBy("identity").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        F.col("identity").alias("repeated")), "mix-repeats")
+
+
+def told_apart(rows: DataFrame, repeats: DataFrame) -> DataFrame:
+    """Rows whose identity holds the row number, too, where it is repeated: equal rows are rounded
+    one by one and not as a lump."""
+    names = [c for c in rows.columns if c not in ("identity", "row")]
+    return rows.join(repeats, F.col("identity") == F.col("repeated"), "left").select(*names, F.when(
+        F.col("repeated").isNull(), F.col("identity")).otherwise(F.xxhash64("identity", "row")).alias("identity"))
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float = 1.0, seed: int = SEED) -> DataFrame:
     """doc_id, source, size, source_size, target, rate, copies, taken of all docs."""
     sizes = stored(sizes_of(docs), "mix-sizes")
-    return apply_plan(sizes, fit(sizes, weights, cap, share, seed), cap, seed)
+    sizes = told_apart(sizes, repeated(sizes))
+    return apply_plan(sizes, fit(sizes, weights, cap, share, seed), cap, seed).drop("identity")
 
 
 def resample(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float = 1.0, seed: int = SEED) -> DataFrame:
@@ -231,11 +257,12 @@ def resample(docs: DataFrame, weights=WEIGHTS, cap: int = CAP, share: float = 1.
 
     Texts stay where they lie; every row works out its own copies."""
     names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), *[
-        c.alias(n) for n, c in (("doc_id", F.col("doc_id").cast("bigint")),
-                                ("source", F.col("source").cast("string")), ("size", word_count("text")))])
-    plan = fit(stored(sizes_of(docs), "mix-sizes"), weights, cap, share, seed)
-    taken = apply_plan(packed, plan, cap, seed).filter(F.col("copies") > 0)
+    sizes = stored(sizes_of(docs), "mix-sizes")
+    repeats = repeated(sizes)
+    plan = fit(told_apart(sizes, repeats), weights, cap, share, seed)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("packed"),
+                         *[c.alias(n) for n, c in _facts().items()])
+    taken = apply_plan(told_apart(packed, repeats), plan, cap, seed).filter(F.col("copies") > 0)
     # the counter has to stay in the plan until the rows are out
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
-        *[F.col(f"row.`{c}`").alias(c) for c in names])
+        *[F.col(f"packed.`{c}`").alias(c) for c in names])
