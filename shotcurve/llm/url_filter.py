@@ -18,8 +18,10 @@ rows alike; other columns stay. Rules are a configured list held by the driver.
 """
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -81,7 +83,6 @@ def token_counts(urls: DataFrame, tokens: set[str], url: str = "url") -> dict[st
     """In how many urls each of the tokens occurs: at most one row per token
     reaches the driver."""
     def of(texts):
-        import pyarrow as pa
         return pa.array([sorted(tokens & _whole_words("".join(split_url(u)))) for u in texts.to_pylist()],
                         pa.list_(pa.string()))
     seen = urls.select(F.explode(F.arrow_udf(of, "array<string>")(url)).alias("token"))
@@ -108,33 +109,35 @@ def build_index(rules, counts: dict[str, int]) -> dict[str | None, list]:
 def judge(pages: DataFrame, site_rules=SITE_RULES, pattern_rules=PATTERN_RULES, url: str = "url",
           names: tuple = ("host", "path", "rule", "verdict")) -> DataFrame:
     """pages with host, path, rule (of the site rule that decided, else null)
-    and verdict, under the given names. Rows are judged in place."""
+    and verdict, under the given names, in place of columns that have these
+    names in upper or lower case. Rows are judged in place."""
     rules = [*site_rules, *pattern_rules]
     counts = token_counts(pages, {t for r in rules for t in r.tokens()}, url)
     index = build_index(rules, counts)
     n_sites = len(site_rules)
     described = [(r.name, r.verdict, len(r.name)) for r in rules]
 
-    def run(urls):
-        import pyarrow as pa
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ready = {t: [(n, re.compile(x)) for n, x in found] for t, found in index.items()}
-        out = []
-        for value in urls.to_pylist():
-            host, path = split_url(value)
-            text = host + path
-            hits = [n for token in {None, *_whole_words(text)} for n, regex in ready.get(token, ())
-                    if regex.match(text)]
-            sites = [n for n in hits if n < n_sites]
-            if sites:
-                best = max(sites, key=lambda n: (described[n][2], described[n][1] == "block", -n))
-                out.append((host, path, described[best][0], described[best][1]))
-            else:
-                said = {described[n][1] for n in hits}
-                out.append((host, path, None, "block" if "block" in said and "allow" not in said else "allow"))
-        return pa.StructArray.from_arrays(
-            [pa.array([o[i] for o in out], pa.string()) for i in range(4)], names=["a", "b", "c", "d"])
+        for urls in batches:
+            out = []
+            for value in urls.to_pylist():
+                host, path = split_url(value)
+                text = host + path
+                hits = [n for token in {None, *_whole_words(text)} for n, regex in ready.get(token, ())
+                        if regex.match(text)]
+                sites = [n for n in hits if n < n_sites]
+                if sites:
+                    best = max(sites, key=lambda n: (described[n][2], described[n][1] == "block", -n))
+                    out.append((host, path, described[best][0], described[best][1]))
+                else:
+                    said = {described[n][1] for n in hits}
+                    out.append((host, path, None, "block" if "block" in said and "allow" not in said else "allow"))
+            yield pa.StructArray.from_arrays(
+                [pa.array([o[i] for o in out], pa.string()) for i in range(4)], names=["a", "b", "c", "d"])
     found = F.arrow_udf(run, "a string, b string, c string, d string")(url)
     kept = [F.col(f"`{c}`") for c in pages.columns]
     rows = pages.select(F.struct(*kept).alias("row"), found.alias("found"))
-    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in pages.columns if c not in names],
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in pages.columns
+                         if c.lower() not in {n.lower() for n in names}],
                        *[F.col(f"found.{c}").alias(n) for c, n in zip("abcd", names)])
