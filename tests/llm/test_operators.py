@@ -1,16 +1,18 @@
 import base64
+import datetime
 import hashlib
 import random
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from shotcurve.llm import fingerprints, mixing, packing, queries, toxicity, url_filter, warc
+from shotcurve.llm import chunks, fingerprints, mixing, packing, queries, toxicity, url_filter, warc
 from shotcurve.scratch import shared_folder
 from tests.oracle_check import connect, differences
 
@@ -37,10 +39,18 @@ def tokenizer():
 def test_word_ids_equal_the_tokenizers():
     texts = ["", "  It's  a\ttest\r\nHELLO,world!! 123 don't", "ΑΣ ΣΣ. é ́x İstanbul ß 日本語", "a\x1cb\x85c d\xa0e",
              "<|endoftext|>x <|startoftext|>", "‘quoted’—dash… 'S'T 'll", "Ünïcode ñandú œuvre " * 5]
-    ids = packing.WordIds(queries.tokenizer_path())
+    texts += ["a.b,c (d) e-f x.'s Σ. aΣ.b ´.é x…. y.\u0301z <|endoftext|>a.<|startoftext|>,b <|endof text|>\x0b\x0c."]
+    rng = random.Random(8)
+    texts += ["".join(rng.choice("abcsΣéX'.,-(<|>1 \n\u0301…") for _ in range(60)) for _ in range(500)]
+    ids, library = packing.WordIds(queries.tokenizer_path()), tokenizer()
     for t in texts:
         got = ids.encode(t)
-        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == tokenizer().encode(t, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(got) // 4}I", got)) == library.encode(t, add_special_tokens=False).ids
+    table = chunks.ChunkIds(ids.seams(), ids.encode_all)
+    for start, part in chunks.slices(pa.array(texts)):
+        bounds, got = table.ids(part)
+        for i, t in enumerate(texts[start:start + len(part)]):
+            assert got[bounds[i]:bounds[i + 1]].to_pylist() == library.encode(t, add_special_tokens=False).ids
 
 
 def check_pieces(rows, lengths, size):
@@ -122,8 +132,8 @@ def test_warc_round_trip_with_revisits(spark):
     assert spark.read.parquet(f"{path}/payloads").count() == 4
     for gzip in (True, False):
         files = shared_folder(spark, "test-warc-files")
-        warc.export_warc(spark, path, files, records_per_file=3, gzip=gzip)
-        back = sorted((bytes(r.header), bytes(r.payload)) for r in warc.import_warc(spark, f"{files}/part-*").collect())
+        warc.export_warc(spark, path, files, file_bytes=1000, gzip=gzip)
+        back = sorted((bytes(r.header), bytes(r.payload)) for r in warc.import_warc(spark, f"{files}/file=*/part-*").collect())
         assert back == sorted((bytes(r.header), bytes(r.payload) if r.record_type == "response" else b"") for r in records)
     big = shared_folder(spark, "test-warc")
     warc.write_archive(pages, big, min_bytes=5)
@@ -134,6 +144,26 @@ def test_warc_round_trip_with_revisits(spark):
     assert warc.archive_index(spark, empty).count() == 0
 
 
+def test_warc_urls_come_back_as_they_were(spark):
+    urls = ["http://a/\u2028WARC-Payload-Digest: sha1:X", "http://a/\u0085WARC-Refers-To: <urn:page:7>", "a\u2029b", "a\r\n\r\nb",
+            "http://a/%20+%zz", "\x01%2B+ %\x7fé", "x\nWARC-Type: revisit\r", "y\r", "", "é\u2028"]
+    rows = [(i, u, f"body {i}") for i, u in enumerate(urls)]
+    path = shared_folder(spark, "test-warc")
+    date = datetime.datetime(2024, 5, 6, 7, 8, 9, tzinfo=datetime.UTC)
+    warc.write_archive(spark.createDataFrame(rows, "page_id bigint, url string, html string"), path, date=date)
+    got = warc.read_archive(spark, path).collect()
+    assert {r.page_id: r.url for r in got} == dict(enumerate(urls))
+    for r in got:
+        assert (r.record_type, r.refers_to) == ("response", None)
+        head = bytes(r.header)
+        assert head.count(b"\r\nWARC-Date: 2024-05-06T07:08:09Z\r\n") == 1
+        assert len(head.decode().rstrip("\r\n").splitlines()) == 8 + (b"X-Target" in head)
+    files = shared_folder(spark, "test-warc-files")
+    warc.export_warc(spark, path, files, file_bytes=700, gzip=False)
+    assert all(r.length <= 700 for r in spark.read.format("binaryFile").load(f"{files}/file=*/part-*").collect())
+    assert sorted(r.url for r in warc.import_warc(spark, f"{files}/file=*/part-*").collect()) == sorted(urls)
+
+
 def test_warc_notices_damage(spark):
     path = shared_folder(spark, "test-warc")
     warc.write_archive(spark.createDataFrame([(1, "u", "text")], "page_id bigint, url string, html string"), path)
@@ -374,3 +404,34 @@ def test_pipeline_equals_its_parts(spark, sf_dir):
     packed = corpus_pipeline.run(spark, sf_dir)
     lengths = packed.groupBy("sequence_id").agg(F.sum("length").alias("n"))
     assert lengths.filter("n > 4096").count() == 0 and packed.count() > 0
+
+
+def test_mixing_rounds_equal_rows_one_by_one(spark):
+    rows = [(None if i % 2 else 7, "some equal words here", "a") for i in range(3000)]
+    rows += [(i, "w " * (1 + i % 7), "b") for i in range(2000)] + [(i, "x", None) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("row", F.lit(1))
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows) and all(r.taken <= 3 * r.size for r in got)
+    for source in ("a", "b", None):
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) / own[0].target - 1) < 0.02
+    again = mixing.mix(docs).collect()
+    key = lambda r: (r.doc_id or -1, r.source or "", r.size, r.taken)
+    assert sorted(map(key, got)) == sorted(map(key, again))
+    copies = mixing.resample(docs)
+    assert copies.columns == docs.columns
+    assert abs(copies.filter("source = 'a'").count() * 4 / next(r.target for r in got if r.source == "a") - 1) < 0.02
+
+
+def test_mixing_says_when_it_does_not_settle(spark):
+    with pytest.raises(RuntimeError, match="settle"):
+        mixing.tilt(spark.sql("SELECT 'k' AS key, 1L AS size, 5L AS n UNION ALL SELECT 'k', 9L, 5L"),
+                    spark.sql("SELECT 'k' AS key, 60D AS target, 50L AS source_size, 5D AS mean"), max_steps=1)
+
+
+def test_url_filter_replaces_columns_of_its_names(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/", "x", "y"), (2, "http://a.org/" + "z/" * 200_000, "x", "y")],
+                                  "page_id bigint, url string, Rule string, HOST string")
+    got = url_filter.judge(pages)
+    assert sorted(got.columns) == ["host", "page_id", "path", "rule", "url", "verdict"]
+    assert [r.rule for r in got.collect()] == ["org/", "org/"]
