@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from shotcurve import fixed_values as fv
 from shotcurve.functions import curves
+from shotcurve.operators.joins import join_one
 from shotcurve.scratch import cut_lineage
 
 LabelFn = Callable[[Column, Column], Column]
@@ -28,11 +29,11 @@ def _identity(summary: DataFrame, label: LabelFn | None) -> list[Column]:
 
 def label_from(mapping: DataFrame, alerts: DataFrame) -> DataFrame:
     """Replace task_label by the mapping's label (task_id[, category] -> label);
-    tasks it does not list keep their label."""
+    tasks it does not list keep their label. Of several labels the least counts."""
     keys = [c for c in ("task_id", "category") if c in mapping.columns and c in alerts.columns]
     named = mapping.select(*keys, F.col("label").alias("mapped_label"))
     return (
-        alerts.join(named, keys, "left")
+        join_one(alerts, named.filter(F.col("mapped_label").isNotNull()), keys)
         .withColumn("task_label", F.coalesce("mapped_label", "task_label"))
         .drop("mapped_label")
     )

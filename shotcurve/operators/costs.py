@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from shotcurve import fixed_values as fv
 from shotcurve.functions.metrics import economy_score, total_cost
+from shotcurve.operators.joins import join_one
 
 USAGE = ["input_tokens", "output_tokens", "latency_ms"]
 
@@ -20,13 +21,16 @@ def price_usage(df: DataFrame, prices: DataFrame | None = None, strict: bool = F
     Rows with negative usage stay, with usage_error naming the first such column
     and NULL prices, so that their cost is NULL; when strict they fail the job.
     The built-in price list is a fixed short list, so it becomes an expression;
-    a caller's list is joined."""
+    a caller's list is joined, of several prices of a model the lowest; when strict
+    different ones fail the job."""
     error = F.coalesce(*[F.when(F.col(c) < 0, F.lit(f"{c} must be non-negative")) for c in USAGE])
     if strict:
         error = F.when(error.isNotNull(), F.raise_error(error)).cast("string")
     df = df.withColumn("usage_error", error)
     if prices is not None:
-        return df.join(prices, "model_name", "left").withColumns({
+        listed = prices.select("model_name", "input_price", "output_price")
+        order = [F.col("input_price"), F.col("output_price")]
+        return join_one(df, listed, ["model_name"], order, "the price list" if strict else None).withColumns({
             c: F.when(F.col("usage_error").isNull(), F.coalesce(c, F.lit(0.0)))
             for c in ("input_price", "output_price")})
     model_in, model_out = F, F

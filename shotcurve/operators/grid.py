@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from shotcurve import fixed_values as fv
 from shotcurve.functions.names import (
     api_model_name, input_sha256, provider, resolve_shot_count)
-from shotcurve.schemas import EVAL_KEY
+from shotcurve.operators.joins import eval_key
 
 GRID_ORDER = ["selection_pos", "trial_id", "model_pos", "task_pos", "shot_pos", "pos"]
 
@@ -36,7 +36,7 @@ def evaluation_grid(test_cases: DataFrame, models: Sequence[str], shots: Sequenc
         raise ValueError("models, shots, trials and selections must not be empty")
     if "task_pos" not in test_cases.columns:
         test_cases = test_cases.withColumn("task_pos", F.lit(0))
-    spread = [c for c in ("task_id", "pos", "input") if c in test_cases.columns]
+    spread = [c for c in ("pack_id", "task_id", "pos", "input") if c in test_cases.columns]
     partitions = int(test_cases.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     test_cases = test_cases.repartition(partitions, *spread)
     grid = test_cases.select("*", _ordinals(selections, "example_selection", "selection_pos"))
@@ -68,8 +68,9 @@ def pending_evaluations(grid: DataFrame, done: DataFrame, retry_errors: bool = F
     unless retry_errors."""
     if retry_errors:
         done = done.filter(~F.coalesce(F.col("actual_output").startswith(fv.ERROR_PREFIX), F.lit(False)))
-    keys = with_eval_key(done).select(*EVAL_KEY).distinct()
-    return with_eval_key(grid).join(keys, EVAL_KEY, "left_anti")
+    key = eval_key(grid, done)
+    keys = with_eval_key(done).select(*key).distinct()
+    return with_eval_key(grid).join(keys, key, "left_anti")
 
 
 def restrict_to_available(models: DataFrame, availability: DataFrame, strict: bool = True) -> DataFrame:

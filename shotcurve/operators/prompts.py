@@ -4,7 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shotcurve import fixed_values as fv
-from shotcurve.operators.selection import join_by_task, select_examples, shuffle_examples
+from shotcurve.operators.joins import join_by_task, one_per_key, task_parts
+from shotcurve.operators.selection import select_examples, shuffle_examples
+from shotcurve.schemas import TASK_KEY
 
 UNKNOWN_TASK = "task is not listed"
 
@@ -45,15 +47,17 @@ def build_prompts(grid: DataFrame, tasks: DataFrame, examples: DataFrame, shuffl
                   seed: int = 0, labels: dict | None = None, **options) -> DataFrame:
     """Add prompt to every grid row: select, shuffle, render, assemble.
 
-    A row whose task is not listed stays, with prompt_error and a NULL prompt; of
-    a task listed several times the smallest texts are used."""
-    df = select_examples(grid, examples, **options)
+    Tasks of several packs are told apart where grid, tasks and examples have
+    pack_id. A row whose task is not listed stays, with prompt_error and a NULL
+    prompt; of a task listed several times the smallest texts are used."""
+    parts = task_parts(grid)
+    df = select_examples(grid, examples, parts=parts, **options)
     if shuffle:
         df = shuffle_examples(df, seed)
-    texts = tasks.groupBy("task_id").agg(F.min(F.struct("description", "instruction")).alias("texts")).select(
-        "task_id", "texts.*", F.lit(True).alias("listed"))
+    key = [c for c in TASK_KEY if c in tasks.columns and c in grid.columns]
+    texts = one_per_key(tasks.select(*key, "description", "instruction"), key).withColumn("listed", F.lit(True))
     return (
-        join_by_task(render_examples_section(df, labels), texts)
+        join_by_task(render_examples_section(df, labels), texts, parts)
         .withColumn("prompt_error", F.when(F.col("listed").isNull(), F.lit(UNKNOWN_TASK)))
         .withColumn("prompt", F.when(F.col("prompt_error").isNull(), prompt_text(labels)))
         .drop("listed", "description", "instruction", "examples_section", "selected",

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from shotcurve import fixed_values as fv
 from shotcurve.functions.names import provider
 from shotcurve.functions.text import strip
-from shotcurve.schemas import EVAL_KEY, EVAL_RESULTS
+from shotcurve.operators.joins import eval_key, one_per_key
+from shotcurve.schemas import EVAL_RESULTS
 
 NO_RESPONSE = "no response"
 
@@ -34,16 +35,15 @@ def attach_responses(prompts: DataFrame, responses: DataFrame, keys: list[str] |
     the key, stays the name that was asked for. Of several responses with one
     key the first in the order output, latency, tokens counts, one without error
     before one with."""
-    keys = keys or EVAL_KEY
+    keys = keys or eval_key(prompts, responses)
     wanted = ["output", "latency_ms", "input_tokens", "output_tokens", "error", "served_model"]
     answers = responses.select(*keys, *[c for c in wanted if c in responses.columns])
     for c in wanted:
         if c not in answers.columns:
             kind = "string" if c in ("error", "served_model") else "bigint"
             answers = answers.withColumn(c, F.lit(None).cast(kind))
-    answers = answers.groupBy(*keys).agg(F.min(F.struct(
-        (F.col("error").isNotNull() | F.col("output").isNull()).alias("failed"), *wanted)).alias("answer")).select(
-        *keys, *[F.col(f"answer.{c}").alias(c) for c in wanted])
+    failed = F.col("error").isNotNull() | F.col("output").isNull()
+    answers = one_per_key(answers, keys, [failed, *[F.col(c) for c in wanted]])
     joined = prompts.join(answers.drop(*[c for c in wanted if c in prompts.columns and c not in keys]),
                           keys, "left")
     error = F.when(F.col("error").isNotNull(), F.col("error")).when(

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from shotcurve import fixed_values as fv
 from shotcurve.functions.names import input_sha256
 from shotcurve.operators.grid import shot_composition
+from shotcurve.operators.joins import join_by_task, task_key, task_parts
 from shotcurve.operators.similarity import rank_by_similarity
+from shotcurve.schemas import TASK_KEY
 
-TASK_PARTS = 32
 SELECTED = "array<struct<input:string,output:string,is_distractor:boolean>>"
 
 
@@ -23,45 +24,42 @@ def _without_rank(items: Column) -> Column:
         e["is_distractor"].alias("is_distractor")))
 
 
+def _task_of(df: DataFrame) -> list[str]:
+    return [c for c in TASK_KEY if c in df.columns]
+
+
 def first_examples(examples: DataFrame) -> DataFrame:
     """Per task the first exemplars and distractors in file order, as many as
     the largest shot count can show: columns exemplars and distractors.
 
     Positions are ranked without their texts; the texts of the few chosen ones
     come back by key."""
-    key = ["task_id", "is_distractor", "pos"]
-    order = Window.partitionBy("task_id", "is_distractor").orderBy("pos")
+    task = _task_of(examples)
+    key = [*task, "is_distractor", "pos"]
+    order = Window.partitionBy(*task, "is_distractor").orderBy("pos")
     most = F.when(F.col("is_distractor"), fv.MAX_DISTRACTORS).otherwise(fv.MAX_EXEMPLARS)
     chosen = (
         examples.select(*key).withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= max(fv.MAX_EXEMPLARS, fv.MAX_DISTRACTORS))
         .filter(F.col("rank") <= most))
     top = examples.select(*key, "input", "output").join(chosen, key)
-    return top.groupBy("task_id").agg(
+    return top.groupBy(*task).agg(
         _without_rank(F.collect_list(F.when(~F.col("is_distractor"), _entry(False)))).alias("exemplars"),
         _without_rank(F.collect_list(F.when(F.col("is_distractor"), _entry(True)))).alias("distractors"))
 
 
-def join_by_task(left: DataFrame, right: DataFrame, parts: int = TASK_PARTS) -> DataFrame:
-    """Left join of many rows to the one short row of their task. Rows of a task
-    are split into parts by a hash, so that a few large tasks keep all reducers
-    busy; the task's row is repeated once per part."""
-    part = F.pmod(F.xxhash64(*[c for c in ("pos", "input", "shot_count", "model_name") if c in left.columns]), F.lit(parts))
-    spread = right.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(parts - 1).cast("bigint"))))
-    return left.withColumn("_part", part).join(spread, ["task_id", "_part"], "left").drop("_part")
-
-
 def ranked_examples(cases: DataFrame, examples: DataFrame, k: int = fv.MAX_EXEMPLARS,
                     **options) -> DataFrame:
-    """Per distinct (task_id, input) the k most similar exemplars, best first:
-    task_id, case_key, ranked."""
+    """Per distinct task and input the k most similar exemplars, best first:
+    the task's key, case_key, ranked."""
     exemplars = examples.filter(~F.col("is_distractor"))
+    task = task_key(cases, examples)
     distinct = (
-        cases.select("task_id", "input").distinct()
+        cases.select(*task, "input").distinct()
         .withColumn("case_key", input_sha256("input")))
     ranks = rank_by_similarity(distinct, exemplars, k, **options)
-    chosen = ranks.join(exemplars.select("task_id", "pos", "input", "output"), ["task_id", "pos"])
-    return chosen.groupBy("task_id", "case_key").agg(
+    chosen = ranks.join(exemplars.select(*task, "pos", "input", "output"), [*task, "pos"])
+    return chosen.groupBy(*task, "case_key").agg(
         _without_rank(F.collect_list(_entry(False))).alias("ranked"))
 
 
@@ -99,10 +97,10 @@ def _similar_choice() -> Column:
         F.coalesce(F.slice("distractors", F.lit(1), F.col("n_distractors")), empty))).otherwise(empty)
 
 
-def select_examples_fixed(grid: DataFrame, examples: DataFrame) -> DataFrame:
+def select_examples_fixed(grid: DataFrame, examples: DataFrame, parts: DataFrame | None = None) -> DataFrame:
     """Add selected: the first exemplars, then the first distractors."""
     return (
-        join_by_task(_composition(grid), first_examples(examples))
+        join_by_task(_composition(grid), first_examples(examples), parts or task_parts(grid))
         .withColumn("selected", _fixed_choice()).drop("exemplars", "distractors"))
 
 
@@ -110,31 +108,32 @@ def select_examples_tfidf(grid: DataFrame, examples: DataFrame, cases: DataFrame
                           **options) -> DataFrame:
     """Add selected: the exemplars most similar to the input, then the first
     distractors. A task without exemplars gets nothing. Similarity is worked
-    out once per task and input, not per shot, model or trial; cases (task_id,
-    input), if known, are read in place of the expanded grid."""
+    out once per task and input, not per shot, model or trial; cases (task
+    and input), if known, are read in place of the expanded grid."""
     ranked = ranked_examples(grid if cases is None else cases, examples, **options)
     keyed = _composition(grid).withColumn("case_key", input_sha256("input"))
     return (
-        join_by_task(keyed.join(ranked, ["task_id", "case_key"], "left"),
-                     first_examples(examples).select("task_id", "distractors"))
+        join_by_task(keyed.join(ranked, [*task_key(keyed, ranked), "case_key"], "left"),
+                     first_examples(examples).drop("exemplars"), task_parts(grid))
         .withColumn("selected", _similar_choice())
         .drop("ranked", "distractors", "case_key"))
 
 
 def select_examples(grid: DataFrame, examples: DataFrame, selections=tuple(fv.SELECTIONS),
-                    cases: DataFrame | None = None, **options) -> DataFrame:
+                    cases: DataFrame | None = None, parts: DataFrame | None = None, **options) -> DataFrame:
     """Add selected by each row's example_selection. tfidf rows with an empty
     input fall back to fixed. selections, if known, names those that occur, so
     that a fixed-only grid skips the similarity job; cases as in
-    select_examples_tfidf."""
+    select_examples_tfidf; parts are the grid's task_parts, if known."""
+    parts = parts or task_parts(grid)
     if "tfidf" not in selections:
-        return select_examples_fixed(grid, examples)
+        return select_examples_fixed(grid, examples, parts)
     by_similarity = (F.col("example_selection") == "tfidf") & (F.col("input") != "")
     asked = grid.filter(by_similarity) if cases is None else cases.filter(F.col("input") != "")
     ranked = ranked_examples(asked, examples, **options)
     keyed = _composition(grid).withColumn("case_key", input_sha256("input"))
     return (
-        join_by_task(keyed, first_examples(examples))
-        .join(ranked, ["task_id", "case_key"], "left")
+        join_by_task(keyed, first_examples(examples), parts)
+        .join(ranked, [*task_key(keyed, ranked), "case_key"], "left")
         .withColumn("selected", F.when(by_similarity, _similar_choice()).otherwise(_fixed_choice()))
         .drop("ranked", "exemplars", "distractors", "case_key"))

@@ -11,6 +11,11 @@ with df counted over the examples. An example's squared length under w_out is
 the same for all test cases; a test case only changes the weights of the grams
 both texts share. The shared grams therefore yield the dot product and the
 correction of the length, and no text is vectorized once per test case.
+
+Examples are dealt into blocks of bounded size, and grams are counted per block
+before anything is shuffled, so the table of weights is built from block counts.
+Each block is indexed by impact-ordered posting lists (see postings), which the
+cases of its task search; only what may be among the k best is scored.
 """
 
 from collections import Counter
@@ -21,6 +26,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shotcurve import fixed_values as fv
+from shotcurve.operators.postings import Block
+from shotcurve.schemas import TASK_KEY
 from shotcurve.scratch import stored
 
 # ties are exact up to this many digits, whatever order sums ran in
@@ -89,131 +96,221 @@ def gram_counts(texts: DataFrame, keys: list[str], text: str = "input") -> DataF
     return _gram_arrays(texts, keys, text).select(*keys, F.inline("grams"))
 
 
-def vocabulary(example_grams: DataFrame, examples: DataFrame) -> DataFrame:
-    """Per task and gram: df, the task's number of examples, and the squares of
-    the gram's weights inside (in_sq) and outside (out_sq) a test input."""
-    sizes = examples.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_examples"))
-    grams = example_grams.groupBy("task_id", "gram").agg(F.count(F.lit(1)).alias("df"))
-    return (
-        grams.join(sizes, "task_id")
-        .withColumns({"in_sq": F.pow(_idf(F.col("df") + 2), F.lit(2.0)),
-                      "out_sq": F.pow(_idf(F.col("df") + 1), F.lit(2.0))}))
+def _gram_codes():
+    # nested, so that it travels to workers by value
+    sizes = fv.NGRAM_SIZES
 
+    def packed(words):
+        # a gram of up to four 16-bit characters is one number
+        chars = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), "<u4").astype(np.uint64)
+        word = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+        codes = []
+        for n in sizes:
+            code = np.zeros(max(len(chars) - n + 1, 0), np.uint64)
+            for i in range(n):
+                code = code << np.uint64(16) | chars[i:len(chars) - n + 1 + i]
+            codes.append(code[word[:len(code)] == word[n - 1:]])
+        return np.concatenate(codes).view(np.int64)
 
-def _idf(seen) -> Column:
-    return F.log((F.col("n_examples") + 2) / seen) + 1
+    def hashed(words):
+        # wider characters: a number of the same size by hash
+        from hashlib import blake2b
+        grams = [f" {w} "[i:i + n] for w in words for n in sizes for i in range(len(w) + 3 - n)]
+        return np.frombuffer(b"".join(blake2b(g.encode(), digest_size=8).digest() for g in grams), np.int64)
 
+    def code(texts: pa.Array) -> pa.Array:
+        ends, grams, counts = [0], [np.array([], np.int64)], [np.array([], np.int64)]
+        for text in texts.to_pylist():
+            words = (text or "").lower().split()
+            wide = [w for w in words if not "\0" < min(w) <= max(w) < "\uffff"]
+            plain = [w for w in words if "\0" < min(w) <= max(w) < "\uffff"] if wide else words
+            found = np.concatenate([f(w) for f, w in ((packed, plain), (hashed, wide)) if w] or [counts[0]])
+            names, tf = np.unique(found, return_counts=True)
+            grams.append(names)
+            counts.append(tf)
+            ends.append(ends[-1] + len(tf))
+        ends = pa.array(ends, pa.int32())
+        return pa.StructArray.from_arrays(
+            [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), pa.int64())) for x in (grams, counts)],
+            names=["grams", "counts"])
+    return F.arrow_udf(code, "struct<grams:array<bigint>,counts:array<bigint>>")
+
+
+def _task(df: DataFrame) -> list[str]:
+    return [c for c in TASK_KEY if c in df.columns]
+
+
+def _same_task(a: DataFrame, b: DataFrame) -> list[str]:
+    return [c for c in _task(a) if c in b.columns]
+
+
+class Weights:
+    """The weight table of examples and cases, in sparse rows, all of it stored.
+
+    examples: task, block, pos, grams, counts. blocks: task, block, gram, n. grams: task,
+    gram, df. sizes: task, n_examples, blocks, chunks."""
+
+    def __init__(self, cases: DataFrame, examples: DataFrame, block_rows: int = BLOCK_ROWS,
+                 chunk_rows: int = CHUNK_ROWS):
+        self.task = task = _same_task(cases, examples)
+        sizes = examples.groupBy(*task).agg(F.count(F.lit(1)).alias("n_examples"))
+        n_cases = cases.groupBy(*task).agg(F.count(F.lit(1)).alias("n_cases"))
+        self.sizes = stored(sizes.join(n_cases, task).select(
+            *task, "n_examples", F.ceil(F.col("n_examples") / block_rows).cast("int").alias("blocks"),
+            F.ceil(F.col("n_cases") / chunk_rows).cast("int").alias("chunks")), "task-sizes")
+        dealt = examples.select(*task, "pos", "input").join(self.sizes, task).withColumn(
+            "block", F.pmod(F.hash("pos"), F.col("blocks"))).repartition(*task, "block", F.pmod(F.hash("pos"), F.lit(8)))
+        self.examples = stored(dealt.select(*task, "block", "pos", _gram_codes()("input").alias("row")).select(
+            *task, "block", "pos", "row.*"), "example-grams")
+        self.blocks = stored(self.examples.select(*task, "block", F.explode("grams").alias("gram")).groupBy(
+            *task, "block", "gram").agg(F.count(F.lit(1)).alias("n")), "block-grams")
+        self.grams = stored(self.blocks.groupBy(*task, "gram").agg(F.sum("n").alias("df")), "vocabulary")
+        spread = cases.select(*task, "case_key", "input").join(self.sizes.select(*task, "n_examples"), task)
+        spread = spread.repartition(*task, "case_key")
+        self.cases = stored(spread.select(*task, "case_key", "n_examples", _gram_codes()("input").alias("row")).select(
+            *task, "case_key", "n_examples", "row.*"), "case-grams")
+
+    def _weighted(self, rows: DataFrame, own: list[str]) -> DataFrame:
+        """own, gram, tf, df (0: in no example), inside, outside of rows with grams and counts."""
+        flat = rows.select(*own, "n_examples", F.inline(F.arrays_zip("grams", "counts"))).toDF(
+            *own, "n_examples", "gram", "tf")
+        df = F.coalesce("df", F.lit(0))
+        return flat.join(self.grams, [*self.task, "gram"], "left").select(
+            *own, "gram", "tf", df.alias("df"), _idf(df + 2).alias("inside"), _idf(df + 1).alias("outside"))
+
+    def of_cases(self) -> DataFrame:
+        """task, case_key, gram, tf, df, inside, outside; a case's vector is tf * inside."""
+        return self._weighted(self.cases, [*self.task, "case_key"])
+
+    def of_examples(self) -> DataFrame:
+        """task, pos, gram, tf, df, inside, outside; an example's vector against a case is
+        tf * inside at grams the case has, and tf * outside elsewhere."""
+        rows = self.examples.join(self.sizes.select(*self.task, "n_examples"), self.task)
+        return self._weighted(rows, [*self.task, "pos"])
+
+
+    def lengths(self) -> tuple[DataFrame, DataFrame]:
+        """Squared lengths: task, case_key, length_sq of cases, and task, pos, inside_sq,
+        outside_sq of examples (all grams shared with the case, none shared)."""
+        def square(weight):
+            return F.sum(F.pow(F.col("tf") * F.col(weight), 2.0))
+        return (self.of_cases().groupBy(*self.task, "case_key").agg(square("inside").alias("length_sq")),
+                self.of_examples().groupBy(*self.task, "pos").agg(
+                    square("inside").alias("inside_sq"), square("outside").alias("outside_sq")))
+
+    def similarities(self, wanted: Column) -> DataFrame:
+        """task, case_key, pos, similarity of the wanted cases (a condition on case_key) and all
+        examples that share a gram with them."""
+        cases, examples = self.of_cases().filter(wanted), self.of_examples()
+        of_case, of_example = self.lengths()
+        change = F.pow(F.col("e.tf"), 2.0) * (F.pow("e.inside", 2.0) - F.pow("e.outside", 2.0))
+        key = [*self.task, "gram"]
+        shared = examples.alias("e").join(cases.select(*key, "case_key", (F.col("tf") * F.col("inside")).alias("weight")), key)
+        pairs = shared.groupBy(*self.task, "case_key", "pos").agg(
+            F.sum(F.col("e.tf") * F.col("e.inside") * F.col("weight")).alias("dot"), F.sum(change).alias("change"))
+        length = F.sqrt(F.col("length_sq") * (F.col("outside_sq") + F.col("change")))
+        return pairs.join(of_case, [*self.task, "case_key"]).join(of_example, [*self.task, "pos"]).select(
+            *self.task, "case_key", "pos", F.round(F.col("dot") / length, SIMILARITY_DIGITS).alias("similarity"))
 
-def _best(df: DataFrame, group: list[str], k: int, *order) -> DataFrame:
-    # rank <= k lets Spark drop all but k rows per group before the shuffle
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return df.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+def _idf(seen) -> Column:
+    return F.log((F.col("n_examples") + 2) / seen) + 1
 
 
-def _score_blocks(k: int | None, names: list[str], kinds):
+def _search(k: int, keys: list[str], kinds: list):
     # nested, so that it travels to workers by value
-    def flat(column):
-        lists = column.combine_chunks()
-        sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-        return lists.flatten(), np.repeat(np.arange(len(sizes)), sizes)
-
-    def run(examples: pa.Table, cases: pa.Table) -> pa.Table:
-        out = [[], [], []]
-        if len(examples) and len(cases):
-            entries, case = flat(cases["grams"])
-            seen = np.array(entries.field("gram").to_pylist(), dtype="<U4")
-            words, column = np.unique(seen, return_inverse=True)
-            dot_weight, sq_weight = (np.zeros((len(cases), len(words))) for _ in range(2))
-            dot_weight[case, column] = entries.field("dot_weight").to_numpy()
-            sq_weight[case, column] = entries.field("sq_weight").to_numpy()
-            case_sq = cases["case_sq"].to_numpy()
-            all_pos = examples["pos"].to_numpy()
-            for lo in range(0, len(examples), 250):
-                part = examples.slice(lo, 250)
-                entries, row = flat(part["grams"])
-                grams = np.array(entries.field("gram").to_pylist(), dtype="<U4")
-                at = np.searchsorted(words, grams)
-                known = at < len(words)
-                known[known] = words[at[known]] == grams[known]
-                tf = np.zeros((len(part), len(words)))
-                tf[row[known], at[known]] = entries.field("tf").to_numpy()[known]
-                dot = tf @ dot_weight.T
-                length = case_sq * (part["example_sq"].to_numpy()[:, None] + (tf * tf) @ sq_weight.T)
-                cosine = np.where(dot > 0, dot / np.sqrt(np.where(dot > 0, length, 1.0)), 0.0)
-                pos = all_pos[lo:lo + 250]
-                for c in range(len(cases)):
-                    sims = cosine[:, c]
-                    best = (np.flatnonzero(sims > 0) if k is None else
-                            np.lexsort((-pos, -np.round(sims, SIMILARITY_DIGITS)))[:k])
-                    out[0].append(np.full(len(best), c))
-                    out[1].append(pos[best])
-                    out[2].append(sims[best])
-        at, pos, sims = (np.concatenate(x) if x else np.array([], t) for x, t in zip(out, (np.int64, np.int64, float)))
-        picked = cases.select(["task_id", "case_key"]).take(pa.array(at, pa.int64()))
-        return pa.table([picked["task_id"].cast(kinds[0]), picked["case_key"].cast(kinds[1]),
-                         pa.array(pos).cast(kinds[2]), pa.array(sims, pa.float64())], names=names)
+    def groups(table):
+        rows = {}
+        for i, key in enumerate(zip(*(table[c].to_pylist() for c in [*keys, "block", "chunk"]))):
+            rows.setdefault(key, []).append(i)
+        return rows
+
+    def lists(column):
+        column = column.combine_chunks()
+        return column.offsets.to_numpy(), column.values.to_numpy()
+
+    def run(examples: pa.Table, others: pa.Table) -> pa.Table:
+        out = [[] for _ in range(len(keys) + 3)]
+        if len(examples) and len(others):
+            asked = groups(others)
+            starts, grams = lists(others["grams"])
+            _, counts = lists(others["counts"])
+            is_case, total = others["is_case"].to_pylist(), others["total"].to_pylist()
+            case_keys = others["case_key"].to_pylist()
+            for key, rows in groups(examples).items():
+                part = examples.take(pa.array(rows))
+                bounds, own = lists(part["grams"])
+                _, tf = lists(part["counts"])
+                words = next(i for i in asked[key] if not is_case[i])
+                codes, df = (x[starts[words]:starts[words + 1]] for x in (grams, counts))
+                order = np.argsort(codes)
+                pos = part["pos"].to_numpy()
+                block = Block(bounds - bounds[0], own[bounds[0]:bounds[-1]], tf[bounds[0]:bounds[-1]], pos,
+                              codes[order], df[order], int(total[words]))
+                for i in asked[key]:
+                    if is_case[i]:
+                        span = slice(starts[i], starts[i + 1])
+                        best, values = block.best(grams[span], counts[span], total[i], k)
+                        best, values = pos[best], np.round(values, SIMILARITY_DIGITS)
+                        top = np.lexsort((-best, -values))[:k]
+                        for column, value in zip(out, [*key[:len(keys)], case_keys[i]]):
+                            column.append(pa.array([value] * len(top)))
+                        out[-2].append(pa.array(best[top]))
+                        out[-1].append(pa.array(values[top]))
+        return pa.table([pa.chunked_array(c).cast(t) if c else pa.array([], t) for c, t in zip(out, kinds)],
+                        names=[*keys, "case_key", "pos", "similarity"])
     return run
 
 
-def similarities(cases: DataFrame, examples: DataFrame, k: int | None = None,
-                 block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(task_id, case_key, pos, similarity) of the cases and their task's examples:
-    all pairs that share a gram, or with k the k most similar of each block.
-
-    cases: task_id, case_key, input. examples: task_id, pos, input.
-
-    The cases are a query set that meets all examples in blocks. An example's
-    length without any case is worked out once and travels with it; a case
-    carries both weights of each of its grams. Blocks of a bounded number of
-    examples meet chunks of cases in one task each, where a product of small
-    matrices gives dot products and lengths. Pairs never become rows unless they
-    are among the k best of their block, and no task, gram or case is gathered
-    in one place, however large."""
-    example_id, case_id = ["task_id", "pos"], ["task_id", "case_key"]
-    counted = stored(_gram_arrays(examples, example_id), "example-grams")
-    postings = counted.select(*example_id, F.inline("grams"))
-    words = stored(vocabulary(postings, examples), "vocabulary")
-    tf = F.col("tf")
-    lengths = postings.join(words, ["task_id", "gram"]).groupBy(*example_id).agg(
-        F.sum(tf * tf * F.col("out_sq")).alias("example_sq"))
-    sizes = examples.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_examples"))
-    sizes = stored(sizes.join(cases.groupBy("task_id").agg(F.count(F.lit(1)).alias("n_cases")), "task_id").select(
-        "task_id", "n_examples", F.ceil(F.col("n_examples") / block_rows).cast("int").alias("blocks"),
-        F.ceil(F.col("n_cases") / chunk_rows).cast("int").alias("chunks")), "task-sizes")
-
-    def range_of(n):
+def best_of_blocks(cases: DataFrame, examples: DataFrame, k: int, block_rows: int = BLOCK_ROWS,
+                   chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(task, case_key, pos, similarity): of each block of examples the k most similar to
+    each case of their task.
+
+    cases: task, case_key, input. examples: task, pos, input. A task is pack_id and
+    task_id where both tables have packs, else task_id.
+
+    Blocks meet chunks of cases. Many small tasks share a unit of work, and a large one
+    has several, so the number of calls depends on the rows and not on the tasks."""
+    table = Weights(cases, examples, block_rows, chunk_rows)
+    task = table.task
+    totals = table.sizes.agg(F.sum("n_examples").alias("n"), F.sum(F.col("blocks") * F.col("chunks")).alias("parts")).first()
+    calls = 4 * -(-(totals["n"] or 0) // block_rows) + (totals["parts"] or 0) // 64
+    units = max(1, min(totals["parts"] or 1, calls))
+    unit = F.pmod(F.xxhash64(*task, "block", "chunk"), F.lit(units)).alias("unit")
+
+    def each(n):
         return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = (
-        counted.join(lengths, example_id, "left").join(sizes, "task_id")
-        .select(*example_id, F.coalesce("example_sq", F.lit(0.0)).alias("example_sq"), "grams",
-                F.pmod(F.hash("pos"), F.col("blocks")).alias("block"), range_of("chunks").alias("chunk")))
-
-    case_grams = (
-        gram_counts(cases, case_id).join(sizes.select("task_id", "n_examples"), "task_id")
-        .join(words.drop("n_examples"), ["task_id", "gram"], "left")
-        .withColumn("in_sq", F.coalesce("in_sq", F.pow(_idf(F.lit(2)), F.lit(2.0)))))
-    entry = F.struct("gram", (tf * F.col("in_sq")).alias("dot_weight"),
-                     (F.col("in_sq") - F.col("out_sq")).alias("sq_weight"))
-    case_rows = case_grams.groupBy(*case_id).agg(
-        F.sum(tf * tf * F.col("in_sq")).alias("case_sq"),
-        F.collect_list(F.when(F.col("df").isNotNull(), entry)).alias("grams"))
-    right = (
-        cases.select(*case_id).join(case_rows, case_id, "left").join(sizes, "task_id")
-        .select(*case_id, F.coalesce("case_sq", F.lit(0.0)).alias("case_sq"), "grams",
-                F.pmod(F.hash("case_key"), F.col("chunks")).alias("chunk"), range_of("blocks").alias("block")))
-
-    kinds = [dict(cases.dtypes)["task_id"], dict(cases.dtypes)["case_key"], dict(examples.dtypes)["pos"]]
-    names = ["task_id", "case_key", "pos", "similarity"]
-    arrow = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}[t] for t in kinds]
-    schema = ", ".join(f"{n} {t}" for n, t in zip(names, [*kinds, "double"]))
-    key = ["task_id", "block", "chunk"]
-    scored = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_score_blocks(k, names, arrow), schema)
-    return scored.withColumn("similarity", F.round("similarity", SIMILARITY_DIGITS))
+    parts = table.sizes.select(*task, "n_examples", "blocks", "chunks")
+    left = table.examples.join(parts, task).withColumn("chunk", each("chunks")).select(
+        unit, *task, "block", "chunk", "pos", "grams", "counts")
+    words = table.blocks.join(table.grams, [*task, "gram"]).groupBy(*task, "block").agg(
+        F.collect_list("gram").alias("grams"), F.collect_list("df").alias("counts"))
+    words = words.join(parts, task).withColumn("chunk", each("chunks")).select(
+        unit, *task, "block", "chunk", F.lit(False).alias("is_case"), F.lit(None).cast(dict(cases.dtypes)["case_key"]).alias("case_key"),
+        F.col("n_examples").cast("double").alias("total"), "grams", "counts")
+    lengths = table.lengths()[0].withColumnRenamed("length_sq", "total")
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*task, "case_key"]]
+    asked = table.cases.alias("a").join(lengths.alias("b"), same, "left").select(
+        *[F.col(f"a.{c}").alias(c) for c in [*task, "case_key", "grams", "counts"]], F.coalesce("total", F.lit(0.0)).alias("total"))
+    asked = asked.join(parts, task).withColumn("chunk", F.pmod(F.hash("case_key"), F.col("chunks"))).withColumn(
+        "block", each("blocks")).select(
+        unit, *task, "block", "chunk", F.lit(True).alias("is_case"), "case_key", "total", "grams", "counts")
+
+    kinds = [*[dict(cases.dtypes)[c] for c in [*task, "case_key"]], dict(examples.dtypes)["pos"], "double"]
+    arrow = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[t] for t in kinds]
+    schema = ", ".join(f"{n} {t}" for n, t in zip([*task, "case_key", "pos", "similarity"], kinds))
+    right = asked.unionByName(words)
+    return left.groupBy("unit").cogroup(right.groupBy("unit")).applyInArrow(
+        _search(k, task, arrow), schema)
 
 
 def rank_by_similarity(cases: DataFrame, examples: DataFrame, k: int, **options) -> DataFrame:
-    """The k most similar examples of each test case's task: (task_id, case_key,
-    pos, similarity, rank). Most similar first, the later example on ties; those
+    """The k most similar examples of each test case's task: (task, case_key, pos,
+    similarity, rank). Most similar first, the later example on ties; those
     sharing no gram score 0."""
-    best = similarities(cases, examples, k, **options)
-    return _best(best, ["task_id", "case_key"], k, F.desc("similarity"), F.desc("pos"))
+    best = best_of_blocks(cases, examples, k, **options)
+    # rank <= k lets Spark drop all but k rows per group before the shuffle
+    rank = F.row_number().over(Window.partitionBy(*_same_task(cases, examples), "case_key").orderBy(
+        F.desc("similarity"), F.desc("pos")))
+    return best.withColumn("rank", rank).filter(F.col("rank") <= k)

@@ -32,12 +32,10 @@ def _with_defaults(facts: DataFrame) -> DataFrame:
     return facts.withColumns(cols)
 
 
-def count_trials(facts: DataFrame) -> int:
-    """Distinct trial ids of the whole input. Runs one job over one column and
-    brings back one number."""
-    if "trial_id" not in facts.columns:
-        return 1
-    return facts.agg(F.count_distinct("trial_id").alias("n")).first()["n"]
+def count_trials(facts: DataFrame) -> DataFrame:
+    """Distinct trial ids of each run: run_id, num_trials."""
+    trial = F.col("trial_id") if "trial_id" in facts.columns else F.lit(1)
+    return facts.groupBy("run_id").agg(F.count_distinct(trial).cast("int").alias("num_trials"))
 
 
 def trial_means(facts: DataFrame, keys=None, usage: bool = False) -> DataFrame:
@@ -132,17 +130,20 @@ def summarize(facts: DataFrame, aggregation: str = "mean",
     """One row per run, task, category, model and selection: the curve, its
     efficiency metrics, usage totals and reliability.
 
-    num_trials is the distinct trial count of the whole input. Left out, it is
-    counted on the stored trial means, because the pass_* columns exist only
-    when it is above 1; the facts are scanned once. rounding, off by default, rounds scores before they are
-    compared with thresholds.
+    num_trials is the distinct trial count of each run. Left out, it is counted
+    on the stored trial means, because the pass_* columns exist only when some
+    run has several (they are NULL for runs with one); the facts are scanned
+    once. rounding, off by default, rounds scores before they are compared with
+    thresholds.
     """
     k_values = k_values or fv.K_VALUES
     trials = trial_means(_with_defaults(facts), usage=True)
+    counts, most = None, num_trials
     if num_trials is None:
         trials = stored(trials, "trial-means")
-        num_trials = count_trials(trials)
-    multi = num_trials > 1 and pass_at_k
+        counts = stored(count_trials(trials), "run-trials")
+        most = counts.agg(F.max("num_trials")).first()[0] or 0
+    multi = most > 1 and pass_at_k
     trials = trials.dropna(subset=SUMMARY_KEYS)
     if rounding is not None:
         trials = trials.withColumn("trial_mean", stable_round("trial_mean", rounding))
@@ -163,8 +164,12 @@ def summarize(facts: DataFrame, aggregation: str = "mean",
         names = []
         extra.append(F.lit(0.0).alias("score_variance"))
 
-    summary = curve_pivot(points, extra=extra).withColumns(
-        {**efficiency_metrics(threshold), "num_trials": F.lit(num_trials)})
+    summary = curve_pivot(points, extra=extra).withColumns(efficiency_metrics(threshold))
+    if counts is None:
+        summary = summary.withColumn("num_trials", F.lit(num_trials))
+    else:
+        summary = summary.join(counts, "run_id").withColumns(
+            {c: F.when(F.col("num_trials") > 1, F.col(c)) for c in names})
     return summary.select(
         *SUMMARY_KEYS, *[score_column(s) for s in fv.SHOTS],
         "improvement_rate", "threshold_shots", "learning_curve_auc", "num_trials",

@@ -5,12 +5,12 @@ from pyspark.sql import functions as F
 
 from shotcurve.operators.collapse import collapse_alerts, enrich_summary
 from shotcurve.operators.grid import evaluation_grid, pending_evaluations, with_eval_key
+from shotcurve.operators.joins import eval_key
 from shotcurve.operators.judge import judge_prompts
 from shotcurve.operators.prompts import build_prompts
 from shotcurve.operators.responses import attach_responses, clean_responses, to_eval_results
 from shotcurve.operators.scoring import attach_grader_replies, score_results
 from shotcurve.operators.summarize import summarize
-from shotcurve.schemas import EVAL_KEY
 from shotcurve.scratch import cut_lineage
 from shotcurve.sources.tasks import TaskTables
 
@@ -29,16 +29,17 @@ def prompts_to_grade(prompts: DataFrame, responses: DataFrame) -> DataFrame:
     answered llm_judge row. Replies to it are the replies of results_of_run."""
     rows = attach_responses(prompts, clean_responses(responses))
     asked = rows.filter((F.col("scoring_method") == "llm_judge") & F.col("response_error").isNull())
-    return judge_prompts(asked).select(*EVAL_KEY, "prompt_kind", "judge_prompt")
+    asked = judge_prompts(asked)
+    return asked.select(*eval_key(asked, asked), "prompt_kind", "judge_prompt")
 
 
 def results_of_run(prompts: DataFrame, responses: DataFrame, run_id: str,
                    replies: DataFrame | None = None) -> DataFrame:
     """Fact rows from prompts, responses and grader replies (EVAL_KEY columns
-    plus grader_reply)."""
+    plus grader_reply). Where prompts and answers have pack_id, it is part of the key."""
     rows = attach_responses(prompts, clean_responses(responses))
     if replies is not None:
-        rows = attach_grader_replies(rows, replies, EVAL_KEY)
+        rows = attach_grader_replies(rows, replies, eval_key(rows, replies))
     return to_eval_results(score_results(rows, grader=replies is not None), run_id)
 
 

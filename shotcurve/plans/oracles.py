@@ -326,10 +326,10 @@ similar_chosen AS (SELECT b.task_id, b.pos, c.shot AS shot_count, o.output, o.in
              AND o.rank <= CASE WHEN o.is_distractor THEN c.n_d ELSE c.n_e END)"""
 
 
-def shown(source, order):
-    return f"""SELECT task_id, pos, shot_count,
+def shown(source, order, axes=""):
+    return f"""SELECT task_id, pos, shot_count{axes},
 coalesce(string_agg({ENTRY}, '|' ORDER BY {order}) FILTER (output IS NOT NULL), '') AS shown
-FROM {source} GROUP BY task_id, pos, shot_count"""
+FROM {source} GROUP BY task_id, pos, shot_count{axes}"""
 
 
 SECTION = (f"coalesce('{fv.PROMPT_EXAMPLES}' || chr(10) || string_agg('{fv.PROMPT_INPUT}' || input || chr(10) ||"
@@ -412,15 +412,22 @@ ORACLES = {
         list(enumerate([0, 1, 2, 3, 4, 6, 8, 12]))))}, {values('rule', 'shot_count, n_exemplars, n_distractors',
         [(0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 1, 1), (4, 2, 2), (6, 2, 2), (8, 6, 2), (12, 6, 2)])}""",
         "SELECT shot_count, n_exemplars, n_distractors, count(*) AS num_cells FROM cells JOIN rule USING (shot_count) GROUP BY ALL"),
-    "fixed_selection": with_(FIXED, shown("chosen", "is_distractor, i")),
+    "fixed_selection": with_(f"{FIXED}, {MODELS}, {TRIALS}", shown(
+        "chosen, models, trials", "is_distractor, i", ", model_name, trial_id")),
     "char_ngrams": with_("src AS (SELECT item_id, text AS input FROM benchmark), "
                          + GRAMS.format(name="g0", keys="item_id", source="src"), "SELECT item_id, gram, tf FROM g0"),
     "gram_counts": with_("src AS (SELECT doc_id, text AS input FROM documents), "
                          + GRAMS.format(name="g0", keys="doc_id", source="src"),
                          "SELECT doc_id, count(*) AS num_grams, CAST(sum(tf) AS BIGINT) AS num_occurrences FROM g0 GROUP BY doc_id"),
-    "tfidf_similarity": with_(SIMILARITY, "SELECT task_id, case_key, pos, round(similarity, 7) AS similarity FROM sims"),
+    "tfidf_vectors": with_(SIMILARITY, """SELECT task_id, 'case' AS kind, case_key AS id, count(*) AS num_grams,
+        round(sqrt(sum(w * w)), 7) AS inside, CAST(NULL AS DOUBLE) AS outside FROM cw GROUP BY ALL
+        UNION ALL SELECT task_id, 'example', pos, count(*), round(sqrt(sum(tf * idf_with * tf * idf_with)), 7),
+        round(sqrt(sum(tf * idf_without * tf * idf_without)), 7) FROM ew GROUP BY ALL"""),
+    "tfidf_similarity": with_(SIMILARITY, """SELECT task_id, case_key, pos, round(similarity, 7) AS similarity
+        FROM sims WHERE case_key % 50 = 0"""),
     "tfidf_topk": with_(RANKED, "SELECT task_id, case_key, pos, round(similarity, 7) AS similarity, rank FROM top"),
-    "tfidf_selection": with_(TFIDF_CHOSEN, shown("similar_chosen", "is_distractor, i")),
+    "tfidf_selection": with_(f"{TFIDF_CHOSEN}, {MODELS}, {TRIALS}", shown(
+        "similar_chosen, models, trials", "is_distractor, i", ", model_name, trial_id")),
     "shuffled_examples": with_(f"""{FIXED}, {MODELS}, {TRIALS},
         runs AS (SELECT c.task_id, concat_ws('/', c.pos, t.trial_id, m.model_name) AS pos, c.shot_count, c.output, c.input,
           c.is_distractor, md5(concat_ws('|', '7', c.task_id, b.input, c.shot_count, t.trial_id, m.model_name, 'fixed', c.i)) AS mark
@@ -428,7 +435,7 @@ ORACLES = {
     "examples_sections": with_(f"{FIXED}, {MODELS}, {TRIALS}", f"""SELECT task_id, pos, shot_count, model_name, trial_id,
         {SECTION.format(order='is_distractor, i')} AS examples_section FROM chosen, models, trials
         GROUP BY task_id, pos, shot_count, model_name, trial_id"""),
-    "prompts_by_cell": with_(f"""{TFIDF_CHOSEN}, {MODELS},
+    "prompts_by_cell": with_(f"""{TFIDF_CHOSEN}, {MODELS}, {TRIALS},
         picks AS (SELECT 'tfidf' AS example_selection, * FROM similar_chosen
           UNION ALL SELECT 'fixed', b.task_id, b.pos, c.shot, n.output, n.input, n.is_distractor, n.rn
           FROM bench b, composition c LEFT JOIN numbered n ON n.task_id = b.task_id
@@ -440,7 +447,8 @@ ORACLES = {
           || CASE WHEN s = '' THEN '' ELSE chr(10) || chr(10) || s END || chr(10) || chr(10) || '{fv.PROMPT_TURN}' || chr(10)
           || '{fv.PROMPT_INPUT}' || b.input || chr(10) || '{fv.PROMPT_CUE}' AS prompt
           FROM sections s JOIN bench b USING (task_id, pos))""",
-        "SELECT task_id, pos, shot_count, example_selection, model_name, length(prompt) AS prompt_length, md5(prompt) AS prompt_md5 FROM prompts, models"),
+        """SELECT task_id, pos, shot_count, example_selection, model_name, trial_id, length(prompt) AS prompt_length,
+        md5(prompt) AS prompt_md5 FROM prompts, models, trials"""),
     "attached_responses": with_(ANSWERED, """SELECT task_id, model_name, shot_count, trial_id, input_sha256, example_selection, pos,
         CASE WHEN response_error IS NULL THEN input END AS actual_output, response_error,
         CASE WHEN said THEN length(input) * 7 ELSE 0 END AS latency_ms, CASE WHEN said THEN length(input) ELSE 0 END AS input_tokens,
@@ -597,8 +605,12 @@ ORACLES = {
     "alert_labels": with_(series_ctes(), """SELECT task_id, concat(replace(model_name, 'vendor/', ''), ' [', example_selection, ']') AS label,
         replace(model_name, 'vendor/', '') AS short_label FROM judged WHERE regressed"""),
     # --- streaming, SQL functions, whole plans
-    "stream_ingest": with_(FACTS, """SELECT DISTINCT run_id, task_id, model_name, shot_count, trial_id, sha256(input) AS input_sha256,
-        example_selection FROM fx_results"""),
+    "stream_ingest": with_(FACTS, """SELECT * EXCLUDE (first) REPLACE (round(score, 9) AS score) FROM (
+        SELECT run_id, task_id, category, model_name, shot_count, trial_id, example_selection, input, score, latency_ms,
+          input_tokens, output_tokens, sha256(input) AS input_sha256, row_number() OVER (
+            PARTITION BY run_id, task_id, model_name, shot_count, trial_id, sha256(input), example_selection
+            ORDER BY category, input, input_tokens, latency_ms, output_tokens, score) AS first
+        FROM fx_results) WHERE first = 1"""),
     "sql_functions": with_(summary_ctes(0.25), f"""SELECT replace(model_name, 'vendor/', '') AS model, task_id, example_selection,
         {rounds(['learning_curve_auc'])}, threshold_shots, {rounds(['improvement_rate'])},
         CASE threshold_shots WHEN -1 THEN 2 WHEN 0 THEN 4 WHEN 1 THEN 4 WHEN 2 THEN 4 ELSE 8 END AS nearest_shot,

@@ -215,13 +215,13 @@ def shot_composition(spark, sf):
 def _shown(df: DataFrame) -> DataFrame:
     items = F.transform("selected", lambda e: F.concat(
         e["output"], F.when(e["is_distractor"], "*").otherwise(""), F.lit(":"), F.md5(e["input"])))
-    return df.select("task_id", "pos", "shot_count", F.array_join(items, "|").alias("shown"))
+    cell = [c for c in ("task_id", "pos", "shot_count", "model_name", "trial_id") if c in df.columns]
+    return df.select(*cell, F.array_join(items, "|").alias("shown"))
 
 
 @query
 def fixed_selection(spark, sf):
-    cells = _grid(spark, sf, tables.benchmark_cases(spark, sf), models=MODELS[:1], trials=1, selections=["fixed"])
-    return _shown(selection.select_examples_fixed(cells, tables.example_pool(spark, sf)))
+    return _shown(_fixed_cells(spark, sf))
 
 
 @query
@@ -244,9 +244,23 @@ def _ranking_input(spark, sf):
     return cases, pool.select("task_id", "pos", "input")
 
 
+@query
+def tfidf_vectors(spark, sf):
+    """The weight table by text: number of grams and lengths of the vectors."""
+    weights = similarity.Weights(*_ranking_input(spark, sf))
+    square = lambda c: F.round(F.sqrt(F.sum(F.pow(F.col("tf") * F.col(c), 2.0))), 7)
+    cases = weights.of_cases().groupBy("task_id", F.lit("case").alias("kind"), F.col("case_key").alias("id"))
+    examples = weights.of_examples().groupBy("task_id", F.lit("example").alias("kind"), F.col("pos").alias("id"))
+    count = F.count(F.lit(1)).alias("num_grams")
+    return cases.agg(count, square("inside").alias("inside"), F.lit(None).cast("double").alias("outside")).unionByName(
+        examples.agg(count, square("inside").alias("inside"), square("outside").alias("outside")))
+
+
 @query
 def tfidf_similarity(spark, sf):
-    return similarity.similarities(*_ranking_input(spark, sf)).withColumn("similarity", F.round("similarity", 7))
+    """Every fiftieth case against all examples, over the weight table."""
+    weights = similarity.Weights(*_ranking_input(spark, sf))
+    return weights.similarities(F.col("case_key") % 50 == 0).withColumn("similarity", F.round("similarity", 7))
 
 
 @query
@@ -257,7 +271,7 @@ def tfidf_topk(spark, sf):
 
 @query
 def tfidf_selection(spark, sf):
-    cells = _grid(spark, sf, tables.benchmark_cases(spark, sf), models=MODELS[:1], trials=1, selections=["tfidf"])
+    cells = _grid(spark, sf, tables.benchmark_cases(spark, sf), selections=["tfidf"])
     return _shown(selection.select_examples_tfidf(
         cells, tables.example_pool(spark, sf), cases=tables.benchmark_cases(spark, sf)))
 
@@ -270,7 +284,8 @@ def _fixed_cells(spark, sf):
 @query
 def shuffled_examples(spark, sf):
     shuffled = selection.shuffle_examples(_fixed_cells(spark, sf), seed=7)
-    return _shown(shuffled.withColumn("pos", F.concat_ws("/", "pos", "trial_id", "model_name")))
+    shown = _shown(shuffled.withColumn("pos", F.concat_ws("/", "pos", "trial_id", "model_name")))
+    return shown.select("task_id", "pos", "shot_count", "shown")
 
 
 @query
@@ -288,10 +303,10 @@ def _task_texts(spark, sf):
 
 @query
 def prompts_by_cell(spark, sf):
-    cells = _grid(spark, sf, tables.benchmark_cases(spark, sf), trials=1)
+    cells = _grid(spark, sf, tables.benchmark_cases(spark, sf))
     built = prompts.build_prompts(cells, _task_texts(spark, sf), tables.example_pool(spark, sf), shuffle=False,
                                   cases=tables.benchmark_cases(spark, sf))
-    return built.select("task_id", "pos", "shot_count", "example_selection", "model_name",
+    return built.select("task_id", "pos", "shot_count", "example_selection", "model_name", "trial_id",
                         F.length("prompt").alias("prompt_length"), F.md5("prompt").alias("prompt_md5"))
 
 
@@ -764,7 +779,7 @@ def stream_ingest(spark, sf):
     sink, state = shared_folder(spark, "sink"), shared_folder(spark, "state")
     for _ in range(2):  # the second start finds everything done
         ingest.ingest_results_stream(facts, sink, state).awaitTermination()
-    return spark.read.parquet(sink).select(*ingest.KEY)
+    return spark.read.parquet(sink).drop(ingest.BATCH).withColumn("score", F.round("score", 9))
 
 
 @query

@@ -23,6 +23,9 @@ EVAL_RESULTS = T.StructType([
 
 SUMMARY_KEYS = ["run_id", "task_id", "category", "model_name", "example_selection"]
 
+# a task's id is unique within its pack; tables without packs have no pack_id
+TASK_KEY = ["pack_id", "task_id"]
+
 EVAL_KEY = ["task_id", "model_name", "shot_count", "trial_id", "input_sha256",
             "example_selection"]
 
@@ -42,6 +45,3 @@ PACK_JSON = (
 )
 
 EXAMPLES = "task_id string, pos int, input string, output string, is_distractor boolean"
-MODEL_AVAILABILITY = "model_name string, success boolean, latency_ms bigint, error string"
-RESPONSES = ("output string, latency_ms bigint, input_tokens bigint, output_tokens bigint,"
-             " error string")

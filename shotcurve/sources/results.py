@@ -20,21 +20,39 @@ _SUMMARY_TYPES = {
 }
 
 
-def conform_results(df: DataFrame) -> DataFrame:
+def conform_results(df: DataFrame, rescued: str | None = None) -> DataFrame:
     """Typed fact columns: trial_id 1 and selection fixed where absent or NULL,
-    other absent columns NULL, unknown columns dropped."""
-    cols = []
+    other absent columns NULL, unknown columns dropped.
+
+    A value that is not of its column's type (a word or a fraction where whole
+    numbers belong) fails the job; with rescued, the name of one more column, it
+    becomes NULL and stands there as a map from column to text (NULL where all is
+    well)."""
+    cols, lost = [], []
     for f in EVAL_RESULTS:
-        c = F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType)
+        raw = F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType)
+        c = raw.try_cast(f.dataType)
         if isinstance(f.dataType, (T.IntegerType, T.LongType)):
-            c = c.try_cast("double").cast(f.dataType)
-        else:
-            c = c.try_cast(f.dataType)
+            # whole numbers may be written as 1.0
+            number = raw.try_cast("double")
+            c = F.coalesce(c if dict(df.dtypes).get(f.name) != "string" else raw.try_cast("bigint").try_cast(f.dataType),
+                           F.when(number == F.floor(number), number.try_cast(f.dataType)))
+        if f.name in df.columns and not isinstance(f.dataType, T.StringType):
+            bad = raw.isNotNull() & c.isNull()
+            if rescued is None:
+                c = F.when(bad, F.raise_error(F.concat(F.lit(f"unreadable {f.name}: "), raw.cast("string"))).cast(
+                    f.dataType)).otherwise(c)
+            else:
+                lost.append(F.when(bad, F.struct(F.lit(f.name).alias("key"), raw.cast("string").alias("value"))))
         if f.name == "trial_id":
-            c = F.coalesce(c, F.lit(1))
+            c = F.when(raw.isNull(), F.lit(1)).otherwise(c)
         if f.name == "example_selection":
             c = F.coalesce(c, F.lit(fv.DEFAULT_SELECTION))
         cols.append(c.alias(f.name))
+    if rescued is not None:
+        found = F.filter(F.array(*lost), lambda e: e.isNotNull()) if lost else None
+        cols.append((F.when(F.size(found) > 0, F.map_from_entries(found)) if lost
+                     else F.lit(None).cast("map<string, string>")).alias(rescued))
     return df.select(*cols)
 
 
@@ -42,9 +60,11 @@ def _empty(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], EVAL_RESULTS)
 
 
-def read_eval_results(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
+def read_eval_results(spark: SparkSession, path: str, format: str = "parquet",
+                      rescued: str | None = None) -> DataFrame:
     """Fact rows from parquet (the native format, pruned and pushed down) or CSV.
-    A missing path or an empty file gives an empty typed table."""
+    A missing path or an empty file gives an empty typed table. Unreadable CSV
+    values fail the job, or go to the column rescued (see conform_results)."""
     try:
         if format == "parquet":
             raw = spark.read.schema(EVAL_RESULTS).parquet(path)
@@ -55,7 +75,7 @@ def read_eval_results(spark: SparkSession, path: str, format: str = "parquet") -
         if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return _empty(spark)
-    return conform_results(raw) if raw.columns else _empty(spark)
+    return conform_results(raw if raw.columns else _empty(spark), rescued)
 
 
 def _summary_type(name: str) -> str | None:
@@ -64,54 +84,73 @@ def _summary_type(name: str) -> str | None:
     return _SUMMARY_TYPES.get(name)
 
 
+def header_index(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """CSV files below paths by their header line; files without one are left out.
+
+    One scan finds the first line of every file, wherever its blocks are read."""
+    lines = spark.read.text(paths).select(
+        "value", F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"))
+    heads = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    index = {}
+    for r in heads.orderBy("file").collect():  # the caller's files, one short line each
+        if r["header"]:
+            index.setdefault(r["header"], []).append(r["file"])
+    return index
+
+
 def read_summaries(spark: SparkSession, paths: list[str], format: str = "csv") -> DataFrame:
     """Summaries whose column sets differ, combined by name; absent columns are NULL.
 
-    CSV headers belong to one path each, so paths are read one by one; parquet
-    schemas are merged in a single read."""
+    CSV files are grouped by their header and each group is one scan; parquet
+    schemas are merged in a single read. A value that is not of its column's type
+    fails the job."""
     if format == "parquet":
         return spark.read.option("mergeSchema", True).parquet(*paths)
-    frames = []
-    for path in paths:
-        raw = spark.read.options(**_CSV).csv(path)
-        frames.append(raw.select(*[
-            F.col(c).try_cast(_summary_type(c)).alias(c) if _summary_type(c) else F.col(c)
-            for c in raw.columns]))
-    combined = frames[0]
-    for frame in frames[1:]:
-        combined = combined.unionByName(frame, allowMissingColumns=True)
+    combined = None
+    for files in header_index(spark, paths).values():
+        raw = spark.read.options(**_CSV).csv(files)
+        cols = []
+        for c in raw.columns:
+            kind = _summary_type(c)
+            value = F.col(f"`{c}`")
+            if kind and kind != "string":
+                typed = value.try_cast("double").try_cast(kind) if kind != "double" else value.try_cast(kind)
+                value = F.when(value.isNotNull() & typed.isNull(), F.raise_error(
+                    F.concat(F.lit(f"unreadable {c}: "), value)).cast(kind)).otherwise(typed)
+            cols.append(value.alias(c))
+        frame = raw.select(*cols)
+        combined = frame if combined is None else combined.unionByName(frame, allowMissingColumns=True)
+    if combined is None:
+        raise ValueError("no summary with a header")
     return combined
 
 
-def _files(spark: SparkSession, directory: str) -> DataFrame:
-    # a listing: the content column is never read
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(directory)
-        .select(F.regexp_replace("path", "^file:(//)?", "").alias("path")))
+_CATALOGUE = "run_id string, raw_path string, summary_path string"
+
+
+def _names(spark: SparkSession, pattern: str) -> list[str]:
+    """Names that a file-system glob finds; nothing below them is visited."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    return [f.getPath().getName() for f in found or []]
 
 
 def run_catalog(spark: SparkSession, results_dir: str) -> DataFrame:
     """Runs of a results directory and its demo subdirectory: run_id, raw_path
     and summary_path (NULL when there is none), newest name first, the
     directory itself before demo. A run may be one CSV file or a directory of
-    part files of that name."""
-    root = results_dir.rstrip("/")
-    raw = r"^(.*)/(raw_results_([^/]+)\.csv)(/.*)?$"
-    summary = r"^(.*)/(summary_([^/]+)\.csv)(/.*)?$"
-
-    def runs(pattern: str, name: str) -> DataFrame:
-        folder = F.regexp_extract("path", pattern, 1)
-        return (
-            files.filter(F.col("path").rlike(pattern))
-            .select(folder.alias("folder"), F.regexp_extract("path", pattern, 3).alias("run_id"),
-                    F.concat(folder, F.lit("/"), F.regexp_extract("path", pattern, 2)).alias(name))
-            .filter(F.col("folder").isin(root, f"{root}/demo")).distinct())
-
-    files = _files(spark, root)
-    return (
-        runs(raw, "raw_path").join(runs(summary, "summary_path"), ["folder", "run_id"], "left")
-        .orderBy(F.length("folder"), F.desc("run_id"))
-        .select("run_id", "raw_path", "summary_path"))
+    part files of that name.
+
+    Four globs list the two directories; other subdirectories and the runs
+    themselves are not opened."""
+    root, rows = results_dir.rstrip("/"), []
+    for folder in (root, f"{root}/demo"):
+        summaries = set(_names(spark, f"{folder}/summary_*.csv"))
+        runs = sorted((n[len("raw_results_"):-len(".csv")] for n in _names(spark, f"{folder}/raw_results_*.csv")), reverse=True)
+        rows += [(run, f"{folder}/raw_results_{run}.csv",
+                  f"{folder}/summary_{run}.csv" if f"summary_{run}.csv" in summaries else None) for run in runs]
+    return spark.createDataFrame(rows, _CATALOGUE)
 
 
 def load_run(spark: SparkSession, run) -> tuple[DataFrame, DataFrame | None]:

@@ -176,6 +176,35 @@ def test_stream_drops_duplicates_across_files_and_restarts(spark, tmp_path):
     assert spark.read.parquet(sink).count() == 9
 
 
+def test_stream_reads_nothing_of_the_sink(spark, tmp_path):
+    source, sink, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    read = []
+    for i in range(4):
+        # ever the same six facts with another answer, and one new
+        fact(spark, 6, actual_output=f"{9 - i}").unionByName(fact(spark, 1, task_id=f"new {i}")).coalesce(1).write.mode("append").parquet(source)
+        query = ingest.ingest_results_stream(ingest.read_results_stream(spark, source), sink, state)
+        query.awaitTermination()
+        read += [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]]
+        rows = spark.read.parquet(sink)
+        assert rows.count() == (7 if i == 0 else 1)
+        assert {r.actual_output for r in rows.filter("task_id not like 'new%'").collect()} <= {"9"}
+        (tmp_path / "out").rename(tmp_path / f"away {i}")  # the state alone knows the keys
+    assert read == [7, 7, 7, 7]
+
+
+def test_repeated_batch_replaces_itself_and_the_first_row_survives(spark, tmp_path):
+    source, sink, state = (str(tmp_path / d) for d in ("in", "out", "state"))
+    both = fact(spark, 6, actual_output="b").unionByName(fact(spark, 6, actual_output="a"))
+    both.repartition(5).write.parquet(source)
+    ingest.ingest_results_stream(ingest.read_results_stream(spark, source), sink, state).awaitTermination()
+    rows = spark.read.parquet(sink)
+    assert rows.count() == 6 and {r.actual_output for r in rows.collect()} == {"a"}
+    again = rows.drop(ingest.BATCH)
+    saved = spark.createDataFrame(again.collect(), again.schema).withColumn("_new", F.lit(True))
+    ingest.write_batch(saved, 0, sink)
+    assert spark.read.parquet(sink).count() == 6
+
+
 def test_stream_with_watermark(spark, tmp_path):
     source, sink, state = (str(tmp_path / d) for d in ("in", "out", "state"))
     fact(spark, 6).unionByName(fact(spark, 6)).write.parquet(source)
