@@ -52,10 +52,10 @@ class Block:
         self.change = self.inside ** 2 - outside ** 2
         u = self.counts * self.inside[self.column] / np.where(shortest > 0, shortest, 1)[row]
         # by gram, then by falling u
-        order = np.lexsort((-u, self.column))
-        self.example, self.u = row[order], u[order]
-        self.lists = np.searchsorted(self.column[order], np.arange(len(codes) + 1))
-        self.key = self.column[order] + (1 - self.u) / 2
+        key = self.column + (1 - u) / 2
+        order = np.argsort(key)
+        self.example, self.u, self.key = row[order], u[order], key[order]
+        self.lists = np.searchsorted(self.key, np.arange(len(codes) + 1))
         self.weight, self.shared = np.zeros(len(codes)), np.zeros(len(codes))
         self.scored = 0
 

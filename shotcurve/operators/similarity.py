@@ -33,7 +33,7 @@ from shotcurve.scratch import stored
 # ties are exact up to this many digits, whatever order sums ran in
 SIMILARITY_DIGITS = 10
 # examples and cases that meet in one task
-BLOCK_ROWS, CHUNK_ROWS = 1000, 256
+BLOCK_ROWS, CHUNK_ROWS = 400, 256
 
 
 def _count_grams():
@@ -80,13 +80,17 @@ def _count_grams():
     return F.arrow_udf(count, "array<struct<gram:string,tf:bigint>>")
 
 
+def _partitions(df: DataFrame) -> int:
+    # a number of its own, as small inputs that are costly per byte must not be put together
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _gram_arrays(texts: DataFrame, keys: list[str], text: str = "input") -> DataFrame:
     """keys and grams (array of gram, tf) of each text; keys must be unique.
 
     Texts are spread over all partitions first, so that those of one small file
     are not all counted by one task."""
-    partitions = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = texts.select(*keys, text).repartition(partitions, *keys)
+    spread = texts.select(*keys, text).repartition(_partitions(texts), *keys)
     return spread.select(*keys, _count_grams()(text).alias("grams"))
 
 
@@ -159,14 +163,15 @@ class Weights:
             *task, "n_examples", F.ceil(F.col("n_examples") / block_rows).cast("int").alias("blocks"),
             F.ceil(F.col("n_cases") / chunk_rows).cast("int").alias("chunks")), "task-sizes")
         dealt = examples.select(*task, "pos", "input").join(self.sizes, task).withColumn(
-            "block", F.pmod(F.hash("pos"), F.col("blocks"))).repartition(*task, "block", F.pmod(F.hash("pos"), F.lit(8)))
+            "block", F.pmod(F.hash("pos"), F.col("blocks"))).repartition(
+            _partitions(examples), *task, "block", "pos")
         self.examples = stored(dealt.select(*task, "block", "pos", _gram_codes()("input").alias("row")).select(
             *task, "block", "pos", "row.*"), "example-grams")
         self.blocks = stored(self.examples.select(*task, "block", F.explode("grams").alias("gram")).groupBy(
             *task, "block", "gram").agg(F.count(F.lit(1)).alias("n")), "block-grams")
         self.grams = stored(self.blocks.groupBy(*task, "gram").agg(F.sum("n").alias("df")), "vocabulary")
         spread = cases.select(*task, "case_key", "input").join(self.sizes.select(*task, "n_examples"), task)
-        spread = spread.repartition(*task, "case_key")
+        spread = spread.repartition(_partitions(cases), *task, "case_key")
         self.cases = stored(spread.select(*task, "case_key", "n_examples", _gram_codes()("input").alias("row")).select(
             *task, "case_key", "n_examples", "row.*"), "case-grams")
 
@@ -301,7 +306,8 @@ def best_of_blocks(cases: DataFrame, examples: DataFrame, k: int, block_rows: in
     arrow = [{"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}[t] for t in kinds]
     schema = ", ".join(f"{n} {t}" for n, t in zip([*task, "case_key", "pos", "similarity"], kinds))
     right = asked.unionByName(words)
-    return left.groupBy("unit").cogroup(right.groupBy("unit")).applyInArrow(
+    n = _partitions(examples)
+    return left.repartition(n, "unit").groupBy("unit").cogroup(right.repartition(n, "unit").groupBy("unit")).applyInArrow(
         _search(k, task, arrow), schema)
 
 
