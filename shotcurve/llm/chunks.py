@@ -15,13 +15,15 @@ SLICE_BYTES = 4 << 20
 REMEMBERED_BYTES = 96 << 20
 
 
-def slices(texts: pa.Array):
-    """Parts of a string array, as large strings, of at most SLICE_BYTES where texts allow."""
+def slices(texts: pa.Array, size: int | None = None):
+    """(first row, part) of the parts of a string array, as large strings, of at most size
+    (SLICE_BYTES) bytes where texts allow."""
+    size = size or SLICE_BYTES
     texts = texts.cast(pa.large_string())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
     start = 0
     while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + SLICE_BYTES, "right")) - 1)
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + size, "right")) - 1)
         yield start, texts.slice(start, stop - start)
         start = stop
 
