@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -133,7 +134,7 @@ def test_substring_dedup_finds_planted_passages(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = substring_dedup.repeated_passages(docs).collect()
     links = {(r.doc_id, r.partner_id): r for r in got}
-    assert set(links) == {(21, 20), (22, 20), (23, 20), (31, 30), (51, 50)}
+    assert set(links) == {(21, 20), (22, 20), (23, 20), (31, 30), (51, 50), (None, 20)}  # a null id is a document, too
     whole = links[21, 20]
     assert (whole.start_word, whole.end_word, whole.partner_start, whole.identity) == (10, 70, 100, 1.0)
     assert links[31, 30].words == 80
@@ -185,12 +186,46 @@ def test_chain_takes_the_best_collinear_runs():
 
 
 def test_seeds_of_equal_runs_agree_whatever_the_context():
-    hashes = substring_dedup.WordHashes()
+    hashes = substring_dedup.Hashes()
     shared = prose(5, 30)
-    a, b = (hashes.of(f"{prose(s, 40)} {shared} {prose(s + 1, 40)}".encode()) for s in (1, 3))
-    one, two = (set(substring_dedup.seed_positions(x, 5, 12)[1].tolist()) for x in (a, b))
+    a, b, short = hashes.words(pa.array([f"{prose(s, 40)} {shared} {prose(s + 1, 40)}" for s in (1, 3)] + ["a b"]))
+    one, two = (set(substring_dedup.seed_positions(hashes, x, 5, 12)[1].tolist()) for x in (a, b))
     assert len(one & two) >= 2
-    assert len(substring_dedup.seed_positions(hashes.of(b"a b"), 5, 12)[0]) == 0
+    assert len(substring_dedup.seed_positions(hashes, short, 5, 12)[0]) == 0
+
+
+def test_hashes_stand_for_words_and_runs_of_words():
+    rng = random.Random(9)
+    texts = ["", " ", "  a\tB \x0bc", "x", " x", "ÄÖ a Ab\x85c d\n", "a " * 100, "\n\n", "end"]
+    texts += ["".join(rng.choice("abAB é\t\n") for _ in range(rng.randrange(60))) for _ in range(400)]
+    hashes, names, runs = substring_dedup.Hashes(), {}, {}
+    for array in (pa.array(texts), pa.array(texts).slice(3)):
+        for text, got in zip(array.to_pylist(), hashes.words(array)):
+            words = [w.decode() for w in text.encode().lower().split()]
+            assert [names.setdefault(w, h) for w, h in zip(words, got.tolist())] == got.tolist() and len(words) == len(got)
+            for k in (2, 5):
+                found = hashes.mers(got, k).tolist()
+                assert [runs.setdefault(tuple(words[i:i + k]), h) for i, h in enumerate(found)] == found
+    assert len(set(names.values())) == len(names) and len(set(runs.values())) == len(runs)
+
+
+def test_smallest_of_each_window():
+    rng = np.random.default_rng(5)
+    for n, window in ((0, 3), (2, 3), (3, 3), (700, 12), (50, 35), (600_000, 7)):
+        h = rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1)
+        h[n // 2:n // 2 + 20] = 7 << 20
+        want = [int(np.argmin(h[i:i + window])) + i for i in range(0, max(n - window + 1, 0), max(1, n // 700))]
+        assert substring_dedup.smallest(h, window)[::max(1, n // 700)].tolist() == want
+
+
+def test_rows_without_an_id_of_their_own_are_documents(spark):
+    a, b, c = prose(51, 90), prose(52, 90), prose(53, 90)
+    rows = [(1, a), (1, b), (3, b), (None, a), (None, c), (5, c), (None, c), (7, prose(54, 90)), (7, prose(54, 90))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("own", F.lit(1))
+    got = {(r.doc_id, r.partner_id) for r in substring_dedup.repeated_passages(docs).collect()}
+    pairs = {frozenset(p) for p in got}
+    assert pairs == {frozenset((1, 3)), frozenset((None, 1)), frozenset((None, 5))}
+    assert substring_dedup.repeated_passages(docs.limit(0)).count() == 0
 
 
 def test_alignment_takes_the_longest_segment_of_the_identity():
