@@ -13,7 +13,7 @@ from shotcurve.functions.sql import register_sql_functions
 from shotcurve.operators import (
     collapse, costs, grid, judge as judging, prompts, reports, responses, scoring, selection,
     similarity, summarize as agg)
-from shotcurve.plans import evaluation, tables
+from shotcurve.plans import evaluation, keyed, tables
 from shotcurve.scratch import cut_lineage, shared_folder
 from shotcurve.schemas import EVAL_KEY, EVAL_RESULTS, SUMMARY_KEYS
 from shotcurve.sources import results, tasks
@@ -335,12 +335,14 @@ def attached_responses(spark, sf):
 @query
 def scored_facts(spark, sf):
     """Answers that differ from the expected text, under a served name, some of
-    them given twice."""
+    them given twice. Cells and answers are stored by key and meet without a shuffle."""
     cells, said = _cells_and_answers(spark, sf)
     said = said.withColumns({"output": F.expr("substring(output, 11)"), "served_model": F.lit("served/m")})
     again = said.filter(F.col("error").isNull()).withColumns(
         {"output": F.lit(None).cast("string"), "error": F.lit("again")})
-    answered = responses.attach_responses(cells, said.unionByName(again))
+    tables_by_key = keyed.KeyedTables(spark)
+    answered = responses.attach_responses(
+        tables_by_key.store(cells, "cells"), tables_by_key.store(said.unionByName(again), "answers"))
     return rounded(responses.to_eval_results(scoring.score_results(answered)).drop("input", "expected_output"))
 
 

@@ -12,7 +12,13 @@ def shared_root(spark: SparkSession) -> str:
     """The folder the cluster names in spark.checkpoint.dir, else one below the
     warehouse, which executors share as well."""
     base = spark.conf.get(SETTING, None)
-    return base.rstrip("/") if base else f"{spark.conf.get(WAREHOUSE).rstrip('/')}/scratch"
+    if base:
+        return base.rstrip("/")
+    warehouse = spark.conf.get(WAREHOUSE).rstrip("/")
+    local = warehouse.startswith(("file:", "/")) and "://" not in warehouse.removeprefix("file://")
+    if local and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"executors do not share {warehouse}; set {SETTING} to a folder they all reach")
+    return f"{warehouse}/scratch"
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:

@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from shotcurve.operators import collapse, costs, joins, prompts, scoring, selection, summarize
+from shotcurve import scratch
+from shotcurve.operators import collapse, costs, grid, joins, prompts, responses, scoring, summarize
+from shotcurve.plans import keyed
 from shotcurve.sources import results
 from tests.test_sources_and_plans import fact
 
@@ -128,3 +130,41 @@ def test_loading_a_run_of_the_catalogue(spark, tmp_path):
     assert facts.count() == 6 and {r.score_0shot for r in summary.collect()} == {0.5}
     facts, summary = results.load_run(spark, y)
     assert facts.count() == 3 and summary is None
+
+
+def test_stored_by_key_the_grid_does_not_move_again(spark):
+    cases = spark.createDataFrame([("t", i, f"ask {i % 40}") for i in range(60)], "task_id string, pos int, input string")
+    cells = grid.with_eval_key(grid.evaluation_grid(cases, ["m", "n"], trials=2, selections=["fixed", "tfidf"]))
+    cells = cells.withColumns({"expected_output": F.lit("yes"), "scoring_method": F.lit("llm_judge")})
+    said = cells.select(*keyed.EVAL_KEY, F.col("input").alias("output")).distinct()
+    replies = said.select(*keyed.EVAL_KEY, F.lit('{"score": 0.5}').alias("grader_reply"))
+
+    def scored(cells, said, replies):
+        rows = scoring.attach_grader_replies(responses.attach_responses(cells, said), replies, keyed.EVAL_KEY)
+        return scoring.score_results(rows, grader=True)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        with keyed.KeyedTables(spark, buckets=4) as tables:
+            stored = [tables.store(df, name) for df, name in ((cells, "cells"), (said, "said"), (replies, "replies"))]
+            got = scored(*stored)
+            pending = grid.pending_evaluations(stored[0], stored[1].filter("shot_count > 0").withColumn("input", F.col("output")))
+            assert keyed.exchanges_of(got) == 0 and keyed.exchanges_of(scored(cells, said, replies)) > 1
+            want = scored(cells, said, replies)
+            columns = sorted(want.columns)
+            assert sorted(map(str, got.select(columns).collect())) == sorted(map(str, want.select(columns).collect()))
+            assert got.count() == cells.count() and pending.count() == cells.filter("shot_count = 0").count()
+        assert not [t for t in spark.catalog.listTables() if t.name.startswith(keyed.PREFIX)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_local_scratch_is_refused_on_a_cluster(spark):
+    class Session:
+        def __init__(self, master, **conf):
+            self.sparkContext = type("Context", (), {"master": master})
+            self.conf = type("Conf", (), {"get": staticmethod(lambda k, d=None: conf.get(k.split(".")[-2], d))})
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch.shared_root(Session("yarn", warehouse="file:/tmp/w"))
+    assert scratch.shared_root(Session("yarn", warehouse="hdfs://a/w")) == "hdfs://a/w/scratch"
+    assert scratch.shared_root(Session("local[2]", warehouse="file:/tmp/w")) == "file:/tmp/w/scratch"

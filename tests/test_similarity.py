@@ -93,3 +93,31 @@ def test_shuffle_is_reproducible(spark):
     assert order(1) != order(2)
     assert all(sorted(v) == list("abcd") for v in order(1).values())
     assert len(set(order(1).values())) > 5
+
+
+def test_bounds_spare_most_pairs_their_score(spark, sf_dir):
+    """Searches of a block count what they score; the best are those of brute force."""
+    import numpy as np
+
+    from shotcurve.operators.postings import Block
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'").orderBy("doc_id").limit(400)
+    pool = [r.text[:1500] for r in docs.collect()]
+    asked = [r.text for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").orderBy("item_id").limit(12).collect()]
+    pool += [f"{p} {a}" for p, a in zip(pool, asked)] * 3
+    codes = {g: i for i, g in enumerate(sorted({g for t in pool + asked for g in grams(t)}))}
+    rows = [grams(t) for t in pool]
+    bounds = np.concatenate(([0], np.cumsum([len(r) for r in rows])))
+    df = np.bincount([codes[g] for r in rows for g in r], minlength=len(codes))
+    block = Block(bounds, np.array([codes[g] for r in rows for g in r]), np.array([n for r in rows for n in r.values()]),
+                  np.arange(len(pool)), np.arange(len(codes)), df, len(pool))
+    for text in asked:
+        want = brute_force(text, pool)
+        case = grams(text)
+        tf, own = np.array(list(case.values())), np.array([codes[g] for g in case])
+        length = float(np.sum((tf * (np.log((2 + len(pool)) / (2 + df[own])) + 1)) ** 2))
+        at, values = block.best(own, tf, length, 6)
+        best = sorted(zip(np.round(values, 10), at), reverse=True)[:6]
+        brute = sorted(((round(s, 10), i) for i, s in enumerate(want)), reverse=True)[:6]
+        assert [i for _, i in best] == [i for _, i in brute]
+        assert [s for s, _ in best] == pytest.approx([s for s, _ in brute], abs=1e-9)
+    assert block.scored < 0.3 * len(asked) * len(pool)
