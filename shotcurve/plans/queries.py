@@ -804,7 +804,7 @@ def sql_functions(spark, sf):
 def whole_evaluation(spark, sf):
     """Pack JSON -> grid -> prompts -> responses -> scores -> summary. One model leaves
     its four-shot prompts unanswered; others answer under a served name, after a failure."""
-    packs = _packs(spark, sf)
+    packs = _packs(spark, sf).parsed()
     axes = {"trials": 2, "selections": grid.compare_selections()}
     built = evaluation.prompts_to_run(packs, MODELS, **axes)
     said = grid.with_eval_key(grid.evaluation_grid(packs.test_cases, MODELS, **axes)).filter(

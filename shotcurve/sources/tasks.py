@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from shotcurve import fixed_values as fv
 from shotcurve.functions.judge import expected_to_text
 from shotcurve.schemas import PACK_JSON, TASK_JSON
+from shotcurve.scratch import stored
 
 
 class TaskTables(NamedTuple):
@@ -17,6 +18,10 @@ class TaskTables(NamedTuple):
     examples: DataFrame
     test_cases: DataFrame
 
+    def parsed(self) -> "TaskTables":
+        """The same tables, stored: JSON is parsed once, however often they are read."""
+        return TaskTables(*(stored(t, name.replace("_", "-")) for t, name in zip(self, self._fields)))
+
 
 def _json_files(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
