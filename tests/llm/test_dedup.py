@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -156,6 +157,59 @@ def test_exact_passage_is_found_where_its_short_seeds_were_seen_before(spark):
             (300, 25, 25 + words, 200, 40)]
 
 
+def quoted_twice(rng, n, words, identity):
+    """Pairs of fuzzy copies, each with two earlier documents that quote a half of the first."""
+    rows, pairs = [], []
+    for i in range(n):
+        base = [f"w{i}x{j}" for j in range(words)]
+        at = rng.sample(range(words), round(words * (1 - identity)))
+        other = [f"v{i}x{j}" if j in at else w for j, w in enumerate(base)]
+        half = words // 2
+        parts = [base[:half], base[half:], base, other]
+        own = [[f"u{i}x{q}x{j}" for j in range(30)] for q in range(len(parts))]
+        rows += [(100 * i + q, " ".join(o[:15] + p + o[15:])) for q, (p, o) in enumerate(zip(parts, own))]
+        pairs.append((100 * i + 3, 100 * i + 2))
+    return rows, pairs
+
+
+def test_fuzzy_copies_meet_beside_earlier_quotes(spark):
+    rows, pairs = quoted_twice(random.Random(7), 20, 80, 0.9)
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert set(pairs) <= {(r.doc_id, r.partner_id) for r in found if r.words >= 60}
+    # the halves are too short to be passages
+    assert {(r.doc_id, r.partner_id) for r in found} == set(pairs)
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 16])
+def test_links_go_to_the_first_and_the_next_document_before(spark, partitions):
+    rng = random.Random(partitions)
+    rows = list({(rng.choice([1, 1, 1, rng.randrange(2, 60)]), rng.randrange(-5, 300), rng.randrange(40)) for _ in range(3000)})
+    want = set()
+    held = {}
+    for seed, doc, pos in sorted(rows):
+        held.setdefault(seed, {}).setdefault(doc, []).append(pos)
+    for docs in held.values():
+        order = sorted(docs)
+        for i, doc in enumerate(order[1:], 1):
+            for pos in docs[doc]:
+                want.add((doc, pos, order[0], docs[order[0]][0], order[i - 1], docs[order[i - 1]][0]))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = substring_dedup.links(spark.createDataFrame(rows, "seed long, doc long, pos int")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    assert {tuple(r) for r in got} == want
+    assert len(got) == sum(len(p) for docs in held.values() for d, p in docs.items() if d != min(docs))
+
+
+def test_links_of_no_seeds(spark):
+    assert substring_dedup.links(spark.createDataFrame([], "seed long, doc long, pos int")).count() == 0
+
+
 def test_long_matches_are_all_repeated_runs(spark):
     rng = random.Random(12)
     texts = [[rng.choice("abc") for _ in range(rng.randint(0, 90))] for _ in range(40)]
