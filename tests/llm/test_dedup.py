@@ -206,29 +206,6 @@ def test_links_go_to_the_first_and_the_next_document_before(spark, partitions):
     assert len(got) == sum(len(p) for docs in held.values() for d, p in docs.items() if d != min(docs))
 
 
-@pytest.mark.parametrize("partitions", [1, 16])
-def test_blocks_meet_the_first_of_their_part(spark, partitions):
-    rng = random.Random(30 + partitions)
-    places = list({(rng.choice([1, 1, 1, rng.randrange(2, 60)]), rng.randrange(-5, 200), rng.randrange(40)) for _ in range(2000)})
-    rows = [(*p, rng.randrange(1, 4), rng.choice([7, 7, 7, rng.randrange(9)])) for p in places]
-    first, want = {}, set()
-    for seed, *rest in sorted(rows):
-        f = first.setdefault(seed, tuple(rest))
-        if rest[0] != f[0] or rest[3] != f[3]:
-            want.add((*rest, f))
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
-    try:
-        spark.conf.set("spark.sql.shuffle.partitions", partitions)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-        blocks = spark.createDataFrame(rows, "seed long, doc long, pos int, count int, block long")
-        got = substring_dedup.first_occurrences(blocks).collect()
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
-    assert len(got) == len(want) and {(r.doc, r.pos, r["count"], r.block, tuple(r.first)) for r in got} == want
-
-
 def test_links_of_no_seeds(spark):
     assert substring_dedup.links(spark.createDataFrame([], "seed long, doc long, pos int")).count() == 0
 
