@@ -2,8 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotcurve import scratch
-from shotcurve.operators import collapse, costs, grid, joins, prompts, responses, scoring, summarize
+from shotcurve.operators import collapse, costs, grid, joins, prompts, responses, scoring, selection, summarize
 from shotcurve.plans import keyed
+from shotcurve.schemas import EVAL_KEY
 from shotcurve.sources import results
 from tests.test_sources_and_plans import fact
 
@@ -168,3 +169,17 @@ def test_local_scratch_is_refused_on_a_cluster(spark):
         scratch.shared_root(Session("yarn", warehouse="file:/tmp/w"))
     assert scratch.shared_root(Session("yarn", warehouse="hdfs://a/w")) == "hdfs://a/w/scratch"
     assert scratch.shared_root(Session("local[2]", warehouse="file:/tmp/w")) == "file:/tmp/w/scratch"
+
+
+def test_answers_of_a_grid_are_not_broadcast(spark):
+    """Rows exploded from a small table are many; they meet the grid by sorting, whatever Spark takes their size for."""
+    cases = spark.createDataFrame([("t", 0, "a", "f1", "x")], "task_id string, pos int, input string, scoring_method string, expected_output string")
+    cells = grid.with_eval_key(grid.evaluation_grid(cases, ["m", "n"], trials=2, selections=["fixed", "tfidf"]))
+    examples = spark.createDataFrame([("t", 0, "a", "x", False)], "task_id string, pos int, input string, output string, is_distractor boolean")
+    said = cells.select(*EVAL_KEY, F.lit("x").alias("output"))
+    rows = responses.attach_responses(selection.select_examples(cells, examples), said)
+    rows = scoring.attach_grader_replies(rows, said.withColumnRenamed("output", "grader_reply"), EVAL_KEY)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("input_sha256" in line or "case_key" in line)]
+    assert joins == []
+    assert "SortMergeJoin" in plan and rows.count() == 40
