@@ -183,3 +183,11 @@ def test_answers_of_a_grid_are_not_broadcast(spark):
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("input_sha256" in line or "case_key" in line)]
     assert joins == []
     assert "SortMergeJoin" in plan and rows.count() == 40
+
+
+def test_answers_are_one_per_key_before_the_grid_multiplies_them(spark, sf_dir):
+    """The grid of answers is not shuffled by key to find those given once."""
+    from shotcurve.plans import queries
+    cells, said = queries._cells_and_answers(spark, sf_dir)
+    assert keyed.exchanges_of(said) == 0
+    assert said.count() == cells.filter("pos % 3 <> 0").select(*EVAL_KEY).distinct().count()
