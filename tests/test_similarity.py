@@ -121,3 +121,51 @@ def test_bounds_spare_most_pairs_their_score(spark, sf_dir):
         assert [i for _, i in best] == [i for _, i in brute]
         assert [s for s, _ in best] == pytest.approx([s for s, _ in brute], abs=1e-9)
     assert block.scored < 0.3 * len(asked) * len(pool)
+
+
+def test_similarities_of_every_case_against_brute_force(spark, texts):
+    """All cases, not every fiftieth; pairs without a shared gram are left out."""
+    cases, examples = texts
+    c = spark.createDataFrame(cases, "task_id string, case_key string, input string")
+    e = spark.createDataFrame(examples, "task_id string, pos int, input string")
+    got = {(r.case_key, r.pos): r.similarity for r in similarity.Weights(c, e, block_rows=7, chunk_rows=3).similarities().collect()}
+    want = {}
+    for task, key, text in cases:
+        pool = [(p, t) for k, p, t in examples if k == task]
+        want |= {(key, p): s for (p, _), s in zip(pool, brute_force(text, [t for _, t in pool])) if s > 0}
+    assert got.keys() == want.keys()
+    assert [got[k] for k in want] == pytest.approx(list(want.values()), abs=2e-10)
+
+
+def test_products_merge_repeated_rows(spark):
+    """Rows of one position, and cases of one key, count as the sum of their grams, in blocks as in joins."""
+    e = spark.createDataFrame([("t", 1, "ab cd"), ("t", 1, "cd ef"), ("t", 2, "ab ab"), ("t", None, "ab")], "task_id string, pos int, input string")
+    c = spark.createDataFrame([("t", "k", "ab cd"), ("t", None, "ab")], "task_id string, case_key string, input string")
+    weights = similarity.Weights(c, e)
+    assert sorted((r.case_key, r.pos) for r in weights.similarities().collect()) == [("k", 1), ("k", 2)]
+    lengths = {r.pos: r for r in weights.example_lengths().collect()}
+    assert {p: r.num_grams for p, r in lengths.items()} == {1: 24, 2: 6, None: 6}
+
+
+def test_grams_are_counted_a_few_texts_at_a_time():
+    """A task holds the grams of a slice of a batch, however many texts the batch has."""
+    import pyarrow as pa
+
+    from shotcurve.operators import grams as counting
+    odd = ["", None, "  ", "a", "a𠮷 a b", "x\0y x", "￿ a", "İ ab ab", "猫犬 猫", "y " * 10, "x" * 300_000, "Ab aB"] * 30
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(odd))), pa.array(odd, pa.string())], names=["k", "t"])
+    out = list(counting.named_counts([batch]))
+    assert max(b.num_rows for b in out) <= counting.TEXTS and len(out) > len(odd) // counting.TEXTS
+    got = {r["k"]: {g["gram"]: g["tf"] for g in r["grams"]} for b in out for r in b.to_pylist()}
+    assert got == {i: dict(grams(t or "")) for i, t in enumerate(odd)}
+    kinds = batch.set_column(0, "k", pa.array([i % 2 for i in range(len(odd))]))
+    rows = [r for b in counting.block_counts([kinds]) for r in b.to_pylist()]
+    assert len(rows) == len({(r["k"], r["gram"]) for r in rows})  # one row for each gram and block, not for each text
+
+
+def test_texts_of_a_large_pool_stay_where_they_are(spark):
+    """The few chosen examples are sent to the texts; texts are not shuffled and sorted to meet them."""
+    pool = spark.createDataFrame([("t", i, f"text {i}", "x", False) for i in range(30)], "task_id string, pos int, input string, output string, is_distractor boolean")
+    for df in (selection.first_examples(pool), selection.ranked_examples(pool.select("task_id", "input"), pool)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
