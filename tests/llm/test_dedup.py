@@ -2,12 +2,13 @@ import hashlib
 import itertools
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from shotcurve.llm import components, exact_dedup, line_dedup, simhash_dedup, substring_dedup
 
@@ -180,6 +181,63 @@ def test_fuzzy_copies_meet_beside_earlier_quotes(spark):
     assert {(r.doc_id, r.partner_id) for r in found} == set(pairs)
 
 
+@pytest.mark.parametrize("few", [64, 1])
+def test_fuzzy_copies_meet_whatever_stands_between(spark, few):
+    """Two documents that quote halves come before a text, and two after it, before its fuzzy copy."""
+    rng, rows, pairs = random.Random(8), [], []
+    for i in range(10):
+        base = [f"w{i}x{j}" for j in range(80)]
+        at = rng.sample(range(80), 8)
+        other = [f"v{i}x{j}" if j in at else w for j, w in enumerate(base)]
+        parts = [base[:40], base[40:], base, base[:40], base[40:], other]
+        rows += [(100 * i + q, " ".join([f"u{i}x{q}x{j}" for j in range(15)] + p + [f"t{i}x{q}x{j}" for j in range(15)]))
+                 for q, p in enumerate(parts)]
+        pairs.append((100 * i + 5, 100 * i + 2))
+    found = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), few=few).collect()
+    assert {(r.doc_id, r.partner_id) for r in found if r.words >= 60} == set(pairs)
+
+
+@pytest.mark.parametrize("few, part_rows", [(1000, 1000), (1000, 3), (2, 4)])
+def test_other_links_are_all_matches_outside_copies(spark, few, part_rows):
+    rng = random.Random(4)
+    rows = list({(rng.randrange(12), rng.randrange(40), rng.randrange(60)) for _ in range(500)})
+    rows = list({(d, p): (s, d, p) for s, d, p in rows}.values())
+    spans = [(d, rng.randrange(40), 10) for d in range(0, 40, 2)]
+    held = spark.createDataFrame(rows, "seed long, doc long, pos int")
+    short = substring_dedup.links(held)
+    many = F.count(F.lit(1)).over(Window.partitionBy("seed", "doc")) > 1
+    long = spark.createDataFrame(spans, "doc long, pos int, words int")
+    docs = spark.createDataFrame([(d, " ".join(["w"] * 200)) for d in range(40)], "doc_id long, text string")
+    got = [tuple(r) for r in substring_dedup.other_links(
+        docs, short, held.withColumn("m", many).filter("m").drop("m"), long, few=few, part_rows=part_rows).collect()]
+    known = {x for r in short.collect() for x in ((r.doc, r.pos, r.partner, r.partner_pos), (r.doc, r.pos, r.before, r.before_pos))}
+    copied = {(d, p) for _, d, p in rows for e, at, n in spans if d == e and at <= p and p + 5 <= at + n}
+    want = {(d, p, e, q) for s, d, p in rows for t, e, q in rows
+            if s == t and e < d and (d, p) not in copied and (e, q) not in copied} - known
+    assert len(got) == len(set(got))
+    if few > 2:
+        assert set(got) == want
+        return
+    # those with a second match nearby, before or after on both sides; on one diagonal, of 40 equal words around
+    at, alone = {}, [x for x in rows if x[1:] not in copied]
+    for s, d, p in rows:
+        at.setdefault(d, []).append((s, p))
+    beside = {(d, p): {(t, o > p) for t, o in at[d] if o != p} for _, d, p in rows}
+    common = {s for s, n in Counter(s for s, _, _ in alone).items() if n > few}
+    seed = {x[1:]: x[0] for x in rows}
+    kept = {x for x in want if seed[x[:2]] not in common or beside[x[:2]] & beside[x[2:]]}
+    assert set(got) == kept and len(got) > 100
+
+
+def test_a_chain_is_told_by_a_third_document_that_has_both_sides(spark):
+    chains = spark.createDataFrame([(9, 5, [10, 30], [20, 60], [0, 0])],
+                                   "doc long, partner long, starts array<long>, ends array<long>, diagonals array<long>")
+    for found, left in (([(9, 1, 0, 80)], 1), ([(9, 1, 0, 80), (5, 1, 10, 65)], 0), ([(9, 1, 0, 80), (5, 2, 0, 90)], 1),
+                        ([(9, 1, 0, 80), (5, 1, 11, 90)], 1), ([(9, 1, 0, 64), (5, 1, 0, 90)], 1)):
+        rows = spark.createDataFrame(found, "doc_id long, partner_id long, start_word long, end_word long")
+        assert substring_dedup.unexplained(chains, rows, 5).count() == left
+
+
 @pytest.mark.parametrize("partitions", [1, 3, 16])
 def test_links_go_to_the_first_and_the_next_document_before(spark, partitions):
     rng = random.Random(partitions)
