@@ -160,6 +160,19 @@ def test_stored_by_key_the_grid_does_not_move_again(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
 
 
+def test_cells_of_a_text_are_stored_side_by_side(spark):
+    """Copies of a text in one file, next to each other, take little more room than one; all keys and rows are kept."""
+    cases = spark.range(40).selectExpr("'t' AS task_id", "id AS pos", "array_join(transform(sequence(1, 60), i -> sha2(concat(id, '/', i), 256)), ' ') AS input")
+    cells = grid.with_eval_key(grid.evaluation_grid(cases, ["m", "n"], trials=2, selections=["fixed", "tfidf"]))
+    with keyed.KeyedTables(spark, buckets=4) as tables:
+        got = tables.store(cells.select(*keyed.EVAL_KEY, "input"), "cells")
+        files = got.withColumn("file", F.input_file_name()).groupBy("input").agg(F.count_distinct("file").alias("n"))
+        assert got.count() == cells.count() and files.filter("n > 1").count() == 0
+        rows = got.withColumns({"file": F.input_file_name(), "at": F.col("_metadata.row_index")}).groupBy("input").agg(
+            F.count(F.lit(1)).alias("rows"), (F.max("at") - F.min("at") + 1).alias("reach"))
+        assert rows.count() == 40 and rows.filter("reach <> rows").count() == 0
+
+
 def test_local_scratch_is_refused_on_a_cluster(spark):
     class Session:
         def __init__(self, master, **conf):
