@@ -377,3 +377,25 @@ def test_line_dedup_drops_boilerplate_of_the_site_only(spark):
     assert by[10].kept == "Menu\nalone\nFoot" and by[11].n_dropped == 0
     assert (by[12].n_lines, by[12].kept) == (0, "")
     assert line_dedup.drop_boilerplate(pages.limit(0)).count() == 0
+
+
+def test_passages_leave_no_shuffle_files_behind(spark):
+    """Shuffle files of the stored steps are gone when they are stored, whether or not the driver collects garbage."""
+    import pathlib
+    import time
+
+    def shuffles():
+        folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+        return {f.name for d in folders for f in pathlib.Path(d.getPath()).rglob("shuffle_*.data")}
+
+    text = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} {text} c{i}") for i in range(4)], "doc_id bigint, text string")
+    setting = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    before = shuffles()
+    found = substring_dedup.repeated_passages(docs)
+    deadline = time.time() + 10
+    while (left := shuffles() - before) and time.time() < deadline:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
+    assert {(r.doc_id, r.partner_id) for r in found.collect()} >= {(1, 0), (2, 0), (3, 0)}
