@@ -169,3 +169,19 @@ def test_texts_of_a_large_pool_stay_where_they_are(spark):
     for df in (selection.first_examples(pool), selection.ranked_examples(pool.select("task_id", "input"), pool)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_tasks_of_one_block_need_no_table(spark, monkeypatch):
+    """Only sizes are stored, and the best are those of the weight table, also where case keys repeat."""
+    rows = [("a", i, w) for i, w in enumerate(["red ring", "blue ring", "blue bolt", "", "𠮷𠮷 x"])] + [("b", 0, "hot bolt")]
+    e = spark.createDataFrame(rows, "task_id string, pos int, input string")
+    c = spark.createDataFrame([("a", "k", "red bolt"), ("a", "k", "a ring"), ("a", None, "𠮷𠮷"), ("a", "l", ""), ("b", "m", "bolt"), ("c", "n", "x")],
+                              "task_id string, case_key string, input string")
+    names, real = [], similarity.stored
+    monkeypatch.setattr(similarity, "stored", lambda df, name: names.append(name) or real(df, name))
+    got = similarity.best_of_blocks(c, e, 3)
+    assert names == ["task-sizes"]
+    assert got.columns == ["task_id", "case_key", "pos", "similarity"] and got.count() == 13
+    order = ["task_id", "case_key", "pos", "similarity"]
+    assert got.orderBy(order).collect() == similarity.Weights(c, e).best(3).orderBy(order).collect()
+    assert similarity.best_of_blocks(c.limit(0), e, 3).count() == 0

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shotcurve.operators import grid, prompts, responses
-from shotcurve.plans import evaluation
+from shotcurve.plans import evaluation, keyed
 from shotcurve.schemas import EVAL_KEY, EVAL_RESULTS
 from shotcurve.sources import results, tasks
 from shotcurve.streaming import ingest
@@ -234,3 +234,29 @@ def test_prompts_keep_cells_of_unlisted_tasks(spark):
     assert len(got) == 2
     assert got["t"]["prompt"] and got["t"]["prompt_error"] is None
     assert got["unlisted"]["prompt"] is None and got["unlisted"]["prompt_error"] == "task is not listed"
+
+
+def test_cells_meet_their_answers_where_they_are(spark):
+    """Prompts are as build_prompts makes them of the grid, and no shuffle moves a cell, an answer or a reply."""
+    packs = tasks.parse_task_packs(spark.createDataFrame([(json.dumps(PACK),), (json.dumps({**PACK, "pack_id": "q"}),)], "json string")).parsed()
+    models, axes = ["m", "n"], {"trials": 2, "selections": ["fixed", "tfidf"]}
+    cells = grid.with_eval_key(grid.evaluation_grid(packs.test_cases, models, **axes))
+    shown = ["pack_id", "pos", *EVAL_KEY, "prompt_error", "prompt"]
+    want = prompts.build_prompts(cells, packs.tasks, packs.examples).select(shown).orderBy(shown).collect()
+    with keyed.by_text(spark):
+        built = evaluation.prompts_to_run(packs, models, partitions=3, **axes)
+        assert built.select(shown).orderBy(shown).collect() == want
+        said = grid.keyed_grid(packs.test_cases.select("task_id", "input").distinct(), models, partitions=3, **axes)
+        replies = said.select(*EVAL_KEY, F.lit("Score: 0.5").alias("grader_reply"))
+        answers = said.select(*EVAL_KEY, F.lit("o0").alias("output"), F.explode(F.array(F.lit(None).cast("string"), F.lit("late"))).alias("error"))
+        facts = evaluation.results_of_run(built, answers, "r", replies)
+        plan = facts._jdf.queryExecution().executedPlan().toString().splitlines()
+        assert not [x for x in plan if "Exchange" in x and "model_name" in x]
+        rows = facts.groupBy("scoring_method", "score").count().collect()
+    # two packs of two tasks; two models, trials and selections, five shots
+    assert {tuple(r) for r in rows} == {("exact_match", 1.0, 160), ("llm_judge", 0.5, 160)}
+    assert spark.conf.get(keyed.ALL_KEYS) == "true"
+    assert keyed.grid_partitions(packs.test_cases, 40, 10) == 32 and keyed.grid_partitions(packs.test_cases, 1) == 8
+    done = facts.filter("model_name = 'm'")
+    left = evaluation.prompts_to_run(packs, models, done, **axes).groupBy("model_name").count().collect()
+    assert [tuple(r) for r in left] == [("n", 160)]
