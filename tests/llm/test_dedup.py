@@ -197,6 +197,17 @@ def test_fuzzy_copies_meet_whatever_stands_between(spark, few):
     assert {(r.doc_id, r.partner_id) for r in found if r.words >= 60} == set(pairs)
 
 
+def test_other_links_move_matches_only(spark):
+    """Matches met twice are told apart by their four columns; those of their seeds are not moved with them."""
+    held = spark.createDataFrame([(s, d, 10 * s) for s in range(3) for d in range(9)], "seed long, doc long, pos int")
+    docs = spark.createDataFrame([(d, " ".join(["w"] * 80)) for d in range(9)], "doc_id long, text string")
+    long = spark.createDataFrame([], "doc long, pos int, words int")
+    found = substring_dedup.other_links(docs, substring_dedup.links(held), held.limit(0), long, few=2)
+    assert found.columns == ["doc", "pos", "partner", "partner_pos"] and found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [x for x in plan if "Aggregate(keys=" in x and "partner_pos" in x and "before_pos" in x]
+
+
 @pytest.mark.parametrize("few, part_rows", [(1000, 1000), (1000, 3), (2, 4)])
 def test_other_links_are_all_matches_outside_copies(spark, few, part_rows):
     rng = random.Random(4)
